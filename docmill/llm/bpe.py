@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.workers import ship
+
 #: The pre-token pattern and byte alphabet of public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
@@ -271,6 +273,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
     spec = Vocabulary(vocabulary)
     shared = df.sparkSession.sparkContext.broadcast((hash(tuple(spec.merges)), spec))
+    ship(df.sparkSession)
 
     def run(batches):
         encoder = _kept("encode", Encoder, shared)
@@ -299,6 +302,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
     spec = Vocabulary(vocabulary)
     shared = df.sparkSession.sparkContext.broadcast((hash(tuple(spec.merges)), spec, whole_tokens(spec)))
+    ship(df.sparkSession)
 
     def run(batches):
         counter = _kept("count", Counter, shared)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -24,6 +24,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import toxicity
+
+    scored = toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold())
+    return scored.select(
+        "doc_id",
+        (fold() == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "worst",
+    )
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import bpe
 
@@ -36,6 +49,15 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.filter(fold() != 0))
+    found = language_id.identify(docs, profiles)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import fingerprints as fp
 
@@ -80,7 +102,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op10_chat_formatting": op10_chat_formatting,
 }
