@@ -5,14 +5,18 @@ its sentences', 1 - prod(1 - p). The weights are trained from document labels al
 gradient steps on the documents' cross-entropy, so sentences need no labels; afterwards the
 sentences' own probabilities locate the offending ones.
 
-Words are lower-cased runs of letters, hashed to WEIGHTS places; a sentence has each place once.
-Sentences end at . ! ? or a line's end, and after LONG words. Null and empty texts have one
-sentence without words, so their score is the bias alone. Repeated rows are learned from as
-often as they occur in the sample. Without any label every score is 0.
+Words are lower-cased runs of letters; a word counts once in a sentence, by the weights of the
+whole word and of its beginnings, all hashed to WEIGHTS places. Sentences end at . ! ? or a
+line's end, at the first such place that leaves at least LEAST words, and after MOST words.
+Null and empty texts have one sentence without words, so their score is the bias alone.
+Repeated rows are learned from as often as they are sampled. Without labels of both kinds every
+score is 0, or 1 if all labels are 1.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -22,150 +26,189 @@ from pyspark.sql import functions as F
 
 from docmill.workers import ship
 
-WEIGHTS = 1 << 18
-LONG = 64
-#: The classifier is fitted on at most so many labelled rows, those whose ids have the smallest hashes.
-SAMPLE = 12_000
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.5, 1e-5
-SENTENCE = regex.compile(r"[^.!?\n]+")
+WEIGHTS = 1 << 20
+LEAST, MOST = 8, 64
+BEGINNINGS = (3, 4, 5, 6)
+#: The classifier is fitted on at most so many rows with label 1 and with label 0: those of each
+#: kind whose ids have the smallest hashes. Rows with label 0 are weighted up to their true share.
+SAMPLE = (4000, 6000)
+#: Places that fewer sampled documents have keep the weight 0.
+DOCUMENTS = 4
+EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.5, 1e-4
+PIECE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"\p{L}+")
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
-class Places(dict):
-    """Word -> place of its weight."""
+def word_places(word: str) -> list[int]:
+    """Places of the weights that a word adds up; place 0 is the bias."""
+    found = [f"{word}_", *(word[:n] for n in BEGINNINGS if n <= len(word))]
+    return [xxhash.xxh64_intdigest(x.encode(), 7) % (WEIGHTS - 1) + 1 for x in found]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode(), 7) % (WEIGHTS - 1) + 1
-        return out
 
-
-def sentences(text: str, places: Places) -> list[list[int]]:
-    out = []
-    for piece in SENTENCE.findall(text.lower()):
-        found = WORD.findall(piece)
-        for at in range(0, len(found), LONG):
-            out.append(list({places[w] for w in found[at : at + LONG]}))
-    return out or [[]]
+def sentences(text: str) -> Iterator[list[str]]:
+    """The words of each sentence; one empty sentence if there are none."""
+    held: list[str] = []
+    none = True
+    for piece in PIECE.findall(text.lower()):
+        held += WORD.findall(piece)
+        while len(held) >= LEAST:
+            yield held[:MOST]
+            held, none = held[MOST:], False
+            if len(held) < LEAST:
+                break
+    if held or none:
+        yield held
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Code point offsets of the sentences that `sentences` gives, in the same order."""
-    out = []
-    for m in SENTENCE.finditer(text.lower()):
-        found = list(WORD.finditer(m.group()))
-        for at in range(0, len(found), LONG):
-            part = found[at : at + LONG]
-            out.append((m.start() + part[0].start(), m.start() + part[-1].end()))
-    return out or [(0, 0)]
-
+    """First and last code point (end excluded) of each sentence, in the lower-cased text."""
+    lower = text.lower()
+    at = [m.span() for m in WORD.finditer(lower)]
+    out, i = [], 0
+    for sentence in sentences(text):
+        out.append((at[i][0], at[i + len(sentence) - 1][1]) if sentence else (0, 0))
+        i += len(sentence)
+    return out
 
-class Bags:
-    """Documents as sentences as places, laid flat."""
 
-    def __init__(self, docs: list[list[list[int]]]):
-        flat = [s for d in docs for s in d]
-        self.doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        self.sentence_of = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-        self.places = np.fromiter((p for s in flat for p in s), np.int64, len(self.sentence_of))
-        self.n_docs, self.n_sentences = len(docs), len(flat)
-        self.size = np.sqrt(np.maximum(np.bincount(self.sentence_of, minlength=self.n_sentences), 1))
+class Memory(dict):
+    """Word -> what make(word) gives; starts afresh when full."""
 
-    def sentence_logits(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.sentence_of, weights[self.places], self.n_sentences) + weights[0]
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-    def log_clean(self, logits: np.ndarray) -> np.ndarray:
-        """log prod(1 - p) of each document."""
-        return np.bincount(self.doc_of, -np.logaddexp(0, logits), self.n_docs)
+    def __missing__(self, word: str):
+        if len(self) > REMEMBER:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
 
 
-def fit(docs: list[list[list[int]]], labels: np.ndarray, seed: int = 7) -> np.ndarray:
+class Bags:
+    """Documents laid flat: places, and where each sentence and each document begins."""
+
+    def __init__(self, places: np.ndarray, sentences: np.ndarray, docs: np.ndarray):
+        self.places, self.sentences, self.docs = places, sentences, docs
+
+    def only(self, keep: np.ndarray) -> Bags:
+        """Without the places that keep says no to."""
+        stay = keep[self.places]
+        before = np.concatenate([[0], np.cumsum(stay)])
+        return Bags(self.places[stay], before[self.sentences], self.docs)
+
+    def documents_of_places(self) -> np.ndarray:
+        n = np.zeros(WEIGHTS, np.int64)
+        for i in range(len(self.docs) - 1):
+            n[np.unique(self.places[self.sentences[self.docs[i]] : self.sentences[self.docs[i + 1]]])] += 1
+        return n
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """places, the sentence of each place and the document of each sentence, of some documents."""
+        parts, sizes, counts = [], [], []
+        for i in which:
+            edges = self.sentences[self.docs[i] : self.docs[i + 1] + 1]
+            parts.append(self.places[edges[0] : edges[-1]])
+            sizes.append(np.diff(edges))
+            counts.append(len(edges) - 1)
+        sizes = np.concatenate(sizes)
+        return np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(which)), counts)
+
+
+def fit(bags: Bags, labels: np.ndarray, clean_weight: float = 1.0, seed: int = 7) -> np.ndarray:
     """Weights (the first is the bias) by adaptive gradient steps on the noisy-or's cross-entropy."""
     weights, moved = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-8)
-    if not len(docs) or not 0 < labels.sum() < len(labels):
-        weights[0] = 40.0 if len(docs) and labels.all() else -40.0
+    if not 0 < labels.sum() < len(labels):
+        weights[0] = 40.0 if len(labels) and labels.all() else -40.0
         return weights
-    weights[0] = -6.0
+    weights[0] = -6.5
+    bags = bags.only(bags.documents_of_places() >= DOCUMENTS)
+    share = np.where(labels > 0, 1.0, clean_weight)
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        shuffled = order.permutation(len(docs))
-        for at in range(0, len(docs), BATCH):
+        shuffled = order.permutation(len(labels))
+        for at in range(0, len(labels), BATCH):
             which = shuffled[at : at + BATCH]
-            bags, y = Bags([docs[i] for i in which]), labels[which]
-            logits = bags.sentence_logits(weights)
-            clean = bags.log_clean(logits)
-            # d loss / d logit = p_s * (1 - y / P) with P = 1 - prod(1 - p)
-            toxic = np.maximum(-np.expm1(clean), 1e-9)
-            p = 1 / (1 + np.exp(-logits))
-            slope = p * (1 - (y / toxic)[bags.doc_of])
-            touched, inverse = np.unique(bags.places, return_inverse=True)
-            down = np.bincount(inverse, slope[bags.sentence_of], len(touched)) / len(which) + DECAY * weights[touched]
+            places, sentence_of, doc_of = bags.take(which)
+            logits = np.bincount(sentence_of, weights[places], len(doc_of)) + weights[0]
+            toxic = np.maximum(-np.expm1(np.bincount(doc_of, -np.logaddexp(0, logits), len(which))), 1e-9)
+            # d loss / d logit of a sentence is p (1 - y / P), P being the document's noisy-or
+            slope = (share[which] * (1 - labels[which] / toxic) / share[which].sum())[doc_of] * 1 / (1 + np.exp(-logits))
+            touched, inverse = np.unique(places, return_inverse=True)
+            down = np.bincount(inverse, slope[sentence_of], len(touched)) + DECAY * weights[touched]
             moved[touched] += down**2
             weights[touched] -= RATE * down / np.sqrt(moved[touched])
-            step = slope.sum() / len(which)
-            moved[0] += step**2
-            weights[0] -= 0.1 * RATE * step / np.sqrt(moved[0])
+            moved[0] += slope.sum() ** 2
+            weights[0] -= 0.1 * RATE * slope.sum() / np.sqrt(moved[0])
     return weights
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from labelled rows; their words are cut on the executors, at most `sample` rows reach the driver."""
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> np.ndarray:
+    """Weights from labelled rows; at most sum(sample) rows, cut to places on the executors, reach the driver."""
+
     ship(df.sparkSession)
 
     def cut(batches):
-        places = Places()
+        memory = Memory(word_places)
         for batch in batches:
-            docs = [sentences(t or "", places) for t in batch.column(0).to_pylist()]
+            docs = [[[p for w in dict.fromkeys(s) for p in memory[w]] for s in sentences(t or "")] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
 
-    known = df.filter(F.col(label_col).isNotNull())
-    picked = known.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    picked = picked.orderBy("h", "t", "y").limit(sample).select("t", "y")
-    got = picked.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
-    return fit(got.column("doc").to_pylist(), np.array(got.column("y").to_pylist(), float))
+    y = F.when(F.col(label_col) > 0, 1).otherwise(0)
+    known = df.filter(F.col(label_col).isNotNull()).select(
+        F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), y.alias("y")
+    )
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    kinds = [known.filter(F.col("y") == k).orderBy("h", "t").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
+    got = kinds[0].unionByName(kinds[1]).select("t", "y").mapInArrow(cut, "doc array<array<int>>, y int").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit(Bags(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.zeros(0))
+    docs = pa.concat_arrays(got.column("doc").chunks)
+    flat = docs.flatten()
+    bags = Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), docs.offsets.to_numpy() - docs.offsets[0].as_py())
+    labels = np.array(got.column("y").to_pylist(), float)
+    ones, zeros = labels.sum(), len(labels) - labels.sum()
+    weight = (totals.get(0, 0) / zeros) / (totals.get(1, 0) / ones) if ones and zeros else 1.0
+    return fit(bags, labels, max(1.0, weight))
 
 
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), rows: int = 500) -> DataFrame:
-    """id_col, score double, worst (start, end, p of the sentence that offends most) and the columns in keep."""
+    """id_col, the columns in keep, score double, and worst: the likeliest sentence of a document that scores 0.5 or more."""
+    ship(df.sparkSession)
     used = np.flatnonzero(weights)
-    shared = df.sparkSession.sparkContext.broadcast((used, weights[used]))
+    shared = df.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32)))
     held = [id_col, *keep]
-    ship(df.sparkSession)
 
     def run(batches):
-        places, full = Places(), np.zeros(WEIGHTS)
+        full = np.zeros(WEIGHTS, np.float32)
         full[shared.value[0]] = shared.value[1]
+        bias = float(full[0])
+        memory = Memory(lambda word: float(full[word_places(word)].sum()))
+        weigh = memory.__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                texts = [t or "" for t in batch.column(len(held)).to_pylist()]
-                bags = Bags([sentences(t, places) for t in texts])
-                logits = bags.sentence_logits(full)
-                p = -np.expm1(bags.log_clean(logits))
-                first = np.searchsorted(bags.doc_of, np.arange(bags.n_docs))
-                most = np.maximum.reduceat(logits, first)
-                worst = []
-                for i, text in enumerate(texts):
-                    if p[i] < 0.5:
+                scores, worst = [], []
+                for text in batch.column(len(held)).to_pylist():
+                    logits = np.array([sum(map(weigh, set(s))) for s in sentences(text or "")]) + bias
+                    scores.append(float(np.clip(-np.expm1(-np.logaddexp(0, logits).sum()), 0, 1)))
+                    if scores[-1] < 0.5:
                         worst.append(None)
                         continue
-                    end = first[i + 1] if i + 1 < len(first) else len(logits)
-                    start, stop = spans(text)[int(np.argmax(logits[first[i] : end]))]
-                    worst.append({"start": start, "end": stop, "p": float(1 / (1 + np.exp(-most[i])))})
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(held)], pa.array(np.clip(p, 0, 1)), pa.array(worst, pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))],
-                    names=[*held, "score", "worst"],
-                )
+                    most = int(np.argmax(logits))
+                    start, end = spans(text or "")[most]
+                    worst.append({"start": start, "end": end, "p": float(1 / (1 + np.exp(-logits[most])))})
+                kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(scores, pa.float64()), pa.array(worst, kind)], names=[*held, "score", "worst"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held)
     out = f"{kinds}, score double, worst struct<start:int,end:int,p:double>"
     return df.select(*held, F.col(text_col).alias("_scored")).mapInArrow(run, out)
 
 
-def score_held_out(docs: DataFrame, labels: DataFrame, fold, sample: int = SAMPLE) -> DataFrame:
+def score_held_out(docs: DataFrame, labels: DataFrame, fold, keep: list[str] = ()) -> DataFrame:
     """Learn from labelled documents outside fold 0, then score every document."""
     known = labels.select("doc_id", "toxic").filter(fold != 0)
-    weights = learn(docs.select("doc_id", "text").join(known, "doc_id"), sample=sample)
-    return score(docs, weights)
+    weights = learn(docs.select("doc_id", "text").join(known, "doc_id"))
+    return score(docs, weights, keep=keep)
