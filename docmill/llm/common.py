@@ -36,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, on whatever file system it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5; 0 is the held-out fold."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
