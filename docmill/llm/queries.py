@@ -81,6 +81,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.withColumns({c: fp.to_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import suffix_dedup
+
+    left = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import warc
     from docmill.llm.common import checkpoint, remove, shared_dir
@@ -136,6 +143,7 @@ QUERIES = {
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_chat_formatting": op10_chat_formatting,
 }
