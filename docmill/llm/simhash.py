@@ -156,7 +156,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     """
     found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text_col, k)
     kept = checkpoint(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
-    out = df.join(kept.select(F.col(id_col).alias("_kept"), "_n"), F.col(id_col) == F.col("_kept"))
+    out = df.join(kept.select(F.col(id_col).alias("_kept"), "_n").hint("shuffle_hash"), F.col(id_col) == F.col("_kept"))
     if not kept.filter("_n > 1").isEmpty():
         once = out.filter("_n > 1").dropDuplicates([id_col])
         out = out.filter("_n = 1").unionByName(once)

@@ -305,9 +305,13 @@ def _cut(rows: list[tuple[int, int, bytes]], shards: int) -> Iterator[tuple[int,
         yield int(shard[o[0]]), _pack(key[o], ids[o], nth[o].astype(np.int32), offset[o].astype(np.int32), windows[o].astype(np.int16), body)
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _nth (tells rows of one id apart), _text as bytes."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+def _rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """_id, _nth (tells rows of one id apart), _text as bytes, and the columns in keep as _0, _1 ..."""
+    rows = df.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"),
+        *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
+    )
     if rows.groupBy("_id").count().filter("count > 1").isEmpty():
         return rows.withColumn("_nth", F.lit(0))
     same = Window.partitionBy("_id").orderBy(F.xxhash64("_text"), "_text")
@@ -371,27 +375,34 @@ def without_spans(text: bytes, spans: list[int] | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes long, n_removed long, n_spans long, kept (the bytes that are left), for each row of df."""
-    rows = _rows(df, id_col, text_col)
-    joined = rows.join(removed_spans(rows).hint("shuffle_hash"), ["_id", "_nth"], "left").select("_id", "_text", "spans")
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), as_text: bool = False) -> DataFrame:
+    """id_col, the columns in keep, n_bytes long, n_removed long, n_spans long and kept, for each row of df.
+
+    kept is what is left: bytes, or with as_text a string without the characters that lost a byte.
+    """
+    rows = _rows(df, id_col, text_col, keep)
+    held = [f"_{i}" for i in range(len(keep))]
+    found = removed_spans(rows.select("_id", "_nth", "_text")).hint("shuffle_hash")
+    joined = rows.join(found, ["_id", "_nth"], "left").select("_id", *held, "_text", "spans")
+    kind = pa.string() if as_text else pa.binary()
 
     def apply(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                texts = batch.column(1).to_pylist()
-                left = [without_spans(t, s) for t, s in zip(texts, batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([len(t) - len(k) for t, (k, _) in zip(texts, left)], pa.int64()),
-                        pa.array([n for _, n in left], pa.int64()),
-                        pa.array([k for k, _ in left], pa.binary()),
-                    ],
-                    names=["_id", "n_bytes", "n_removed", "n_spans", "kept"],
-                )
-
-    out = joined.mapInArrow(apply, "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.withColumn(id_col, F.when(F.col("_id") != LAST, F.col("_id")).cast(df.schema[id_col].dataType)).select(id_col, "n_bytes", "n_removed", "n_spans", "kept")
+                texts, spans = (batch.column(len(held) + i).to_pylist() for i in (1, 2))
+                left = [without_spans(t, s) for t, s in zip(texts, spans)]
+                sizes = [[len(t), len(t) - len(k), n] for t, (k, n) in zip(texts, left)]
+                kept = pa.array([k.decode("utf-8", "ignore") if as_text else k for k, _ in left], kind)
+                counts = [pa.array([x[i] for x in sizes], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(held)], *counts, kept], names=names)
+
+    names = ["_id", *held, "_bytes", "_removed", "_spans", "_kept"]
+    kinds = "".join(f", {h} {rows.schema[h].dataType.simpleString()}" for h in held)
+    out = joined.mapInArrow(apply, f"_id bigint{kinds}, _bytes bigint, _removed bigint, _spans bigint, _kept {'string' if as_text else 'binary'}")
+    return out.select(
+        F.when(F.col("_id") != LAST, F.col("_id")).cast(df.schema[id_col].dataType).alias(id_col),
+        *[F.col(h).alias(c) for h, c in zip(held, keep)],
+        *[F.col(f"_{c}").alias(f"n_{c}") for c in ("bytes", "removed", "spans")],
+        F.col("_kept").alias("kept"),
+    )
