@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 # Marks, letters, digits and phrases of Arabic legal texts.
-DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۜ۟-ۤۧ-۪ۨ-ۭ]"
-CITATION_DIACRITICS = "[ؐ-ًؚ-ٰٟ]"
+DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06DC\u06DF-\u06E4\u06E7-\u06E8\u06EA-\u06ED]"
+CITATION_DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670]"
 ALEFS, ALEF = "أإآٱ", "ا" * 4
 MAQSURA, YEH = "ى", "ي"
 TA_MARBUTA, HEH = "ة", "ه"
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
-ARABIC = "[؀-ۿ]"
+ARABIC = r"[\u0600-\u06FF]"
 ARTICLE = r"المادة\s+(\d+)"
 CITATIONS = (
     (r"(?:المادة|مادة|م\.?)\s*[(\[]?\s*(\d+)\s*[)\]]?", (1,)),
@@ -77,8 +77,8 @@ def for_matching(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Direction marks, stretched letters, page lines, letterhead and stamp out; blanks squeezed."""
-    out = F.translate(text, "‏‎", "")
-    for pattern in ("ـ+", r"(?m)^\s*-\s*\d+\s*-\s*$", r"(?m)^[^\n]*وزارة العدل[^\n]*$\n^[^\n]*محكمة[^\n]*$", "صورة طبق الأصل"):
+    out = F.translate(text, "\u200f\u200e", "")
+    for pattern in (r"\u0640+", r"(?m)^\s*-\s*\d+\s*-\s*$", r"(?m)^[^\n]*وزارة العدل[^\n]*$\n^[^\n]*محكمة[^\n]*$", "صورة طبق الأصل"):
         out = F.regexp_replace(out, pattern, "")
     return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), r"^\s+|\s+$", "")
 
