@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,19 +39,25 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+@cache
+def _normal_form(form: str):
+    """The one thing here that Spark has no function for."""
 
+    @pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize(form, t))
 
-@pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+    return convert
 
 
-def composed(text: Column, udf=nfc) -> Column:
-    """Normalised by udf, which only rows with something beyond ASCII reach."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), udf(text)).otherwise(text)
+def composed(text: Column, form: str = "NFC") -> Column:
+    """In a Unicode normal form; only rows with something beyond ASCII leave the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), _normal_form(form)(text)).otherwise(text)
+
+
+def folded(text: Column) -> Column:
+    """The key under which strings count as equal: NFKC, trimmed, lower case."""
+    return F.lower(F.trim(composed(text, "NFKC")))
 
 
 def normalize(text: Column, ta_marbuta: bool = False) -> Column:

@@ -73,7 +73,8 @@ def coverage(placed: DataFrame, known: DataFrame, key: str, bucket: str, pos: st
 def append_or_reset(df: DataFrame, key: str, seq: str, reset: Column) -> DataFrame:
     """The rows after each key's last reset."""
     last = F.max(F.when(reset, F.col(seq))).over(Window.partitionBy(key))
-    return df.filter((F.col(seq) > F.coalesce(last, F.lit(-1))) & ~reset)
+    marked = df.withColumns({"_last": last, "_reset": reset})
+    return marked.filter(~F.col("_reset") & (F.col("_last").isNull() | (F.col(seq) > F.col("_last")))).drop("_last", "_reset")
 
 
 def keep_non_null(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:

@@ -124,7 +124,7 @@ def mmr(candidates: DataFrame, query: list[float], k: int, weight: float = 0.5,
         return pd.DataFrame({id_col: pdf[id_col].iloc[taken].to_numpy(), "place": np.arange(1, len(taken) + 1), "score": np.round(relevance[taken], 6)})
 
     kind = candidates.schema[id_col].dataType.simpleString()
-    return candidates.select(id_col, vec_col).groupBy(F.lit(1)).applyInPandas(choose, f"{id_col} {kind}, place int, score double")
+    return candidates.select(id_col, vec_col, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(choose, f"{id_col} {kind}, place int, score double")
 
 
 def expand(question: Column, hyde: Column, paraphrases: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docmill.plans import cases, citing, reasoning, relational, retrieval, stateful, summaries, texts  # noqa: F401  each registers its queries
+from docmill.plans.registry import ORACLE_SQL, QUERIES
 
+flagship = retrieval.dedupe_confidence_grade
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

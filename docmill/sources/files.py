@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ def file_type(content: Column, path: Column) -> Column:
     return F.coalesce(*by_bytes, *[F.when(ending.isin(*es), t) for t, es in ENDINGS.items()], F.lit("unknown"))
 
 
-@pandas_udf("string")
-def _decoded(contents: pd.Series) -> pd.Series:
+@cache
+def _decoder():
     def one(raw: bytes) -> str:
         for encoding in ENCODINGS:
             try:
@@ -43,13 +45,17 @@ def _decoded(contents: pd.Series) -> pd.Series:
                 continue
         return bytes(raw).decode("utf-8", "replace")
 
-    return contents.map(lambda x: None if x is None else one(x))
+    @pandas_udf("string")
+    def convert(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: None if x is None else one(x))
+
+    return convert
 
 
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8, else the Arabic and Latin code pages in turn, else UTF-8 with replacements."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(_decoded(content))
+    return F.when(F.is_valid_utf8(text), text).otherwise(_decoder()(content))
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

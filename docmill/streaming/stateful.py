@@ -60,7 +60,8 @@ def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = 100,
 def ttl_hits(events: DataFrame, key: list[str], ts: str, seq: str, seconds: int) -> DataFrame:
     """Events with hit: the same key was seen at most `seconds` (exclusive) before."""
     w = Window.partitionBy(*key).orderBy(ts, seq)
-    age = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    age = at - F.lag(at).over(w)
     return events.withColumn("hit", F.coalesce(age < seconds * 1_000_000, F.lit(False)))
 
 
@@ -99,7 +100,7 @@ def counter_fold(sizes: Column, every: int) -> Column:
 
 def messages(turns: DataFrame, keep: list[str], query: str, response: str) -> DataFrame:
     """A turn as two messages, the user's first."""
-    pair = F.array(F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col(query).alias("content")), F.struct(F.lit(1), F.lit("assistant"), F.col(response)))
+    pair = F.array(F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col(query).alias("content")), F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col(response).alias("content")))
     return turns.select(*keep, F.inline(pair))
 
 
