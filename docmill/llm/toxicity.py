@@ -10,7 +10,7 @@ whole word and of its beginnings, all hashed to WEIGHTS places. Sentences end at
 line's end, at the first such place that leaves at least LEAST words, and after MOST words.
 Null and empty texts have one sentence without words, so their score is the bias alone.
 Repeated rows are learned from as often as they are sampled. Without labels of both kinds every
-score is 0, or 1 if all labels are 1.
+score is next to 0, or to 1 if all labels are 1.
 """
 
 from __future__ import annotations
@@ -144,10 +144,22 @@ def fit(bags: Bags, labels: np.ndarray, clean_weight: float = 1.0, seed: int = 7
     return weights
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> np.ndarray:
-    """Weights from labelled rows; at most sum(sample) rows, cut to places on the executors, reach the driver."""
+def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, float]:
+    """Ids and labels (_id, y) of the rows to learn from, sum(sample) at most, and the weight of a row with label 0."""
+    y = F.when(F.col(label_col) > 0, 1).otherwise(0).alias("y")
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), y)
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    kinds = [known.filter(F.col("y") == k).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
+    share = [min(1.0, n / totals[k]) if totals.get(k) else 1.0 for k, n in ((1, sample[0]), (0, sample[1]))]
+    return kinds[0].unionByName(kinds[1]), max(1.0, share[0] / share[1])
 
-    ship(df.sparkSession)
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> np.ndarray:
+    """Weights from the labelled documents; their words are cut to places on the executors.
+
+    The sampled ids, sum(sample) rows at most, are broadcast to the documents, so no text is shuffled.
+    """
+    ship(docs.sparkSession)
 
     def cut(batches):
         memory = Memory(word_places)
@@ -155,22 +167,15 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             docs = [[[p for w in dict.fromkeys(s) for p in memory[w]] for s in sentences(t or "")] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
 
-    y = F.when(F.col(label_col) > 0, 1).otherwise(0)
-    known = df.filter(F.col(label_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), y.alias("y")
-    )
-    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    kinds = [known.filter(F.col("y") == k).orderBy("h", "t").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
-    got = kinds[0].unionByName(kinds[1]).select("t", "y").mapInArrow(cut, "doc array<array<int>>, y int").toArrow().combine_chunks()
+    ids, weight = sampled(labels, id_col, label_col, sample)
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(text_col), "y")
+    got = rows.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
     if not got.num_rows:
         return fit(Bags(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.zeros(0))
-    docs = pa.concat_arrays(got.column("doc").chunks)
-    flat = docs.flatten()
-    bags = Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), docs.offsets.to_numpy() - docs.offsets[0].as_py())
-    labels = np.array(got.column("y").to_pylist(), float)
-    ones, zeros = labels.sum(), len(labels) - labels.sum()
-    weight = (totals.get(0, 0) / zeros) / (totals.get(1, 0) / ones) if ones and zeros else 1.0
-    return fit(bags, labels, max(1.0, weight))
+    listed = pa.concat_arrays(got.column("doc").chunks)
+    flat = listed.flatten()
+    bags = Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), listed.offsets.to_numpy() - listed.offsets[0].as_py())
+    return fit(bags, np.array(got.column("y").to_pylist(), float), weight)
 
 
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), rows: int = 500) -> DataFrame:
@@ -209,6 +214,5 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
 
 def score_held_out(docs: DataFrame, labels: DataFrame, fold, keep: list[str] = ()) -> DataFrame:
     """Learn from labelled documents outside fold 0, then score every document."""
-    known = labels.select("doc_id", "toxic").filter(fold != 0)
-    weights = learn(docs.select("doc_id", "text").join(known, "doc_id"))
+    weights = learn(docs, labels.filter(fold != 0))
     return score(docs, weights, keep=keep)
