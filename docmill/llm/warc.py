@@ -6,7 +6,7 @@ is written whole; the others become revisit records that name it. A block longer
 bytes is cut: the first part is the response record, numbered 1, the rest are continuation
 records that name it as their origin, and the last of them bears the total length. Spark's text
 writer puts the records into files (they end as the format asks, with two empty lines, which is
-the writer's line separator), so any file system that Spark writes to will do, and a lost task
+the writer's line separator) and compresses each with gzip, so any file system that Spark writes to will do, and a lost task
 leaves no half file.
 
 Reading. Files are parsed record by record by their Content-Length. Segments are grouped by the
@@ -22,6 +22,7 @@ no files and an empty result. Ids are longs.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def plain(data: bytes) -> bytes:
+    """A file's records, whether it is compressed (as one gzip member or several) or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _uri(url: str | None) -> str | None:
     return url and "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
@@ -133,7 +139,8 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = plan.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
+    files = records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    files.mode("overwrite").text(path, compression="gzip")
 
 
 PART = "id bigint, uri string, kind string, digest string, refers bigint, origin string, number int, total bigint, block binary"
@@ -153,7 +160,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column(0):
                 out: list[list] = [[] for _ in names]
                 held = 0
-                for f, block in parse(data.as_buffer().to_pybytes()):
+                for f, block in parse(plain(data.as_buffer().to_pybytes())):
                     number = lambda key: int(v) if (v := f.get(key, "null")) != "null" else None
                     digest = f.get("warc-payload-digest", "").partition(":")[2] or None
                     row = (
