@@ -7,7 +7,8 @@ as one piece (about 18 windows), so equal windows of any two documents meet in t
 and the pieces hold each byte about four times. Shards are dealt by that hash, and their number
 grows with the bytes of the corpus.
 
-In a shard, pieces whose hash occurs in one document only are put aside, and equal pieces are
+Texts lie in packs of a few megabytes. A pack first asks the shards which of its pieces' hashes
+other packs have, and sends only those. In a shard, pieces whose hash occurs in one document only are put aside, and equal pieces are
 merged into one with their smallest id. Over the others a suffix array is built by
 Larsson-Sadakane refinement: suffixes are sorted by eight bytes, then groups that are still tied
 are sorted by the rank of the suffix 8, 16 and 32 bytes further on. Common prefixes of neighbours
@@ -15,7 +16,7 @@ are sorted by the rank of the suffix 8, 16 and 32 bytes further on. Common prefi
 windows, and each group's smallest id decides. What is more than ARRAY bytes is cut into several
 arrays, whose sorted windows are merged by binary search of each one's windows in the others.
 
-Only compressed pieces, spans and, once, the texts are shuffled. Null texts count as empty; an
+Only texts (once), codes, compressed pieces that documents share, and spans are shuffled. Null texts count as empty; an
 empty or short text has no windows and stays whole. Rows that repeat an id never take bytes from
 each other, whatever their texts. A null id ranks after all others. Ids must be integers.
 """
@@ -35,8 +36,8 @@ from docmill.workers import ship
 LENGTH, K = 50, 16
 #: Longest piece, in windows; longer runs (texts with a period) are cut.
 RUN = 512
-#: Bytes of text cut into pieces at a time, bytes of pieces in a shard, bytes of one suffix array.
-SLICE, SHARD, ARRAY = 6_000_000, 12_000_000, 6_000_000
+#: Bytes of text cut into pieces at a time, of text in a pack and for each shard, and of one suffix array.
+SLICE, PACK, SHARD, ARRAY = 8_000_000, 6_000_000, 3_000_000, 6_000_000
 LAST = (1 << 63) - 1
 PAD = 64
 
@@ -271,10 +272,10 @@ def shard_spans(key: np.ndarray, windows: np.ndarray, ids: np.ndarray, offset: n
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of one length, then their bytes: every piece's record fields and text."""
     head = np.array([len(columns[0]), len(columns[-1])], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
-KINDS = (np.uint64, np.int64, np.int32, np.int32, np.int16)  # key, id, row among equal ids, offset, windows
+KINDS = (np.uint64, np.int64, np.int32, np.int64, np.int16)  # hash, id, row among equal ids, offset, windows
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -287,22 +288,128 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [*out, np.frombuffer(raw, np.uint8, size, at)]
 
 
-def _cut(rows: list[tuple[int, int, bytes]], shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, packed pieces) of some rows (id, row among equal ids, text)."""
-    data, start, windows, key = pieces([r[2] for r in rows])
-    if not len(start):
-        return
-    ends = np.cumsum([len(r[2]) for r in rows])
-    which = np.searchsorted(ends, start, side="right")
-    ids, nth = (np.array([r[i] for r in rows], np.int64)[which] for i in (0, 1))
-    offset = start - (ends - np.array([len(r[2]) for r in rows]))[which]
-    shard = (key >> np.uint64(8)) % np.uint64(shards)
-    order = np.lexsort((key, shard))
-    edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]]))
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers, as the bytes of their steps, each place of the steps' bytes by itself."""
+    steps = np.diff(codes.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack_codes(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _edges(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
+
+
+class Slice:
+    """Pieces of some texts of a pack: row, offset in the row's text, windows, hash, and code (shard, then 32 bits)."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], shards: int):
+        self.data, self.start, self.windows, self.key = pieces([t for *_, t in parts])
+        sizes = np.array([len(t) for *_, t in parts], np.int64)
+        which = np.searchsorted(np.cumsum(sizes), self.start, side="right")
+        self.row = np.array([r for r, *_ in parts], np.int64)[which]
+        self.offset = self.start - (np.cumsum(sizes) - sizes)[which] + np.array([o for _, o, _ in parts], np.int64)[which]
+        self.shard = (self.key >> np.uint64(8)) % np.uint64(shards)
+        self.code = (self.shard << np.uint64(32)) | (self.key & np.uint64(0xFFFFFFFF))
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, offset, bytes) in lists of SLICE bytes or so; a longer text is cut so that each window is in one part."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - LENGTH + 1), SLICE):
+            part = text[at : at + SLICE + LENGTH - 1]
+            if len(part) < LENGTH:
+                continue
+            held.append((row, at, part))
+            size += len(part)
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _table(**columns: pa.Array) -> pa.Table:
+    return pa.table(columns)
+
+
+def pack_keys(pack: int, texts: list[bytes], shards: int) -> pa.Table:
+    """What a pack asks of each shard: its different codes."""
+    codes = [np.unique(Slice(parts, shards).code) for parts in _slices(texts)]
+    every = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
+    shard = every >> np.uint64(32)
+    edges = _edges(shard)
+    blobs = [_pack_codes(every[a:b] & np.uint64(0xFFFFFFFF)) for a, b in zip(edges[:-1], edges[1:])]
+    return _table(shard=pa.array(shard[edges[:-1]].astype(np.int32), pa.int32()), _pack=pa.array([pack] * len(blobs), pa.int32()), blob=pa.array(blobs, pa.binary()))
+
+
+def shared_keys(shard: int, packs: list[int], blobs: list[bytes]) -> pa.Table:
+    """A shard's answer to each pack: those of its codes that another pack has too."""
+    codes = [_unpack_codes(b) for b in blobs]
+    every = np.concatenate(codes)
+    ordered = np.sort(every)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    out = [(p, c) for p, own in zip(packs, codes) if len(c := own[np.isin(own, twice, assume_unique=True)])]
+    return _table(_pack=pa.array([p for p, _ in out], pa.int32()), shard=pa.array([shard] * len(out), pa.int32()), blob=pa.array([_pack_codes(c) for _, c in out], pa.binary()))
+
+
+def pack_pieces(pack: int, rows: list[tuple[int, int, bytes]], shards: int, answers: list[tuple[int, bytes]]) -> pa.Table:
+    """A pack's pieces whose code more than one document has, for each shard."""
+    asked = [(np.uint64(s) << np.uint64(32)) | _unpack_codes(b).astype(np.uint64) for s, b in answers]
+    texts, ids, nth = [r[2] for r in rows], np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+    lists = list(_slices(texts))
+    first = Slice(lists[0], shards) if len(lists) == 1 else None
+    seen = [np.stack([x.code, x.row.astype(np.uint64)]) for x in ([first] if first else (Slice(parts, shards) for parts in lists))]
+    wanted = asked
+    if seen:
+        both = np.concatenate(seen, axis=1)
+        order = np.lexsort((both[1], both[0]))
+        code, row = both[0][order], both[1][order]
+        wanted = [*asked, np.unique(code[1:][(code[1:] == code[:-1]) & (row[1:] != row[:-1])])]
+    wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
+    out = []
+    for parts in lists:
+        x = first or Slice(parts, shards)
+        kept = np.flatnonzero(np.isin(x.code, wanted))
+        kept = kept[np.lexsort((x.key[kept], x.shard[kept]))]
+        edges = _edges(x.shard[kept])
+        for a, b in zip(edges[:-1], edges[1:]):
+            o = kept[a:b]
+            body = gather(x.data, x.start[o], x.windows[o] + LENGTH - 1)
+            out.append((int(x.shard[o[0]]), _pack(x.key[o], ids[x.row[o]], nth[x.row[o]], x.offset[o], x.windows[o].astype(np.int16), body)))
+    return _table(shard=pa.array([s for s, _ in out], pa.int32()), _pack=pa.array([pack] * len(out), pa.int32()), blob=pa.array([b for _, b in out], pa.binary()))
+
+
+def pack_spans(packs: list[int], blobs: list[bytes]) -> pa.Table:
+    """A shard's spans to remove, for each pack: ids, rows among equal ids, first bytes, ends."""
+    parts = [_unpack(b) for b in blobs]
+    key, ids, nth, offset, windows, data = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    of = np.repeat(np.array(packs, np.int32), [len(p[0]) for p in parts])
+    piece, lo, hi = shard_spans(key, windows.astype(np.int64), ids, offset, data)
+    order = np.argsort(of[piece], kind="stable")
+    edges = _edges(of[piece][order])
+    out = []
     for a, b in zip(edges[:-1], edges[1:]):
         o = order[a:b]
-        body = gather(data, start[o], windows[o] + LENGTH - 1)
-        yield int(shard[o[0]]), _pack(key[o], ids[o], nth[o].astype(np.int32), offset[o].astype(np.int32), windows[o].astype(np.int16), body)
+        raw = b"".join(x.tobytes() for x in (ids[piece[o]], nth[piece[o]].astype(np.int64), lo[o], hi[o]))
+        out.append((int(of[piece[o[0]]]), zstandard.ZstdCompressor(level=3).compress(raw)))
+    return _table(_pack=pa.array([p for p, _ in out], pa.int32()), spans=pa.array([b for _, b in out], pa.binary()))
+
+
+def read_spans(blobs: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(id, row among equal ids) -> its spans."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for blob in blobs:
+        ids, nth, lo, hi = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(4, -1).tolist()
+        for i, n, a, b in zip(ids, nth, lo, hi):
+            out.setdefault((i, n), []).append((a, b))
+    return out
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -318,55 +425,14 @@ def _rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFra
     return rows.withColumn("_nth", F.row_number().over(same) - 1)
 
 
-def removed_spans(rows: DataFrame) -> DataFrame:
-    """_id, _nth, spans (array of start * 2^32 + end, unsorted, they may overlap) of rows (_id, _nth, _text)."""
-    spark = rows.sparkSession
-    ship(spark)
-    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // SHARD))
-
-    def cut(batches):
-        for batch in batches:
-            held, size = [], 0
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = row[2].as_py()
-                if len(text) >= LENGTH:
-                    held.append((row[0], row[1], text))
-                    size += len(text)
-                if size >= SLICE:
-                    yield from _packed(held, shards)
-                    held, size = [], 0
-            if held:
-                yield from _packed(held, shards)
-
-    def _packed(held, shards):
-        found = list(_cut(held, shards))
-        for lo in range(0, len(found), 200):
-            part = found[lo : lo + 200]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=["shard", "blob"])
-
-    def spans(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table.column("blob")]
-        key, ids, nth, offset, windows, data = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        piece, lo, hi = shard_spans(key, windows.astype(np.int64), ids, offset.astype(np.int64), data)
-        return pa.table({"_id": pa.array(ids[piece], pa.int64()), "_nth": pa.array(nth[piece], pa.int32()), "span": pa.array((lo << 32) | hi, pa.int64())})
-
-    blobs = rows.select("_id", "_nth", "_text").mapInArrow(cut, "shard int, blob binary")
-    found = blobs.groupBy("shard").applyInArrow(spans, "_id bigint, _nth int, span bigint")
-    return found.groupBy("_id", "_nth").agg(F.collect_list("span").alias("spans"))
-
-
-def without_spans(text: bytes, spans: list[int] | None) -> tuple[bytes, int]:
+def without_spans(text: bytes, spans: list[tuple[int, int]] | None) -> tuple[bytes, int]:
     """What is left of text, and the number of maximal removed runs."""
     if not spans:
         return text, 0
-    kept, at, runs = [], 0, 0
-    end = -1
-    for lo, hi in sorted((s >> 32, s & 0xFFFFFFFF) for s in spans):
+    kept, runs, end, at = [], 0, -1, 0
+    for lo, hi in sorted(spans):
         if lo > end:
-            if end >= 0:
-                at = end
-            kept.append(text[at:lo])
+            kept.append(text[at if end < 0 else end : lo])
             runs += 1
             end = hi
         elif hi > end:
@@ -379,27 +445,48 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
     """id_col, the columns in keep, n_bytes long, n_removed long, n_spans long and kept, for each row of df.
 
     kept is what is left: bytes, or with as_text a string without the characters that lost a byte.
+
+    Texts are shuffled once, into packs; what follows reads them there. Packs ask the shards which
+    of their pieces' codes (32 bits of a hash, so a few strangers get in, which does no harm) other
+    packs have, send those pieces, get back spans and apply them.
     """
+    spark = df.sparkSession
+    ship(spark)
     rows = _rows(df, id_col, text_col, keep)
+    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, packs = max(least, -(-total // SHARD)), max(2 * least, -(-total // PACK))
     held = [f"_{i}" for i in range(len(keep))]
-    found = removed_spans(rows.select("_id", "_nth", "_text")).hint("shuffle_hash")
-    joined = rows.join(found, ["_id", "_nth"], "left").select("_id", *held, "_text", "spans")
-    kind = pa.string() if as_text else pa.binary()
-
-    def apply(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                texts, spans = (batch.column(len(held) + i).to_pylist() for i in (1, 2))
-                left = [without_spans(t, s) for t, s in zip(texts, spans)]
-                sizes = [[len(t), len(t) - len(k), n] for t, (k, n) in zip(texts, left)]
-                kept = pa.array([k.decode("utf-8", "ignore") if as_text else k for k, _ in left], kind)
-                counts = [pa.array([x[i] for x in sizes], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(held)], *counts, kept], names=names)
-
-    names = ["_id", *held, "_bytes", "_removed", "_spans", "_kept"]
+    texts = rows.select(F.pmod(F.xxhash64("_id", "_nth"), F.lit(packs)).cast("int").alias("_pack"), "_id", "_nth", "_text", *held)
+    listed = lambda table, *names: [table.column(n).to_pylist() for n in names]
+
+    def ask(key, table):
+        return pack_keys(key[0].as_py(), table.column("_text").to_pylist(), shards)
+
+    def answer(key, table):
+        return shared_keys(key[0].as_py(), *listed(table, "_pack", "blob"))
+
+    def send(key, left, right):
+        return pack_pieces(key[0].as_py(), list(zip(*listed(left, "_id", "_nth", "_text"))), shards, list(zip(*listed(right, "shard", "blob"))))
+
+    def judge(table):
+        return pack_spans(*listed(table, "_pack", "blob"))
+
+    def apply(key, left, right):
+        spans = read_spans(right.column("spans").to_pylist())
+        ids, nth, bodies = listed(left, "_id", "_nth", "_text")
+        after = [without_spans(t, spans.get((i, n))) for i, n, t in zip(ids, nth, bodies)]
+        kept = pa.array([k.decode("utf-8", "ignore") if as_text else k for k, _ in after], pa.string() if as_text else pa.binary())
+        sizes = [pa.array(x, pa.int64()) for x in ([len(t) for t in bodies], [len(t) - len(k) for t, (k, _) in zip(bodies, after)], [n for _, n in after])]
+        return pa.table([left.column("_id"), *[left.column(h) for h in held], *sizes, kept], names=["_id", *held, "_bytes", "_removed", "_spans", "_kept"])
+
+    by_pack = lambda d: d.groupBy("_pack")
+    asked = by_pack(texts).applyInArrow(ask, "shard int, _pack int, blob binary")
+    shared = asked.groupBy("shard").applyInArrow(answer, "_pack int, shard int, blob binary")
+    sent = by_pack(texts).cogroup(by_pack(shared)).applyInArrow(send, "shard int, _pack int, blob binary")
+    judged = sent.groupBy("shard").applyInArrow(judge, "_pack int, spans binary")
     kinds = "".join(f", {h} {rows.schema[h].dataType.simpleString()}" for h in held)
-    out = joined.mapInArrow(apply, f"_id bigint{kinds}, _bytes bigint, _removed bigint, _spans bigint, _kept {'string' if as_text else 'binary'}")
+    out = by_pack(texts).cogroup(by_pack(judged)).applyInArrow(apply, f"_id bigint{kinds}, _bytes bigint, _removed bigint, _spans bigint, _kept {'string' if as_text else 'binary'}")
     return out.select(
         F.when(F.col("_id") != LAST, F.col("_id")).cast(df.schema[id_col].dataType).alias(id_col),
         *[F.col(h).alias(c) for h, c in zip(held, keep)],
