@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,10 +41,9 @@ def top_k_many(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "q
     """
     spark = corpus.sparkSession
     ship(spark)
-    rows = [(r[query_id], r["q"]) for r in queries.select(query_id, "q").toLocalIterator()]
+    rows = ((r[query_id], r["q"]) for r in queries.select(query_id, "q").toLocalIterator())
     parts = []
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        part = rows[lo : lo + QUERY_BLOCK]
+    while part := list(islice(rows, QUERY_BLOCK)):
         shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], float)))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -105,8 +105,7 @@ def unit(spark, sf_dir):
     FROM documents, w WHERE n_chars < 400 AND lang = 'en' ORDER BY rerank_score DESC, doc_id LIMIT 20""",
 )
 def rerank(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.col("text").alias("question"))
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 400 and lang = 'en'").select("doc_id", "text")
-    both = docs.crossJoin(F.broadcast(asked)).withColumn("score", F.lit(0.0))  # one question row
-    relevance = F.round(R.lexical_overlap(F.col("question"), F.col("text")), 6)
-    return R.rerank(both, relevance, 20, "doc_id").select("doc_id", "rerank_score")
+    question = table(spark, sf_dir, "benchmark").filter("item_id = 0").select("text").head()[0]
+    docs = table(spark, sf_dir, "documents").filter("n_chars < 400 and lang = 'en'").select("doc_id", "text", F.lit(0.0).alias("score"))
+    relevance = F.round(R.lexical_overlap(F.lit(question), F.col("text")), 6)
+    return R.rerank(docs, relevance, 20, "doc_id").select("doc_id", "rerank_score")

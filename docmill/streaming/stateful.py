@@ -17,23 +17,25 @@ def rate_limited(events: DataFrame, key: str, ts: str, seq: str, limit: int = 10
     """Events with window_start, n (its number in the window) and allowed.
 
     A key's window begins at its first event and lasts `seconds`; the next event after it begins
-    another. The fold runs in order of (ts, seq) over each key's events, a batch at a time.
+    another. Events are sorted by (key, ts, seq) within partitions by key and folded as they stream
+    past, so a key of any number of events needs the memory of one batch.
     """
     ship(events.sparkSession)
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, window_start timestamp, n bigint, allowed boolean"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, seq], ignore_index=True)
-        starts, ns, start, n = [], [], None, 0
-        for t in pdf[ts]:
-            if start is None or (t - start).total_seconds() >= seconds:
-                start, n = t, 0
-            n += 1
-            starts.append(start)
-            ns.append(n)
-        return pdf.assign(window_start=starts, n=ns, allowed=[x <= limit for x in ns])
-
-    return events.groupBy(key).applyInPandas(fold, out)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, start, n = object(), None, 0
+        for pdf in batches:
+            starts, ns = [], []
+            for k, t in zip(pdf[key], pdf[ts]):
+                if k != now or (t - start).total_seconds() >= seconds:
+                    now, start, n = k, t, 0
+                n += 1
+                starts.append(start)
+                ns.append(n)
+            yield pdf.assign(window_start=starts, n=ns, allowed=[x <= limit for x in ns])
+
+    return events.repartition(key).sortWithinPartitions(key, ts, seq).mapInPandas(fold, out)
 
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = 100, seconds: int = 60) -> DataFrame:
