@@ -1,77 +1,83 @@
 """Language identification by rank-order n-gram profiles and the out-of-place distance.
 
-A profile is the PROFILE most frequent n-grams (1 to LONGEST characters of lower-cased words,
-each word between two "_") in order of frequency; ties go by the n-gram's hash. A language's
+A profile is the PROFILE most frequent n-grams (1 to 3 characters of lower-cased words, each
+word between two blanks) in order of frequency; ties go by the characters' codes. A language's
 profile counts the n-grams of all its training texts. A document is compared with each language:
 every n-gram of its own profile costs the distance between its two ranks, or PROFILE if the
 language lacks it; the language with the least cost wins, ties by name.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a language are not
 learned from. Repeated rows count as often as they occur. With nothing to learn from, every
-text is `und`. The model (languages x PROFILE hashes) goes through the driver; its size depends
-on the number of languages only. Counting is an aggregation by (language, word) and then by
-(language, n-gram), with partial sums before each shuffle.
+text is `und`. The model (languages x PROFILE numbers) goes through the driver; its size depends
+on the number of languages only. Counting sums within each batch and task before it shuffles.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.workers import ship
 
-PROFILE, LONGEST = 300, 4
+PROFILE = 300
+#: Documents whose n-grams are held at a time.
+SLICE = 200
 UNKNOWN = "und"
-WORD = regex.compile(r"\p{L}+")
-#: Longer runs of letters are cut into pieces of this many, here and in training.
-PIECE = 64
-#: Words that a worker remembers; when full, the memory starts afresh.
-REMEMBER = 100_000
+BLANK, BITS = 0x20, 21
 
 
-def grams(word: str) -> np.ndarray:
-    """Hashes of a word's n-grams."""
-    padded = f"_{word}_"
-    found = [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1)]
-    return np.array([xxhash.xxh64_intdigest(g.encode()) >> 1 for g in found if g != "_"], np.int64)
+@cache
+def letters() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def words(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if any(len(w) > PIECE for w in found):
-        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
-    return found
+def grams(text: str) -> np.ndarray:
+    """All n-grams of a text as numbers, repeats included: three code points of 21 bits, the last first filled."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    known = letters()[codes]
+    if not known.any():
+        return np.empty(0, np.int64)
+    codes[~known] = BLANK
+    pairs = (codes[:-1] << BITS) | codes[1:]
+    threes = (pairs[:-1] << BITS) | codes[2:]
+    return np.concatenate([codes[known], pairs[known[:-1] | known[1:]], threes[known[1:-1]]])
 
 
-class Grams(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = out = grams(word)
-        return out
+def counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers in order, and how often each is there."""
+    ordered = np.sort(found)
+    if not len(ordered):
+        return ordered, ordered
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def ranked(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The PROFILE most frequent hashes, most frequent first, ties by hash."""
-    return hashes[np.lexsort((hashes, -counts))[:PROFILE]]
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several counts."""
+    values, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    if not len(values):
+        return values, n
+    order = np.argsort(values, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], values[order][1:] != values[order][:-1]]))
+    return values[order][first], np.add.reduceat(n[order], first)
 
 
-def document_profile(found: list[str], memory: Grams) -> np.ndarray:
-    seen: dict[str, int] = {}
-    for w in found:
-        seen[w] = seen.get(w, 0) + 1
-    parts = [memory[w] for w in seen]
-    weights = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(p) for p in parts])
-    hashes, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return ranked(hashes, np.bincount(inverse, weights))
+def profile(found: np.ndarray) -> np.ndarray:
+    """The PROFILE most frequent numbers, most frequent first, ties by number."""
+    values, n = counted(found)
+    if len(values) > PROFILE:
+        least = np.partition(n, len(n) - PROFILE)[len(n) - PROFILE]
+        values, n = values[n >= least], n[n >= least]
+    return values[np.argsort(-n, kind="stable")[:PROFILE]]
 
 
 class Model:
-    """Profiles of the languages, as ranks of all the hashes that any of them has."""
+    """Profiles of the languages, as ranks of all the n-grams that any of them has."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.names = sorted(profiles)
@@ -80,14 +86,18 @@ class Model:
         for row, name in enumerate(self.names):
             self.rank[row, np.searchsorted(self.known, profiles[name])] = np.arange(len(profiles[name]))
 
-    def predict(self, profile: np.ndarray) -> tuple[str, float]:
+    def predict(self, text: str) -> tuple[str, float]:
         """The nearest language and how far the others are behind it, 0 to 1."""
-        at = np.minimum(np.searchsorted(self.known, profile), max(len(self.known) - 1, 0))
-        at = np.where(self.known[at] == profile, at, len(self.known))
+        found = grams(text)
+        if not len(found) or not self.names:
+            return UNKNOWN, 0.0
+        own = profile(found)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = np.where(self.known[at] == own, at, len(self.known))
         ranks = self.rank[:, at]
-        cost = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(profile)))).sum(axis=1)
+        cost = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
         best = int(np.argmin(cost))
-        likeness = np.exp(-8.0 * (cost - cost[best]) / (PROFILE * len(profile)))
+        likeness = np.exp(-8.0 * (cost - cost[best]) / (PROFILE * len(own)))
         return self.names[best], float(1.0 / likeness.sum())
 
 
@@ -95,33 +105,24 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     """Each language's profile over all rows with a language."""
     ship(df.sparkSession)
 
-    def word_counts(batches):
-        for batch in batches:
-            sums: dict[tuple[str, str], int] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in words(text or ""):
-                    sums[lang, w] = sums.get((lang, w), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(sums.values(), pa.int64())],
-                names=["lang", "word", "n"],
-            )
-
-    def gram_counts(batches):
+    def counts(batches):
         for batch in batches:
-            langs, n = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            parts = [grams(w) for w in batch.column(1).to_pylist()]
-            rows: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                rows.setdefault(lang, []).append(i)
-            for lang, which in rows.items():
-                hashes, inverse = np.unique(np.concatenate([parts[i] for i in which]), return_inverse=True)
-                sums = np.bincount(inverse, np.repeat(n[which], [len(parts[i]) for i in which])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes), pa.string()), pa.array(hashes), pa.array(sums)], names=["lang", "gram", "n"])
-
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    by_word = rows.mapInArrow(word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_gram = by_word.mapInArrow(gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = by_gram.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= PROFILE)
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for at in range(0, batch.num_rows, SLICE):
+                texts: dict[str, list[str]] = {}
+                part = batch.slice(at, SLICE)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    texts.setdefault(lang, []).append(text)
+                for lang, held in texts.items():
+                    parts.setdefault(lang, []).append(counted(np.concatenate([grams(t) for t in held])))
+            for lang, held in parts.items():
+                values, n = merged(held)
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    rows = df.filter(F.col(lang_col).isNotNull() & (F.coalesce(text_col, F.lit("")) != "")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    summed = rows.mapInArrow(counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= PROFILE)
     profiles: dict[str, list[tuple[int, int]]] = {}
     for row in top.collect():
         profiles.setdefault(row.lang, []).append((row.r, row.gram))
@@ -130,18 +131,15 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
 def identify(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", rows: int = 1000) -> DataFrame:
     """id_col, lang_pred string, score double for every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
     ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
-        model, memory = Model(shared.value), Grams()
+        model = Model(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                out = []
-                for text in batch.column(1).to_pylist():
-                    found = words(text or "")
-                    out.append(model.predict(document_profile(found, memory)) if found and model.names else (UNKNOWN, 0.0))
+                out = [model.predict(text or "") for text in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                     names=[id_col, "lang_pred", "score"],
