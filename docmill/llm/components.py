@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 from docmill.llm.common import checkpoint
 
 
+def _ends(pointers: DataFrame) -> DataFrame:
+    """(u, to) with every pointer followed to its end; all that is pointed at has a pointer too."""
+    while True:
+        onward = pointers.select(F.col("u").alias("to"), F.col("to").alias("next"))
+        jumped = checkpoint(pointers.join(onward, "to").select("u", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        if jumped.filter("moved").isEmpty():
+            return jumped.select("u", "to")
+        pointers = jumped.select("u", "to")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (u, v).
 
-    Each round points every node at its smallest neighbour (or itself) and contracts the edges
-    along the pointers, so that a node with any neighbour left at least halves in number; the
-    pointers of all rounds are then followed. Every round is written to the shared folder. The
-    minimum is taken before the shuffle, so a node with very many edges is no hot key there, and
-    the joins are plain equi-joins that Spark can split where one key is hot.
+    Each round points every node at its smallest neighbour (or itself), follows the pointers to
+    their ends by doubling, and contracts the edges, so that the nodes that still have an edge at
+    least halve in number, and a chain takes as many steps as its length's logarithm. The pointers
+    of all rounds are then followed. Every step is written to the shared folder. The minimum is
+    taken before the shuffle, so a node with very many edges is no hot key there, and the joins
+    are plain equi-joins that Spark can split where one key is hot.
     """
     both = edges.select("u", "v").filter("u <> v")
     left = checkpoint(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     rounds: list[DataFrame] = []
     while not left.isEmpty():
-        best = checkpoint(left.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        best = _ends(checkpoint(left.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"))))
         rounds.append(best)
         to_u, to_v = best.select("u", F.col("to").alias("a")), best.select(F.col("u").alias("v"), F.col("to").alias("b"))
         moved = left.join(to_u, "u").join(to_v, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
