@@ -30,8 +30,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Near-duplicates are within two bits of SimHash, or at Jaccard similarity 0.8 over five words.
+    """
+    return simhash.keep_one(docs, copies=True)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.llm import near_copies
 from docmill.llm.common import checkpoint
 from docmill.llm.components import components
 from docmill.workers import ship
@@ -60,17 +61,21 @@ def fingerprint(text: str, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """id_col, fp long for every whole text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, copies: bool = False) -> DataFrame:
+    """id_col, fp long for every whole text; with copies also t and bands, for near_copies.links."""
     ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, k) if t else 0 for t in (x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            texts = [x.as_py() for x in batch.column(1)]
+            columns = {id_col: batch.column(0), "fp": pa.array([fingerprint(t, k) if t else 0 for t in texts], pa.int64())}
+            if copies:
+                columns |= {"_t": batch.column(2), "_bands": pa.array([near_copies.bands(t) for t in texts], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    out = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp bigint"
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    out = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp bigint" + (", _t bigint, _bands array<bigint>" if copies else "")
+    read = [F.col(id_col), F.col(text_col), *([near_copies.digest(text_col)] if copies else [])]
+    return df.select(*read).mapInArrow(run, out)
 
 
 def _mask(bytes_at: tuple[int, ...]) -> int:
@@ -137,11 +142,17 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """id_col, fp long, component_id (the smallest id reachable by links, itself included)."""
-    docs = checkpoint(fingerprints(df, id_col, text_col, k))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, copies: bool = False) -> DataFrame:
+    """id_col, fp long, component_id (the smallest id reachable by links, itself included).
+
+    With copies, texts of Jaccard similarity 0.8 over five words are linked too (near_copies).
+    """
+    docs = checkpoint(fingerprints(df, id_col, text_col, k, copies))
     first = checkpoint(docs.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    found = components(links(first.select("fp")))
+    linked = links(first.select("fp"))
+    if copies:
+        linked = linked.unionByName(near_copies.links(docs.withColumnRenamed("fp", "node"), df, text_col))
+    found = components(linked)
     # components are of fingerprints; each takes the smallest id of its fingerprints
     named = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -149,12 +160,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, copies: bool = False) -> DataFrame:
     """The rows of df without near-duplicates: of each component the document with the smallest id.
 
     Rows without an id stay. Of rows that repeat a kept id, one stays.
     """
-    found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text_col, k)
+    found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text_col, k, copies)
     kept = checkpoint(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
     out = df.join(kept.select(F.col(id_col).alias("_kept"), "_n").hint("shuffle_hash"), F.col(id_col) == F.col("_kept"))
     if not kept.filter("_n > 1").isEmpty():
