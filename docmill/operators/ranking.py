@@ -46,7 +46,9 @@ def item_ids(df: DataFrame, key: str, kind: str, order: list[Column], prefixes:
     """Ids such as A001, counted for each key and kind."""
     prefix = F.coalesce(*[F.when(F.col(kind) == k, p) for k, p in prefixes.items()])
     n = F.row_number().over(Window.partitionBy(key, kind).orderBy(*order))
-    return df.withColumn("item_id", F.concat(prefix, F.lpad(n.cast("string"), 3, "0")))
+    # lpad would cut numbers of more than three digits
+    digits = n.cast("string")
+    return df.withColumn("item_id", F.concat(prefix, F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0"))))
 
 
 def batches(df: DataFrame, key: str, order: list[Column], size: int) -> DataFrame:

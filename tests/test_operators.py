@@ -184,3 +184,9 @@ def test_windowed_counts(spark, event_files):
     name = f"counts{int(time.time())}"
     run_stream(counted.writeStream.outputMode("complete").format("memory").queryName(name).start())
     assert sorted((r.event_type, r.n, r.total) for r in spark.table(name).collect()) == [("click", 1, 5.0), ("click", 4, 6.0), ("view", 1, 1.0)]
+
+
+def test_item_ids_beyond_three_digits(spark):
+    rows = spark.range(1, 1013).select("id", F.lit("s").alias("key"), F.lit("k").alias("kind"))
+    got = {r.id: r.item_id for r in ranking.item_ids(rows, "key", "kind", [F.col("id")], {"k": "A"}).collect()}
+    assert got == {i: f"A{i:03d}" for i in range(1, 1013)}
