@@ -6,9 +6,9 @@ A fingerprint is a vector of sums that can be added and subtracted lane by lane:
   (a line of the text). They depend on the multiset of paragraphs only, not on their order, and
   a paragraph is inserted or deleted by adding or subtracting its own vector.
 * 65 lanes modulo 2^32: the number of units, and for each of 64 bits how many unit hashes have
-  it set. Units are the text's word pairs (and, below SHORT words, also its runs of four
-  characters). These lanes are sums too; centred, the cosine of two of them estimates how many
-  units two texts share, which is the likeness (0 to 1).
+  it set. Units are the text's word pairs and the first four characters of each word, in texts
+  of every length. These lanes are sums too; centred, the cosine of two of them estimates how
+  many units two texts share, which is the likeness (0 to 1).
 
 Null texts count as empty; an empty text is one empty paragraph. Equal texts, repeated rows
 included, have equal fingerprints.
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 EQUAL_LANES, EQUAL_BITS = 4, 62
 LIKE_BITS = 32
-SHORT = 32
 MASK62, MASK32 = (1 << EQUAL_BITS) - 1, (1 << LIKE_BITS) - 1
 #: Two 32-bit counters are summed in one long: bit j and bit j + 32 of a hash.
 PAIR = (1 << 32) | 1
@@ -44,11 +43,8 @@ def unit_hashes(text: Column) -> Column:
     words = F.split(F.translate(text, "\n\r\t", "   "), " ", -1)
     after = lambda x, k: F.slice(x, F.lit(1 + k), F.greatest(F.size(x) - k, F.lit(0)))
     pairs = F.zip_with(words, after(words, 1), lambda a, b: F.xxhash64(a, b))
-    chars = F.split(text, "", -1)
-    twos = F.zip_with(chars, after(chars, 1), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    fours = F.zip_with(twos, after(twos, 2), lambda a, b: F.xxhash64(a, b, F.lit(4)))
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) < SHORT, F.concat(pairs, F.when(text == "", none).otherwise(fours))).otherwise(pairs)
+    starts = F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, 4), F.lit(4)))
+    return F.concat(pairs, starts)
 
 
 def _unpack(packed: Column) -> Column:

@@ -47,6 +47,13 @@ def test_odd_rows(spark):
     assert fp.compare_with_next(docs(spark, []).select("doc_id", "text")).count() == 0
 
 
+def test_likeness_is_continuous_in_the_length(spark):
+    words = [f"{chr(97 + i % 26)}{i}ord" for i in range(40)]
+    got = prints(spark, [" ".join(words[:n]) for n in range(20, 41)])
+    steps = spark.createDataFrame([(n, got[n], got[n + 1]) for n in range(20)], "n int, a array<bigint>, b array<bigint>")
+    assert all(r.near > 0.8 for r in steps.select(fp.likeness(F.col("a"), F.col("b")).alias("near")).collect())
+
+
 @needs_data
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
