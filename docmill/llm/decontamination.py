@@ -8,8 +8,10 @@ WINDOW neighbouring tokens of the item (or the whole item, if shorter) no more t
 WINDOW were substituted. The two masks meet every way to substitute two of thirteen tokens, so
 such an overlap never escapes.
 
-Items of fewer than SPAN tokens are too short to be evidence and match nothing, nor do null or
-empty texts. Repeated documents or items each get rows of their own ids; rows that repeat an id
+Items of fewer than SHORT tokens are too short for that. They are found by the hash of the whole
+item, or, where one substitution is allowed (from 7 tokens on), by its hashes with each one token
+left out, and verified as the others. Documents get such hashes only for lengths that items have.
+Null or empty texts match nothing. Repeated documents or items each get rows of their own ids; rows that repeat an id
 are judged together. Rows without an id are judged under the null id.
 
 The items' seeds are broadcast if they are few (their number is counted first), else shuffled;
@@ -27,6 +29,8 @@ from docmill.llm.common import checkpoint
 #: Together they leave no two substitutions in WINDOW tokens unseen.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN, WINDOW, ALLOWED = 8, 13, 2
+#: From so many tokens on the masks meet every substitution that is allowed.
+SHORT = 10
 #: Rows of a side that is broadcast, at most; each is a few dozen bytes.
 BROADCAST_ROWS = 500_000
 
@@ -58,6 +62,27 @@ def seeds(df: DataFrame, name: str, held: str, at: str) -> DataFrame:
     )
 
 
+def short_seeds(df: DataFrame, name: str, held: str, at: str, sizes: list[int], whole: bool = False) -> DataFrame:
+    """name, seed, at: as seeds, for items of the given sizes; whole: only of rows that have just that size."""
+    n, each = F.size(held), []
+    for m in sizes:
+        # a token left out at either end may lie outside the document
+        slack = m * ALLOWED // WINDOW
+        for left_out in range(m) if slack else [-1]:
+
+            def place(i: Column) -> Column:
+                kept = [F.get(held, i + o) for o in range(m) if o != left_out]
+                return F.struct(F.xxhash64(F.lit(m), F.lit(left_out), *kept).alias("seed"), i.alias(at))
+
+            if whole:
+                each.append(F.when(n == m, F.array(place(F.lit(0)))))
+            else:
+                each.append(F.when(n >= m - slack, F.transform(F.sequence(F.lit(-slack), n - m + slack), place)))
+    none = F.array().cast(f"array<struct<seed:bigint,{at}:int>>")
+    listed = df.select(name, F.concat(*[F.coalesce(e, none) for e in each]).alias("_seeds"))
+    return listed.select(name, F.explode_outer("_seeds").alias("_s")).select(name, "_s.seed", f"_s.{at}")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -72,10 +97,15 @@ def overlaps(
     window_equal (most equal tokens in one window), first_token (place in the document of the
     item's first token; negative if the document begins inside the item).
     """
-    tests = checkpoint(hashed(items, item_id, text_col, "_item", "_g").filter(F.size("_g") >= SPAN))
-    wanted = checkpoint(seeds(tests, "_item", "_g", "_j").filter("seed is not null").distinct())
+    tests = checkpoint(hashed(items, item_id, text_col, "_item", "_g").filter(F.size("_g") > 0))
+    sizes = sorted(r[0] for r in tests.select(F.size("_g")).filter(F.size("_g") < SHORT).distinct().collect())
     texts = hashed(docs, doc_id, text_col, "_doc", "_h")
-    hits = seeds(texts, "_doc", "_h", "_i").join(_small(wanted), "seed")
+    asked, held = seeds(tests, "_item", "_g", "_j"), seeds(texts, "_doc", "_h", "_i")
+    if sizes:
+        asked = asked.unionByName(short_seeds(tests, "_item", "_g", "_j", sizes, whole=True))
+        held = held.unionByName(short_seeds(texts, "_doc", "_h", "_i", sizes))
+    wanted = checkpoint(asked.filter("seed is not null").distinct())
+    hits = held.join(_small(wanted), "seed")
     found = checkpoint(hits.select("_doc", "_item", (F.col("_i") - F.col("_j")).alias("_at")).distinct())
     ids = _small(checkpoint(found.select("_doc").distinct()).withColumnRenamed("_doc", "_hit"))
     again = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("_hit")), "left_semi")

@@ -60,6 +60,19 @@ def test_substitutions_and_odd_rows(spark):
     assert d.overlaps(docs(spark, texts), tests.filter("item_id < 0")).count() == 0
 
 
+def test_short_items(spark):
+    w = ITEM.split()
+    cases = [(m, j) for m in range(1, d.SHORT) for j in range(-1, m)]
+    items = [(m, " ".join(f"{t}{m}" for t in w[:m])) for m in range(1, d.SHORT)]
+    said = lambda m, j: " ".join("other" if i == j else f"{t}{m}" for i, t in enumerate(w[:m]))
+    texts = [(k, f"so {said(m, j)} end") for k, (m, j) in enumerate(cases)]
+    cut = [(1000 + m, " ".join(text.split()[1:])) for m, text in items] + [(2000 + m, " ".join(text.split()[:-1])) for m, text in items]
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.equal_tokens) for r in d.overlaps(docs(spark, texts + cut), tests).collect()}
+    wanted = {(k, m, m - (j >= 0)) for k, (m, j) in enumerate(cases) if j < 0 or m >= 7}
+    assert got == wanted | {(at + m, m, m - 1) for at in (1000, 2000) for m in range(7, d.SHORT)}
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(d, "BROADCAST_ROWS", -1)
     got = found(d.overlaps(docs(spark, [(1, ITEM), (2, "none")]), spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")).collect())
