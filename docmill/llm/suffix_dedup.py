@@ -12,7 +12,7 @@ other packs have, and sends only those. In a shard, pieces whose hash occurs in
 merged into one with their smallest id. Over the others a suffix array is built by
 Larsson-Sadakane refinement: suffixes are sorted by eight bytes, then groups that are still tied
 are sorted by the rank of the suffix 8, 16 and 32 bytes further on. Common prefixes of neighbours
-(Kasai's array, for all neighbours at once and as far as LENGTH) cut it into groups of equal
+(compared directly, all at once and as far as LENGTH, not by Kasai's recurrence) cut it into groups of equal
 windows, and each group's smallest id decides. What is more than ARRAY bytes is cut into several
 arrays, whose sorted windows are merged by binary search of each one's windows in the others.
 
