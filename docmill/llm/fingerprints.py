@@ -6,12 +6,17 @@ A fingerprint is a vector of sums that can be added and subtracted lane by lane:
   (a line of the text). They depend on the multiset of paragraphs only, not on their order, and
   a paragraph is inserted or deleted by adding or subtracting its own vector.
 * 65 lanes modulo 2^32: the number of units, and for each of 64 bits how many unit hashes have
-  it set. Units are the text's word pairs and the first four characters of each word, in texts
-  of every length. These lanes are sums too; centred, the cosine of two of them estimates how
-  many units two texts share, which is the likeness (0 to 1).
+  it set. A paragraph's units are its word pairs (the last word alone) and the first four
+  characters of each of its words, whatever its length and its neighbours. These lanes are sums
+  over paragraphs too; centred, the cosine of two of them estimates how many units two texts
+  share, which is the likeness (0 to 1).
+
+So all 69 lanes depend on the multiset of paragraphs only.
 
 Null texts count as empty; an empty text is one empty paragraph. Equal texts, repeated rows
-included, have equal fingerprints.
+included, have equal fingerprints. Empty tables give empty results; only the named columns are
+read, so others of any name do no harm. A very long text is one row, whose units are exploded
+and summed as they come, so it takes memory for its units' hashes once.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ LIKE_BITS = 32
 MASK62, MASK32 = (1 << EQUAL_BITS) - 1, (1 << LIKE_BITS) - 1
 #: Two 32-bit counters are summed in one long: bit j and bit j + 32 of a hash.
 PAIR = (1 << 32) | 1
-#: Ranges of doc_id for each shuffle partition, and at most; their bounds go through the driver.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 4096
+#: Bytes of text in a range of doc_id. Ranges are found in two steps of at most COARSE each for
+#: every COARSE squared of them; only their bounds go through the driver.
+RANGE_BYTES, COARSE = 16_000_000, 512
 
 
 def paragraph_lanes(text: Column) -> list[Column]:
@@ -39,11 +45,12 @@ def paragraph_lanes(text: Column) -> list[Column]:
 
 
 def unit_hashes(text: Column) -> Column:
-    """Hashes of the text's units; the last word pairs with nothing."""
-    words = F.split(F.translate(text, "\n\r\t", "   "), " ", -1)
-    after = lambda x, k: F.slice(x, F.lit(1 + k), F.greatest(F.size(x) - k, F.lit(0)))
-    pairs = F.zip_with(words, after(words, 1), lambda a, b: F.xxhash64(a, b))
-    starts = F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, 4), F.lit(4)))
+    """Hashes of the units of all paragraphs (and nulls, which no sum counts)."""
+    # a line feed is a word of its own here, which ends a paragraph's last word and pairs with none
+    words = F.split(F.replace(F.translate(text, "\r\t", "  "), F.lit("\n"), F.lit(" \n ")), " ", -1)
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.zip_with(words, after, lambda a, b: F.when(a != "\n", F.xxhash64(a, F.when(b != "\n", b))))
+    starts = F.transform(words, lambda w: F.when(w != "\n", F.xxhash64(F.substring(w, 1, 4), F.lit(4))))
     return F.concat(pairs, starts)
 
 
@@ -100,14 +107,33 @@ def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     return _summed(df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), keys, "_text")
 
 
-def _ranged(df: DataFrame, id_col: str) -> tuple[Column, list]:
-    """The doc_id range of a row, and for each range that has rows, from high to low, its largest doc_id."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
-    n = min(MOST_RANGES, max(2, n))
-    cuts = df.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    bounds = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col(id_col))), F.lit(0)) if cuts else F.lit(0)
-    heads = df.groupBy(bucket.alias("b")).agg(F.max(id_col)).collect()
+def _ranged(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, list]:
+    """The doc_id range of a row, and for each range that has rows, from high to low, its largest doc_id.
+
+    Ranges hold about RANGE_BYTES each. Beyond COARSE of them, coarse ranges are cut again, all at
+    once, each by its own percentiles; a row then looks through the coarse bounds and those of one range.
+    """
+    ids = df.select(id_col)
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = max(2, min(least, COARSE), -(-total // RANGE_BYTES))
+    coarse = n if n <= COARSE else -(-n // -(-n // COARSE))
+
+    def cuts(parts: int) -> Column:
+        return F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 20 * parts)
+
+    def below(bounds: Column) -> Column:
+        return F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col(id_col))), F.lit(0))
+
+    longs = lambda found: F.lit(sorted(set(found))).cast("array<bigint>") if found else F.array().cast("array<bigint>")
+    first = below(longs(ids.select(cuts(coarse)).first()[0]))
+    bucket = first.cast("long")
+    if coarse < n:
+        parts = -(-n // coarse)
+        inner = dict(map(tuple, ids.groupBy(first).agg(cuts(parts)).collect()))
+        nested = F.array(*[longs(inner.get(k)) for k in range(max(inner, default=0) + 1)])
+        bucket = bucket * parts + below(F.get(nested, first))
+    heads = ids.groupBy(bucket.alias("b")).agg(F.max(id_col)).collect()
     return bucket, sorted(map(tuple, heads), reverse=True)
 
 
@@ -118,10 +144,10 @@ def next_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first row that ends each range), id_col, text_col, _next. Texts are shuffled once, by ranges
     of id_col; the driver sees the ranges' bounds only.
     """
-    bucket, heads = _ranged(df, id_col)
+    bucket, heads = _ranged(df, id_col, text_col)
     spark = df.sparkSession
     serves = [(heads[(i + 1) % len(heads)][1], b) for i, (b, _) in enumerate(heads)]
-    ends = spark.createDataFrame(serves, "_head bigint, _range int")
+    ends = spark.createDataFrame(serves, "_head bigint, _range bigint")
     own = df.withColumn("_range", bucket).withColumn("_own", F.lit(True))
     copies = df.join(F.broadcast(ends), F.col(id_col).eqNullSafe(F.col("_head"))).drop("_head").withColumn("_own", F.lit(False))
     order = Window.partitionBy("_range").orderBy(F.desc("_own"), F.desc_nulls_last(id_col), F.xxhash64(text_col), text_col)
