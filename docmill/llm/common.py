@@ -42,6 +42,15 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def private(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with columns renamed to c0, c1 ... in order, and what the given columns are called then.
+
+    Whatever a caller's columns are named, they clash with nothing that an operator adds; toDF
+    with the old names gives them back.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5; 0 is the held-out fold."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

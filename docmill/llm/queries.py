@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm import oracles
 from docmill.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -147,4 +148,9 @@ QUERIES = {
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op8_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "op9_warc_roundtrip": oracles.WARC,
+    "op10_chat_formatting": oracles.CHAT,
+}
