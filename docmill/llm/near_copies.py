@@ -4,13 +4,17 @@ Candidates are texts that agree in a band of ROWS MinHash values; each of BANDS
 of its own, so a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, about 5 in 100,000.
 Every candidate is verified by its exact Jaccard similarity over the whole texts.
 
-A posting of at most POSTING texts is compared pair by pair. In a larger one each text is
-compared with PIVOTS texts of the posting, which are the smallest under as many hashes: links
-between two texts that no pivot is similar to are lost there, unless another band has them. No
-group is gathered in one task.
+A posting of at most POSTING texts is compared pair by pair. In a larger one each text is first
+compared with PIVOTS texts of the posting, which are the smallest under as many hashes. Where its
+members are linked into one component by then, nothing is left to find. Otherwise all its members
+go to smaller postings, of texts that agree in a second band too, and there only pairs of
+different components count; the same again with a third band, where all such pairs are compared.
+So no partner is left out for the size of a posting; a pair at 0.8 that only such postings have
+is missed if it agrees in two bands or fewer (probability 0.004). No group is gathered in one task.
 
 Words are those of the SimHash: lower-cased in A-Z only, cut at ASCII white space. A text of
 fewer words than a shingle has one shingle of all its words; texts without words have no links.
+Rows that repeat a text count once. A very long text is held as its set of shingles.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import checkpoint
+from docmill.llm.components import components
 from docmill.workers import ship
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 25, 5
-POSTING, PIVOTS = 32, 4
+POSTING, PIVOTS, LEVELS = 32, 4, 3
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -65,18 +70,39 @@ def links(sketches: DataFrame, texts: DataFrame, text_col: str = "text") -> Data
     ship(sketches.sparkSession)
     # rows that repeat a text differ in nothing; one stands for all of them
     once = checkpoint(sketches.groupBy("node", F.col("_t").alias("t")).agg(F.first("_bands").alias("bands")))
-    each = once.select("node", "t", F.posexplode("bands").alias("i", "band"))
-    smallest = [F.min(F.struct(F.xxhash64("t", F.lit(s)).alias("h"), "t", "node")).alias(f"_p{s}") for s in range(PIVOTS)]
-    postings = each.groupBy("i", "band").agg(F.count("*").alias("n"), *smallest).filter("n > 1")
-    keyed = checkpoint(postings)
-    small = each.join(keyed.filter(F.col("n") <= POSTING).select("i", "band"), ["i", "band"])
-    a, b = small.select("i", "band", F.col("node").alias("u"), F.col("t").alias("tu")), small.select("i", "band", F.col("node").alias("v"), F.col("t").alias("tv"))
-    pairs = a.join(b, ["i", "band"]).filter("tu < tv").select("u", "tu", "v", "tv")
-    pivots = keyed.filter(F.col("n") > POSTING).select("i", "band", F.array_distinct(F.array(*[F.struct(f"_p{s}.t", f"_p{s}.node") for s in range(PIVOTS)])).alias("p"))
-    dense = each.join(pivots, ["i", "band"]).select(F.col("node").alias("u"), F.col("t").alias("tu"), F.explode("p").alias("p"))
-    dense = dense.select("u", "tu", F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
-    asked = checkpoint(pairs.unionByName(dense).filter("u <> v").distinct())
-
+    each = _agreeing(once.withColumns({"key": F.lit(0).cast("long"), "last": F.lit(-1), "c": F.col("node")}))
+    found: DataFrame | None = None
+    for level in range(1, LEVELS + 1):
+        most = POSTING if level < LEVELS else 1 << 62
+        pivots = [F.min(F.struct(F.xxhash64("t", F.lit(s)).alias("h"), "t", "node", "c")).alias(f"_p{s}") for s in range(PIVOTS)]
+        size = [F.count("*").alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")]
+        postings = checkpoint(each.groupBy("key").agg(*size, *pivots).filter(F.col("_lo") < F.col("_hi")))
+        small = each.join(postings.filter(F.col("n") <= most).select("key"), "key")
+        side = lambda x: small.select("key", F.col("node").alias(x), F.col("t").alias(f"t{x}"), F.col("c").alias(f"c{x}"))
+        pairs = side("u").join(side("v"), "key").filter("tu < tv and cu <> cv").select("u", "tu", "v", "tv")
+        stars = postings.filter(F.col("n") > most).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"_p{s}.t", f"_p{s}.node", f"_p{s}.c") for s in range(PIVOTS)]))).alias("p"))
+        star = each.join(stars, "key").filter("c <> p.c").select(F.col("node").alias("u"), F.col("t").alias("tu"), F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
+        asked = checkpoint(pairs.unionByName(star).filter("u <> v").distinct())
+        verified = checkpoint(_verified(asked, texts, text_col))
+        found = verified if found is None else found.unionByName(verified)
+        dense = postings.filter(F.col("n") > most).select("key")
+        if dense.isEmpty():
+            break
+        of = components(found).withColumnRenamed("component", "_c")
+        members = each.join(dense, "key").join(of, "node", "left").withColumn("c", F.coalesce("_c", "node")).drop("_c")
+        several = members.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("key")
+        each = checkpoint(_agreeing(members.join(several, "key").join(once, ["node", "t"])))
+    return found.distinct()
+
+
+def _agreeing(members: DataFrame) -> DataFrame:
+    """key, last, node, t, c: each member under its key together with each band after the last one in it."""
+    after = members.select("key", "last", "node", "t", "c", F.posexplode("bands").alias("i", "band")).filter(F.col("i") > F.col("last"))
+    return after.select(F.xxhash64("key", "i", "band").alias("key"), F.col("i").alias("last"), "node", "t", "c")
+
+
+def _verified(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Those pairs (u, v) of asked (u, tu, v, tv) whose whole texts are similar."""
     ends = asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))).distinct()
     found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(ends, "t", "left_semi")
     whole = checkpoint(found.groupBy("t").agg(F.first("text").alias("text")))

@@ -3,9 +3,11 @@
 A fingerprint bit is the majority of that bit over the XXH64 hashes (seed 42) of the text's word
 shingles, repeats included. Two fingerprints that differ in at most two bits share at least six
 of their eight positional bytes, so they share four bytes made of two of the four 2-byte blocks.
-The index therefore holds every different fingerprint under its six pairs of blocks. Within a
-posting the shared positional bytes of a pair are tallied, pairs below the guaranteed six are
-left out and the others are verified bit by bit.
+The index therefore holds every different fingerprint under its six pairs of blocks, and within
+such a posting under each of the other four byte positions and the byte there. A pair's shared
+positional bytes are tallied by counting the postings that it shares; pairs below the guaranteed
+six are left out (pairs that share the four bytes alone are never formed), and the others are
+verified bit by bit.
 
 A posting of more than POSTING fingerprints is not compared pair by pair: its members are
 indexed again under two more equal bytes (six pairs of the other four), and where that still
@@ -13,6 +15,9 @@ leaves more than POSTING, under the 120 ways to blank two of the 16 bits that ar
 group has four members at most, all of them linked, so pointing each at the group's smallest
 keeps every link's component. Nothing is capped, and no group is gathered in one task.
 
+Empty tables give empty results, and columns besides the two named ones may have any name. A very
+long text is held as its list of words and eight bytes for each shingle.
+
 Texts are lower-cased in A-Z only and cut at ASCII white space. A text of fewer words than a
 shingle has one shingle of all its words; a text without words (null and empty texts too) has
 fingerprint zero. Rows that repeat an id or a text simply share a fingerprint. Rows without an
@@ -26,11 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import near_copies
-from docmill.llm.common import checkpoint
+from docmill.llm.common import checkpoint, private
 from docmill.llm.components import components
 from docmill.workers import ship
 
@@ -83,10 +88,10 @@ def _mask(bytes_at: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _keyed(df: DataFrame, keys: Column) -> DataFrame:
-    """(fp, key) for each key, with the number of fingerprints that share the key; lone ones go."""
-    each = df.select("fp", F.explode(keys).alias("key"))
-    return each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+def _counted(each: DataFrame) -> DataFrame:
+    """Rows (fp, key) with n, the number of fingerprints that share the key; lone ones go."""
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return each.join(shared, "key").select("fp", "key", "n")
 
 
 def _key(kept: tuple[int, ...], column: Column = None) -> Column:
@@ -95,14 +100,30 @@ def _key(kept: tuple[int, ...], column: Column = None) -> Column:
     return F.struct(F.lit(_mask(kept)).alias("at"), fp.bitwiseAND(F.lit(_mask(kept))).alias("is"))
 
 
-def _pairs(postings: DataFrame) -> DataFrame:
-    """Links within postings, by tallying shared positional bytes and verifying."""
+def _byte(fp: Column, at: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255)).cast("int")
+
+
+def tallied(postings: DataFrame, kept: dict[int, tuple[int, ...]]) -> DataFrame:
+    """Pairs (u, v) of small postings that share SHARED_BYTES positional bytes or more, counted by the index.
+
+    kept: which bytes the keys of the postings hold, by their masks. The other positions are
+    postings of their own; a pair's tally is the bytes of the key and the postings that it shares.
+    """
     small = postings.filter(F.col("n") <= POSTING)
-    a, b = small.select("key", F.col("fp").alias("u")), small.select("key", F.col("fp").alias("v"))
-    differing = F.expr("u ^ v")
-    tally = sum((F.shiftrightunsigned(differing, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
-    close = (F.col("u") < F.col("v")) & (tally >= SHARED_BYTES) & (F.bit_count(differing) <= DISTANCE)
-    return a.join(b, "key").filter(close).select("u", "v")
+    rest = {mask: [i for i in range(8) if i not in bytes_at] for mask, bytes_at in kept.items()}
+    at = lambda mask: F.array(*[F.struct(F.lit(i).alias("position"), _byte(F.col("fp"), i).alias("byte")) for i in rest[mask]])
+    inside = F.coalesce(*[F.when(F.col("key.at") == mask, at(mask)) for mask in rest])
+    each = small.select("key", "fp", F.explode(inside).alias("at"))
+    a, b = each.withColumnRenamed("fp", "u"), each.withColumnRenamed("fp", "v")
+    met = a.join(b, ["key", "at"]).filter("u < v").groupBy("key", "u", "v").agg(F.count("*").alias("more"))
+    given = len(next(iter(kept.values())))
+    return met.filter(F.col("more") + given >= SHARED_BYTES).select("u", "v").distinct()
+
+
+def _pairs(postings: DataFrame, kept: dict[int, tuple[int, ...]]) -> DataFrame:
+    """Links within small postings: the tally decides which pairs are verified."""
+    return tallied(postings, kept).filter(F.bit_count(F.expr("u ^ v")) <= DISTANCE)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -111,17 +132,19 @@ def links(fps: DataFrame) -> DataFrame:
     fps: one row per different fingerprint, column fp. Inside a dense posting, links go through
     the smallest member of each group of fingerprints that are all linked with each other.
     """
-    byte_sets = [tuple(sorted((2 * i, 2 * i + 1, 2 * j, 2 * j + 1))) for i, j in combinations(range(BLOCKS), 2)]
-    first = checkpoint(_keyed(fps, F.array(*[_key(x) for x in byte_sets])))
-    found = [_pairs(first)]
+    fours = {_mask(x): x for x in (tuple(sorted((2 * i, 2 * i + 1, 2 * j, 2 * j + 1))) for i, j in combinations(range(BLOCKS), 2))}
+    first = checkpoint(_counted(fps.select("fp", F.explode(F.array(*[_key(x) for x in fours.values()])).alias("key"))))
+    found = [_pairs(first, fours)]
     dense = first.filter(F.col("n") > POSTING)
     if not dense.isEmpty():
         # two more equal bytes: together any six of the eight
-        more = {x: [tuple(sorted((*x, *y))) for y in combinations(sorted(set(range(8)) - set(x)), 2)] for x in byte_sets}
-        again = F.coalesce(*[F.when(F.col("key.at") == _mask(x), F.array(*[_key(y) for y in ys])) for x, ys in more.items()])
-        six = dense.select("fp", F.explode(again).alias("key")).distinct()
-        second = checkpoint(six.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
-        found.append(_pairs(second))
+        more = {mask: [tuple(sorted((*x, *y))) for y in combinations(sorted(set(range(8)) - set(x)), 2)] for mask, x in fours.items()}
+        again = F.coalesce(*[F.when(F.col("key.at") == mask, F.array(*[_key(y) for y in ys])) for mask, ys in more.items()])
+        second = checkpoint(_counted(dense.select("fp", F.explode(again).alias("key")).distinct()))
+        alike = second.filter(F.col("n") <= POSTING)
+        a, b = alike.select("key", F.col("fp").alias("u")), alike.select("key", F.col("fp").alias("v"))
+        # all members of such a posting have the guaranteed bytes in common
+        found.append(a.join(b, "key").filter("u < v").select("u", "v").filter(F.bit_count(F.expr("u ^ v")) <= DISTANCE))
         crowded = second.filter(F.col("n") > POSTING)
         if not crowded.isEmpty():
             rest = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.expr("key.at").bitwiseAND(_bit(b)) == 0, b)))
@@ -165,10 +188,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     Rows without an id stay. Of rows that repeat a kept id, one stays.
     """
-    found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text_col, k, copies)
-    kept = checkpoint(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
-    out = df.join(kept.select(F.col(id_col).alias("_kept"), "_n").hint("shuffle_hash"), F.col(id_col) == F.col("_kept"))
-    if not kept.filter("_n > 1").isEmpty():
-        once = out.filter("_n > 1").dropDuplicates([id_col])
-        out = out.filter("_n = 1").unionByName(once)
-    return out.select(df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    held, (key, body) = private(df, id_col, text_col)
+    rows = held.filter(F.col(key).isNotNull())
+    found = near_duplicates(rows.select(F.col(key).alias("id"), F.col(body).alias("body")), "id", "body", k, copies)
+    kept = checkpoint(found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("times")))
+    out = held.join(kept.hint("shuffle_hash"), F.col(key) == F.col("id"))
+    if not kept.filter("times > 1").isEmpty():
+        once = out.filter("times > 1").dropDuplicates([key])
+        out = out.filter("times = 1").unionByName(once)
+    return out.select(held.columns).unionByName(held.filter(F.col(key).isNull())).toDF(*df.columns)

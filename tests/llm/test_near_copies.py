@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from docmill.llm import near_copies, simhash
+from docmill.llm.components import components
 from tests.llm.helpers import docs
 
 
@@ -32,4 +33,34 @@ def test_links_against_all_pairs(spark, monkeypatch):
     for posting in (64, 3):
         monkeypatch.setattr(near_copies, "POSTING", posting)
         got = {frozenset((r.u, r.v)) for r in near_copies.links(sketches, df).collect()}
-        assert got == want if posting == 64 else got < want and {x for p in got for x in p} == set(range(40))
+        assert got == want if posting == 64 else got <= want and {x for p in got for x in p} == set(range(40))
+
+
+def test_dense_postings_lose_no_component(spark, monkeypatch):
+    """Texts that share half their words with many others, in groups of near copies that chain."""
+    monkeypatch.setattr(near_copies, "POSTING", 4)
+    monkeypatch.setattr(near_copies, "PIVOTS", 1)
+    pick = random.Random(11)
+    word = lambda: f"w{pick.randrange(9000)}"
+    shared, texts = [word() for _ in range(120)], []
+    for _ in range(12):
+        body = shared + [word() for _ in range(60)]
+        for _ in range(6):
+            texts.append((len(texts), " ".join(body)))
+            at = pick.randrange(len(shared), len(body) - 4)
+            body = body[:at] + [word() for _ in range(4)] + body[at + 4 :]
+    sets = {i: near_copies.shingles(t) for i, t in texts}
+    edges = [(a, b) for a in sets for b in sets if a < b and near_copies.similar(sets[a], sets[b])]
+    root = {i: i for i in sets}
+
+    def end(i):
+        return i if root[i] == i else end(root[i])
+
+    for a, b in edges:
+        x, y = sorted((end(a), end(b)))
+        root[y] = x
+    df = docs(spark, texts)
+    sketches = simhash.fingerprints(df, copies=True).drop("fp").withColumnRenamed("doc_id", "node")
+    found = {r.node: r.component for r in components(near_copies.links(sketches, df)).collect()}
+    assert {i: found.get(i, i) for i in sets} == {i: end(i) for i in sets}
+    assert 1 < len({end(i) for i in sets}) < len(sets)

@@ -1,11 +1,12 @@
 import random
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
 
 from docmill.llm import queries, simhash
 from docmill.llm.components import components
-from tests.llm.helpers import SF, docs, needs_data
+from tests.llm.helpers import SF, clashing, docs, needs_data
 
 
 def plain_fingerprint(text, k=3):
@@ -65,6 +66,31 @@ def test_dense_postings_lose_no_link(spark, monkeypatch):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_the_tally_decides_which_pairs_are_verified(spark):
+    """Of pairs that meet in a posting of four bytes, those below six shared bytes never reach verification."""
+    pick = random.Random(6)
+    base = [pick.getrandbits(64) for _ in range(40)]
+    flip = lambda x, bits: x ^ sum(1 << b for b in pick.sample(range(64), bits))
+    fps = sorted({f for x in base for f in (x, flip(x, 1), flip(x, 2), flip(x, 3), flip(x, 5), flip(x, 8))})
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    shared = lambda a, b: [(a >> 8 * i & 255) == (b >> 8 * i & 255) for i in range(8)]
+    blocks = lambda s: sum(s[2 * i] and s[2 * i + 1] for i in range(4))
+    met = {(a, b): sum(s) for i, a in enumerate(fps) for b in fps[i + 1 :] if blocks(s := shared(a, b)) >= 2}
+    kept = {simhash._mask(x): x for x in (tuple(sorted((2 * i, 2 * i + 1, 2 * j, 2 * j + 1))) for i, j in combinations(range(4), 2))}
+    each = spark.createDataFrame([(signed(f),) for f in fps], "fp long").select("fp", F.explode(F.array(*[simhash._key(x) for x in kept.values()])).alias("key"))
+    got = {frozenset((r.u, r.v)) for r in simhash.tallied(simhash._counted(each), kept).collect()}
+    assert got == {frozenset(map(signed, p)) for p, n in met.items() if n >= simhash.SHARED_BYTES}
+    assert len(met) > 1.2 * len(got) > 0
+
+
+def test_clashing_columns(spark):
+    df = clashing(spark, [(2, "a b c d"), (1, "A B C D"), (1, "A B C D"), (3, "quite another text here"), (None, "a b c d")])
+    for copies in (False, True):
+        kept = simhash.keep_one(df, copies=copies)
+        assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+    assert simhash.near_duplicates(df).count() == 5
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(0, 60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.component for r in components(edges).collect()} == {0}
