@@ -1,13 +1,18 @@
 """Byte-level BPE by a tokenization automaton, for encoding, decoding and counting.
 
-The merges are compiled, one after another, into a deterministic automaton whose arcs are
-labelled with tokens and whose states are "the token just read". It starts with the 256 byte
-tokens, every arc allowed. The gadget of merge (a, b) -> c at time t adds state c, whose
-incoming arcs are those that a has at t and whose outgoing arcs are those that b has at t, and
-then cuts the arc b leaving state a. A path through the finished automaton is a token sequence
-that BPE itself would produce, and each byte string has exactly one such path. An arc is fixed
-by the two tokens' gadgets alone, so the arcs are kept as two parents and a birth per state plus
-one death per merge, and are looked up in (and added to) a transition table when first walked.
+The merges are compiled, one after another, into an automaton whose arcs are labelled with tokens
+and whose states are "the token just read". It starts with the 256 byte tokens, every arc allowed.
+The gadget of merge (a, b) -> c at time t adds state c, whose incoming arcs are those that a has at
+t and whose outgoing arcs are those that b has at t, and then cuts the arc b leaving state a. A path
+through the finished automaton is a token sequence that BPE itself would produce, and each byte
+string has exactly one such path.
+
+That automaton reads tokens. It is made deterministic over bytes by the subset construction: a
+state is the set of (token just read, part of the next label read so far) that the bytes allow,
+and says which token, if any, ends there. The driver compiles the states that the vocabulary's own
+strings lead through into a transition table and broadcasts it; a worker walks the table byte by
+byte, and adds the states that other strings need by the same construction when it meets them.
+The tokens are read off backwards from the last state, each saying where the one before it ends.
 
 Nulls count as the empty text; empty texts have no tokens. Rows are handled one by one, so
 repeated rows and ties need no rule, and a hot key or a very long text costs no more than its
@@ -82,8 +87,8 @@ class Splitter:
         return out
 
 
-class Automaton:
-    """The deterministic automaton of a vocabulary's merges."""
+class Gadgets:
+    """The automaton over tokens: each state's two parents and birth, and when arcs were cut."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.birth = {t: 0 for t in vocabulary.bytes}
@@ -93,19 +98,6 @@ class Automaton:
         self.arcs: dict[tuple[int, int], int] = {}
         for time, (a, b, c) in enumerate(vocabulary.merges, 1):
             self.gadget(a, b, c, time)
-        self.step: dict[int, int] = {}  # (node * 256 + byte) -> node of the label trie
-        self.label: dict[int, int] = {}
-        nodes = 1
-        for token in self.birth:
-            node = 0
-            for byte in vocabulary.pieces[token]:
-                key = node << 8 | byte
-                if key not in self.step:
-                    self.step[key] = nodes
-                    nodes += 1
-                node = self.step[key]
-            self.label[node] = token
-        self.pieces = vocabulary.pieces
         self.arcs.clear()
 
     def gadget(self, a: int, b: int, c: int, time: int) -> None:
@@ -132,24 +124,79 @@ class Automaton:
         self.arcs[x, y] = end
         return end
 
+
+class Automaton:
+    """The automaton over bytes, as a transition table: state and byte to state, and the token that ends in a state."""
+
+    START = -1
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.gadgets, self.sizes = Gadgets(vocabulary), {t: len(p) for t, p in vocabulary.pieces.items()}
+        self.step: dict[int, int] = {}  # (node << 8 | byte) -> node of the trie of labels
+        self.label: dict[int, int] = {}  # node -> the token that it spells
+        for token in self.gadgets.birth:
+            node = 0
+            for byte in vocabulary.pieces[token]:
+                node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
+            self.label[node] = token
+        self.sets: list[tuple[tuple[int, int], ...]] = [((self.START, 0),)]
+        self.token = [-1]
+        self.number = {self.sets[0]: 0}
+        self.table: dict[int, int] = {}  # (state << 8 | byte) -> state
+        for token in self.gadgets.birth:
+            state = 0
+            for byte in vocabulary.pieces[token]:
+                state = self.follow(state, byte)
+        self.gadgets.arcs.clear()
+        self.compiled = len(self.sets)
+
+    def follow(self, state: int, byte: int) -> int:
+        """The state after a byte, made by the subset construction if it is not in the table yet."""
+        known = self.table.get(state << 8 | byte)
+        if known is not None:
+            return known
+        pairs, ended = [], -1
+        for read, node in self.sets[state]:
+            node = self.step.get(node << 8 | byte)
+            if node is None:
+                continue
+            pairs.append((read, node))
+            token = self.label.get(node)
+            if token is not None and (read == self.START or self.gadgets.ends(read, token) == NEVER):
+                ended = token
+        if ended >= 0:
+            pairs.append((ended, 0))
+        found = tuple(pairs)
+        number = self.number.get(found)
+        if number is None:
+            number = self.number[found] = len(self.sets)
+            self.sets.append(found)
+            self.token.append(ended)
+        self.table[state << 8 | byte] = number
+        return number
+
+    def forget(self) -> None:
+        """Back to the compiled states."""
+        n = self.compiled
+        for found in self.sets[n:]:
+            del self.number[found]
+        del self.sets[n:], self.token[n:]
+        self.table = {k: v for k, v in self.table.items() if k >> 8 < n and v < n}
+
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token: the only path whose labels spell it."""
-        n = len(word)
-        last = [-1] * (n + 1)
-        step, label, ends = self.step, self.label, self.ends
-        for i in range(n):
-            state, node = last[i], 0
-            for j in range(i, n):
-                node = step.get(node << 8 | word[j], -1)
-                if node < 0:
-                    break
-                token = label.get(node)
-                if token is not None and last[j + 1] < 0 and (i == 0 or ends(state, token) == NEVER):
-                    last[j + 1] = token
-        ids = []
+        """Token ids of one pre-token: the walk of its bytes, then the tokens from the last one back."""
+        if len(self.sets) > self.compiled + REMEMBER:
+            self.forget()
+        state, ended = 0, []
+        get, token, follow = self.table.get, self.token, self.follow
+        for byte in word:
+            onward = get(state << 8 | byte)
+            state = follow(state, byte) if onward is None else onward
+            ended.append(token[state])
+        ids, n, sizes = [], len(ended), self.sizes
         while n:
-            ids.append(last[n])
-            n -= len(self.pieces[last[n]])
+            ids.append(t := ended[n - 1])
+            n -= sizes[t]
         return ids[::-1]
 
 
@@ -178,10 +225,10 @@ def merge(word: bytes, start: list[int], ranks: dict[tuple[int, int], tuple[int,
 class Encoder(dict):
     """Pre-token -> ids, filled as pre-tokens are met."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, automaton: Automaton, special: dict[str, int]):
         super().__init__()
-        self.automaton, self.special = Automaton(vocabulary), vocabulary.special
-        self.parts = Splitter(vocabulary.special).parts
+        self.automaton, self.special = automaton, special
+        self.parts = Splitter(special).parts
 
     def __missing__(self, part: str) -> list[int]:
         if len(self) > REMEMBER:
@@ -268,16 +315,17 @@ def _schema(df: DataFrame, id_col: str, more: str) -> str:
 def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 500) -> DataFrame:
     """Encode every whole text by the automaton and decode the ids by their arc labels.
 
-    vocabulary: path of the file, read by the driver only. Returns id_col, n_tokens long,
-    ids array<int>, decoded string. Null texts count as empty: no ids, decoded ''.
+    vocabulary: path of the file, read by the driver only; the driver compiles the automaton and
+    broadcasts it (its size is the vocabulary's). Returns id_col, n_tokens long, ids array<int>,
+    decoded string. Null texts count as empty: no ids, decoded ''.
     """
     spec = Vocabulary(vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast((hash(tuple(spec.merges)), spec))
     ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((hash(tuple(spec.merges)), Automaton(spec), spec.special, spec.pieces))
 
     def run(batches):
-        encoder = _kept("encode", Encoder, shared)
-        pieces = encoder.automaton.pieces
+        encoder = _kept("encode", lambda automaton, special, _: Encoder(automaton, special), shared)
+        pieces = shared.value[3]
         for batch in _slices(batches, rows):
             ids = [encoder.encode(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays(

@@ -30,7 +30,8 @@ def texts(n=1500):
 
 
 def test_automaton_and_merges_agree_with_the_library(library, vocabulary):
-    encoder, counter = bpe.Encoder(vocabulary), bpe.Counter(vocabulary, bpe.whole_tokens(vocabulary))
+    automaton = bpe.Automaton(vocabulary)
+    encoder, counter = bpe.Encoder(automaton, vocabulary.special), bpe.Counter(vocabulary, bpe.whole_tokens(vocabulary))
     for text in texts():
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == ids
@@ -38,6 +39,19 @@ def test_automaton_and_merges_agree_with_the_library(library, vocabulary):
         assert bpe.decode(ids, vocabulary.pieces) == text == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_of_the_vocabulary_walk_the_compiled_table(library, vocabulary):
+    automaton = bpe.Automaton(vocabulary)
+    states, arcs = len(automaton.sets), len(automaton.table)
+    for token, piece in vocabulary.pieces.items():
+        if token in automaton.gadgets.birth:
+            assert automaton.encode(piece) == [token]
+    assert (len(automaton.sets), len(automaton.table)) == (states, arcs)
+    before = automaton.encode(b"qzxjv" * 40)
+    assert len(automaton.sets) > states
+    automaton.forget()
+    assert (len(automaton.sets), len(automaton.table)) == (states, arcs) and automaton.encode(b"qzxjv" * 40) == before
+
+
 def test_whole_tokens_are_one_token(library, vocabulary):
     whole = sorted(bpe.whole_tokens(vocabulary))[::50]
     assert all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in whole)
