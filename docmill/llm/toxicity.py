@@ -10,7 +10,8 @@ whole word and of its beginnings, all hashed to WEIGHTS places. Sentences end at
 line's end, at the first such place that leaves at least LEAST words, and after MOST words.
 Null and empty texts have one sentence without words, so their score is the bias alone.
 Repeated rows are learned from as often as they are sampled. Without labels of both kinds every
-score is next to 0, or to 1 if all labels are 1.
+score is next to 0, or to 1 if all labels are 1. Empty tables give no rows. Columns of any name do
+no harm. A very long text is cut to sentences one after another; what is held of it are its words.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.llm.common import checkpoint
 from docmill.workers import ship
 
 WEIGHTS = 1 << 20
@@ -32,6 +34,8 @@ BEGINNINGS = (3, 4, 5, 6)
 #: The classifier is fitted on at most so many rows with label 1 and with label 0: those of each
 #: kind whose ids have the smallest hashes. Rows with label 0 are weighted up to their true share.
 SAMPLE = (4000, 6000)
+#: ... as long as their texts, in that order, have no more code points than this altogether.
+SAMPLE_CHARS = (20_000_000, 30_000_000)
 #: Places that fewer sampled documents have keep the weight 0.
 DOCUMENTS = 4
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.5, 1e-4
@@ -46,11 +50,17 @@ def word_places(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(x.encode(), 7) % (WEIGHTS - 1) + 1 for x in found]
 
 
+def lowered(text: str) -> str:
+    """text in lower case, with as many code points; a letter that has none of one code point stays."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def sentences(text: str) -> Iterator[list[str]]:
     """The words of each sentence; one empty sentence if there are none."""
     held: list[str] = []
     none = True
-    for piece in PIECE.findall(text.lower()):
+    for piece in PIECE.findall(lowered(text)):
         held += WORD.findall(piece)
         while len(held) >= LEAST:
             yield held[:MOST]
@@ -62,9 +72,8 @@ def sentences(text: str) -> Iterator[list[str]]:
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """First and last code point (end excluded) of each sentence, in the lower-cased text."""
-    lower = text.lower()
-    at = [m.span() for m in WORD.finditer(lower)]
+    """First and last code point (end excluded) of each sentence in the text."""
+    at = [m.span() for m in WORD.finditer(lowered(text))]
     out, i = [], 0
     for sentence in sentences(text):
         out.append((at[i][0], at[i + len(sentence) - 1][1]) if sentence else (0, 0))
@@ -154,10 +163,12 @@ def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
     return kinds[0].unionByName(kinds[1]), max(1.0, share[0] / share[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE, sample_chars: tuple[int, int] = SAMPLE_CHARS) -> np.ndarray:
     """Weights from the labelled documents; their words are cut to places on the executors.
 
-    The sampled ids, sum(sample) rows at most, are broadcast to the documents, so no text is shuffled.
+    The sampled ids, sum(sample) rows at most, are broadcast to the documents, so no text is
+    shuffled. What the driver gets, places, is bounded by sample_chars (code points of the texts
+    with label 1 and with label 0).
     """
     ship(docs.sparkSession)
 
@@ -168,8 +179,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
 
     ids, weight = sampled(labels, id_col, label_col, sample)
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(text_col), "y")
-    got = rows.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    known = texts.join(F.broadcast(ids.toDF("known", "y")), F.col("id") == F.col("known")).select("id", "body", "y", F.char_length("body").cast("long").alias("n"))
+    rows = checkpoint(known)
+    # at most sum(sample) labelled ids, so the window is over few rows; sizes come first, texts stay where they are
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    least = F.when(F.col("y") == 1, F.lit(sample_chars[0])).otherwise(F.lit(sample_chars[1]))
+    beyond = rows.select("id", "y", F.sum("n").over(order).alias("so_far")).filter(F.col("so_far") > least).select("id").distinct()
+    inside = rows.join(F.broadcast(beyond), "id", "left_anti").select("body", "y")
+    got = inside.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
     if not got.num_rows:
         return fit(Bags(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.zeros(0))
     listed = pa.concat_arrays(got.column("doc").chunks)
@@ -184,6 +202,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     used = np.flatnonzero(weights)
     shared = df.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32)))
     held = [id_col, *keep]
+    inner = [f"c{i}" for i in range(len(held))]
 
     def run(batches):
         full = np.zeros(WEIGHTS, np.float32)
@@ -205,11 +224,12 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                     start, end = spans(text or "")[most]
                     worst.append({"start": start, "end": end, "p": float(1 / (1 + np.exp(-logits[most])))})
                 kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(scores, pa.float64()), pa.array(worst, kind)], names=[*held, "score", "worst"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(scores, pa.float64()), pa.array(worst, kind)], names=[*inner, "score", "worst"])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held)
-    out = f"{kinds}, score double, worst struct<start:int,end:int,p:double>"
-    return df.select(*held, F.col(text_col).alias("_scored")).mapInArrow(run, out)
+    kinds = ", ".join(f"{i} {df.schema[c].dataType.simpleString()}" for i, c in zip(inner, held))
+    read = [*[F.col(c).alias(i) for i, c in zip(inner, held)], F.col(text_col).alias("body")]
+    scored = df.select(*read).mapInArrow(run, f"{kinds}, score double, worst struct<start:int,end:int,p:double>")
+    return scored.toDF(*held, "score", "worst")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, fold, keep: list[str] = ()) -> DataFrame:

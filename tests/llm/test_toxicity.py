@@ -1,12 +1,14 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from docmill.llm import queries, toxicity as t
 from docmill.llm.common import fold
-from tests.llm.helpers import SF, docs, needs_data
+from tests.llm.helpers import SF, clashing, docs, needs_data
 
 CLEAN = ["river", "stone", "cloud", "green", "walks", "under", "table", "seven", "music", "paper"]
 
@@ -33,6 +35,93 @@ def test_sentences_and_spans_agree():
         assert all(t.WORD.findall(text.lower()[a:b]) == s for s, (a, b) in zip(found, at))
 
 
+def test_spans_lie_in_the_text_as_it_is(spark):
+    weights = np.zeros(t.WEIGHTS)
+    weights[0], weights[t.word_places("idiot")[0]] = -5.0, 12.0
+    text = "İİİİ and seven words more to come here. You are such an idiot my dear old friend. The rest is fine and long enough to be one."
+    worst = t.score(docs(spark, [(1, text)]), weights).first().worst
+    assert text[worst.start : worst.end] == "You are such an idiot my dear old friend"
+
+
+def plain_score(text, weights):
+    """The noisy-or of the sentences, written out."""
+    none = 1.0
+    for sentence in t.sentences(text or ""):
+        logit = weights[0] + sum(weights[p] for w in set(sentence) for p in t.word_places(w))
+        none *= 1 / (1 + math.exp(logit))
+    return 1 - none
+
+
+def plain_fit(rows, labels, clean_weight):
+    """fit without arrays: the same steps; slopes are held against differences of the loss."""
+    bags = [[[p for w in dict.fromkeys(s) for p in t.word_places(w)] for s in t.sentences(x)] for x in rows]
+    seen = Counter(p for doc in bags for p in {p for s in doc for p in s})
+    bags = [[[p for p in s if seen[p] >= t.DOCUMENTS] for s in doc] for doc in bags]
+    weights, moved = defaultdict(float, {0: -6.5}), defaultdict(lambda: 1e-8)
+    order = np.random.default_rng(7)
+
+    def logits(doc):
+        return [weights[0] + sum(weights[p] for p in s) for s in doc]
+
+    def loss(found, y):
+        none = sum(math.log1p(math.exp(x)) for x in found)
+        return -math.log(max(-math.expm1(-none), 1e-9)) if y else none
+
+    def slopes(doc, y):
+        found = logits(doc)
+        toxic = max(-math.expm1(-sum(math.log1p(math.exp(x)) for x in found)), 1e-9)
+        out = [(1 - y / toxic) / (1 + math.exp(-x)) for x in found]
+        moved_by = lambda k, h: [x + h * (i == k) for i, x in enumerate(found)]
+        for k, slope in enumerate(out):
+            assert abs(slope - (loss(moved_by(k, 1e-5), y) - loss(moved_by(k, -1e-5), y)) / 2e-5) < 1e-4
+        return out
+
+    for _ in range(t.EPOCHS):
+        shuffled = order.permutation(len(rows))
+        for at in range(0, len(rows), t.BATCH):
+            which = shuffled[at : at + t.BATCH]
+            whole = sum(1.0 if labels[i] else clean_weight for i in which)
+            down, bias = defaultdict(float), 0.0
+            for i in which:
+                for s, slope in zip(bags[i], slopes(bags[i], labels[i])):
+                    slope *= (1.0 if labels[i] else clean_weight) / whole
+                    bias += slope
+                    for p in s:
+                        down[p] += slope
+            for p, g in down.items():
+                g += t.DECAY * weights[p]
+                moved[p] += g * g
+                weights[p] -= t.RATE * g / math.sqrt(moved[p])
+            moved[0] += bias * bias
+            weights[0] -= 0.1 * t.RATE * bias / math.sqrt(moved[0])
+    return weights
+
+
+def test_fit_and_score_against_plain_loops(spark):
+    rows = corpus(90)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    df = docs(spark, [(i, x) for i, x, _ in rows]).coalesce(1)
+    weights = t.learn(df, labels)
+    near = plain_fit([x for _, x, _ in rows], [y for *_, y in rows], 1.0)
+    assert all(abs(weights[p] - w) < 0.02 for p, w in near.items() if p)
+    scored = {r.doc_id: r.score for r in t.score(df, weights).collect()}
+    assert all(abs(scored[i] - plain_score(x, weights)) < 1e-5 for i, x, _ in rows)
+
+
+def test_clashing_columns(spark):
+    rows = corpus(60)
+    df, labels = clashing(spark, [(i, x) for i, x, _ in rows]), clashing(spark, [(i, "") for i, *_ in rows]).withColumn("toxic", F.col("doc_id").cast("int") % 2)
+    scored = t.score(df, t.learn(df, labels), keep=["y", "c0", "_id"])
+    assert scored.columns == ["doc_id", "y", "c0", "_id", "score", "worst"] and scored.count() == 60
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    rows = corpus(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    df = docs(spark, [(i, x) for i, x, _ in rows])
+    assert np.flatnonzero(t.learn(df, labels)).size > np.flatnonzero(t.learn(df, labels, sample_chars=(800, 800))).size
+
+
 def test_learns_and_locates(spark):
     rows = corpus()
     known = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4], "doc_id bigint, toxic int")
