@@ -5,12 +5,12 @@ import numpy as np
 import pytest
 
 from docmill.llm import queries, suffix_dedup as s
-from tests.llm.helpers import SF, docs, needs_data
+from tests.llm.helpers import SF, clashing, docs, needs_data
 
 
 def plain(rows):
     """id, n_bytes, n_removed, n_spans, kept of each row, by a table of all windows."""
-    last = 1 << 62
+    last = (1 << 63) - 1
     least = {}
     for k, t in rows:
         k = last if k is None else k
@@ -35,11 +35,42 @@ def odd_rows(n=70):
     return [*rows, (3, base[0]), (3, base[0]), (n, None), (None, base[1] * 2), (None, base[1]), (n + 1, base[2] * 40)]
 
 
+def removed(rows):
+    """Of each row its bytes, and for each byte whether it goes."""
+    last = (1 << 63) - 1
+    least = {}
+    for k, t in rows:
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(least.get(t[i : i + 50], last), last if k is None else k)
+    for k, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < (last if k is None else k):
+                gone[i : i + 50] = b"\1" * 50
+        yield t, gone
+
+
+def by_windows(rows):
+    return removed([(k, (t or "").encode()) for k, t in rows])
+
+
+def whole(row):
+    """The characters that lost no byte."""
+    text, gone = row
+    out, at = [], 0
+    for c in text.decode():
+        n = len(c.encode())
+        if not any(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
 def by_row(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
-@pytest.mark.parametrize("letters", [b"ab", b"a", b"abcdefgh \n\0"])
+@pytest.mark.parametrize("letters", [b"ab", b"a", b"\0", b"\0\1", b"abcdefgh \n\0"])
 def test_suffix_array_and_prefixes(letters):
     pick = random.Random(2)
     raw = bytes(pick.choice(letters) for _ in range(1500))
@@ -50,13 +81,15 @@ def test_suffix_array_and_prefixes(letters):
 
     def common(a, b):
         n = 0
-        while n < 50 and padded[a + n] == padded[b + n]:
+        while n < 50 and max(a, b) + n < len(raw) and raw[a + n] == raw[b + n]:
             n += 1
         return n
 
-    padded = raw + bytes(60)  # as the array sees its end; windows never reach it
-
-    assert s.common_prefixes(data, order).tolist()[1:] == [common(a, b) for a, b in zip(order[1:], order)]
+    assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
+    want = [common(a, b) for a, b in zip(order[1:], order)]
+    for cuts in ([0], [0, 1, 60, 700, 1499]):
+        starts = np.array(cuts)
+        assert s.common_prefixes(data, order, starts, np.diff([*cuts, len(raw)])).tolist() == [0, *want]
 
 
 def test_pieces_hold_each_window_once():
@@ -83,13 +116,40 @@ def test_several_arrays_are_merged(monkeypatch):
     assert one.tolist() == [least[c[i : i + 50]] for c in contexts for i in range(len(c) - 49)]
 
 
+def test_halves_of_characters_make_no_character(spark):
+    z = "z" * 50
+    rows = [(1, "\u00e9"[:0] + "q\u00e9"), (2, "é" + z + "é"), (3, "q" + "é" * 24 + "\u0120" + "r")]
+    rows += [(0, z), (4, "é" + z + "é"), (2**63 - 1, "x" + z), (None, z + "y")]
+    got = {r.doc_id: (r.kept, r.n_removed) for r in s.dedup(docs(spark, rows), as_text=True).collect()}
+    assert got[2] == ("éé", 50) and got[4] == ("", 54) and got[2**63 - 1] == ("x", 50) and got[None] == ("y", 50) and got[0] == (z, 0)
+    assert s.whole_characters("aéb".encode(), [(2, 3)]) == [(1, 3)] and s.whole_characters("aéb".encode(), [(0, 2)]) == [(0, 3)]
+
+
+def test_clashing_columns(spark):
+    df = clashing(spark, [(1, "k" * 60), (2, "k" * 60), (2, "k" * 60), (3, None)])
+    out = s.dedup(df, keep=["_id", "_0", "kept", "_text"])
+    assert out.columns == ["doc_id", "_id", "_0", "kept", "_text", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert sorted((r[0], r[6]) for r in out.collect()) == [(1, 0), (2, 60), (2, 60), (3, 0)]
+
+
+def test_arrays_decide_a_hot_passage(spark, monkeypatch):
+    """One passage in a third of all rows; small packs, shards and arrays, so everything meets over several."""
+    pick = random.Random(9)
+    hot = "".join(pick.choice("abcdefgh ") for _ in range(200))
+    rows = [(i, "".join(pick.choice("abcd") for _ in range(pick.randint(0, 90))) + (hot if i % 3 == 0 else "") + f" {i} " * 20) for i in range(240)]
+    monkeypatch.setattr(s, "PACK", 4000)
+    monkeypatch.setattr(s, "SHARD", 8000)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.dedup(docs(spark, rows)).collect()]
+    assert by_row(got) == by_row(plain([(k, t.encode()) for k, t in rows]))
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.dedup(docs(spark, rows)).collect()]
     assert by_row(got) == by_row(plain([(k, (t or "").encode()) for k, t in rows]))
     text = s.dedup(docs(spark, rows), keep=["score", "ids"], as_text=True)
     assert text.columns == ["doc_id", "score", "ids", "n_bytes", "n_removed", "n_spans", "kept"]
-    assert sorted(r.kept for r in text.collect()) == sorted(r[4].decode("utf-8", "ignore") for r in got)
+    assert sorted(r.kept for r in text.collect()) == sorted(whole(r) for r in by_windows(rows))
     assert s.dedup(docs(spark, []).select("doc_id", "text")).count() == 0
 
 
