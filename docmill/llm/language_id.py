@@ -9,7 +9,9 @@ language lacks it; the language with the least cost wins, ties by name.
 Null texts and texts without a letter are `und` with score 0. Rows without a language are not
 learned from. Repeated rows count as often as they occur. With nothing to learn from, every
 text is `und`. The model (languages x PROFILE numbers) goes through the driver; its size depends
-on the number of languages only. Counting sums within each batch and task before it shuffles.
+on the number of languages only. Counting sums within each batch and task before it shuffles. Empty tables give
+empty results, and columns besides the named ones may have any name. A very long text is counted
+whole: some numbers of eight bytes for each of its characters are held at a time.
 """
 
 from __future__ import annotations

@@ -91,13 +91,15 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import warc
-    from docmill.llm.common import checkpoint, remove, shared_dir
+    from docmill.llm.common import remove, shared_dir
 
     where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(table(spark, sf_dir, "pages"), where)
-    # the digest columns are small; the archive is not needed once they are written
-    found = checkpoint(warc.resolve(warc.read(spark, where)))
-    remove(spark, where)
+    try:
+        warc.write(table(spark, sf_dir, "pages"), where)
+        # resolve writes the small columns to the shared folder; the archive is not needed after that
+        found = warc.resolve(warc.read(spark, where))
+    finally:
+        remove(spark, where)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

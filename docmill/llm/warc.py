@@ -17,7 +17,8 @@ several segments are shuffled.
 Null payloads count as empty. Rows that repeat an id are captures of their own; of those that
 share the smallest id of a payload, each is written whole. A null id is written as "null" and
 read back as null; it ranks after all others. Null URIs leave the header out. Empty tables give
-no files and an empty result. Ids are longs.
+no files and an empty result. Ids are longs. Columns besides the three named ones may have any
+name. A very long payload is cut into segments; its task holds it and its framed copy.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.common import checkpoint
 from docmill.workers import ship
 
 REVISIT_FROM = 100
@@ -211,8 +213,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Captures with payload_bytes; a revisit's is that of the capture that it names."""
-    own = captures.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload")
+    """Captures with payload_bytes; a revisit's is that of the capture that it names.
+
+    The columns besides the payload are written to the shared folder once, so the archive is
+    parsed for them once, however often they are used.
+    """
+    own = checkpoint(captures.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"))
     named = own.filter("record_type = 'response'").select(F.col("payload_digest").alias("_digest"), F.col("id").alias("_id"), F.col("payload_bytes").alias("_bytes")).distinct()
     revisits = own.filter("record_type = 'revisit'").drop("payload_bytes")
     found = revisits.join(named, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")

@@ -1,7 +1,11 @@
+import math
+import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from docmill.llm import language_id as lid, queries
-from tests.llm.helpers import SF, docs, needs_data
+from tests.llm.helpers import SF, clashing, docs, needs_data
 
 EN, DE = "the cat and the dog were there with their other thing", "der Hund und die Katze sind nicht dort mit einer Sache"
 
@@ -39,6 +43,40 @@ def test_odd_rows(spark):
     assert lid.learn(spark.createDataFrame([], "text string, lang string")) == {}
 
 
+def plain_predict(text, profiles):
+    """Language and score by the out-of-place distance, written out."""
+    own = plain_profile([text])
+    if not own:
+        return lid.UNKNOWN, 0.0
+    cost = {}
+    for name, profile in profiles.items():
+        rank = {g: i for i, g in enumerate(profile)}
+        cost[name] = sum(abs(rank[g] - i) if g in rank else lid.PROFILE for i, g in enumerate(own))
+    best = min(sorted(cost), key=cost.get)
+    return best, 1 / sum(math.exp(-8 * (c - cost[best]) / (lid.PROFILE * len(own))) for c in cost.values())
+
+
+@needs_data
+def test_predictions_against_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    held_out = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    texts = {}
+    for k, text, lang in rows:
+        if lang and not held_out(k):
+            texts.setdefault(lang, []).append(text)
+    profiles = {lang: plain_profile(found) for lang, found in texts.items()}
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    for k, text, _ in rows:
+        lang, score = plain_predict(text, profiles)
+        assert (got[k].lang_pred, got[k].held_out) == (lang, held_out(k)) and abs(got[k].score - score) < 1e-9
+
+
+def test_clashing_columns(spark):
+    df = clashing(spark, [(1, EN), (2, DE)]).withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("de")).withColumn("gram", F.lit(1))
+    got = lid.identify(df, lid.learn(df))
+    assert got.columns == ["doc_id", "lang_pred", "score"] and {(r.doc_id, r.lang_pred) for r in got.collect()} == {(1, "en"), (2, "de")}
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -16,8 +16,8 @@ def plain_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def plain_components(fps):
-    """id -> smallest reachable id, by comparing all pairs."""
+def plain_components(fps, also=lambda a, b: False):
+    """id -> smallest reachable id, by comparing all pairs; also(a, b): a link of another kind."""
     least = {i: i for i in fps}
 
     def root(i):
@@ -28,7 +28,7 @@ def plain_components(fps):
     ids = sorted(fps)
     for a in ids:
         for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+            if a < b and ((fps[a] ^ fps[b]).bit_count() <= 2 or also(a, b)):
                 x, y = sorted((root(a), root(b)))
                 least[y] = x
     return {i: root(i) for i in ids}
