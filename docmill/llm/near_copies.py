@@ -5,10 +5,11 @@ of its own, so a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, ab
 Every candidate is verified by its exact Jaccard similarity over the whole texts.
 
 A posting of at most POSTING texts is compared pair by pair. In a larger one each text is first
-compared with PIVOTS texts of the posting, which are the smallest under as many hashes. Where its
-members are linked into one component by then, nothing is left to find. Otherwise all its members
-go to smaller postings, of texts that agree in a second band too, and there only pairs of
-different components count; the same again with a third band, where all such pairs are compared.
+compared with PIVOTS texts of the posting, which are the smallest under as many hashes. Texts then
+take the smallest label of their links, and of that one's links. Where the members of a posting
+have one label, they are connected and nothing is left to find. Otherwise all its members go to
+smaller postings, of texts that agree in a second band too, and there only pairs of different
+labels count; the same again with a third band, where all such pairs are compared.
 So no partner is left out for the size of a posting; a pair at 0.8 that only such postings have
 is missed if it agrees in two bands or fewer (probability 0.004). No group is gathered in one task.
 
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import checkpoint
-from docmill.llm.components import components
 from docmill.workers import ship
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
@@ -77,24 +77,31 @@ def links(sketches: DataFrame, texts: DataFrame, text_col: str = "text") -> Data
         pivots = [F.min(F.struct(F.xxhash64("t", F.lit(s)).alias("h"), "t", "node", "c")).alias(f"_p{s}") for s in range(PIVOTS)]
         size = [F.count("*").alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")]
         postings = checkpoint(each.groupBy("key").agg(*size, *pivots).filter(F.col("_lo") < F.col("_hi")))
-        small = each.join(postings.filter(F.col("n") <= most).select("key"), "key")
+        small = each.join(postings.filter(F.col("n") <= most).select("key").hint("merge"), "key")
         side = lambda x: small.select("key", F.col("node").alias(x), F.col("t").alias(f"t{x}"), F.col("c").alias(f"c{x}"))
-        pairs = side("u").join(side("v"), "key").filter("tu < tv and cu <> cv").select("u", "tu", "v", "tv")
+        pairs = side("u").join(side("v").hint("merge"), "key").filter("tu < tv and cu <> cv").select("u", "tu", "v", "tv")
         stars = postings.filter(F.col("n") > most).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"_p{s}.t", f"_p{s}.node", f"_p{s}.c") for s in range(PIVOTS)]))).alias("p"))
-        star = each.join(stars, "key").filter("c <> p.c").select(F.col("node").alias("u"), F.col("t").alias("tu"), F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
+        star = each.join(stars.hint("merge"), "key").filter("c <> p.c").select(F.col("node").alias("u"), F.col("t").alias("tu"), F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
         asked = checkpoint(pairs.unionByName(star).filter("u <> v").distinct())
         verified = checkpoint(_verified(asked, texts, text_col))
         found = verified if found is None else found.unionByName(verified)
         dense = postings.filter(F.col("n") > most).select("key")
         if dense.isEmpty():
             break
-        of = components(found).withColumnRenamed("component", "_c")
-        members = each.join(dense, "key").join(of, "node", "left").withColumn("c", F.coalesce("_c", "node")).drop("_c")
+        members = each.join(dense.hint("merge"), "key").join(_labels(found).hint("merge"), "node", "left").withColumn("c", F.coalesce("_c", "node")).drop("_c")
         several = members.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("key")
-        each = checkpoint(_agreeing(members.join(several, "key").join(once, ["node", "t"])))
+        each = checkpoint(_agreeing(members.join(several.hint("merge"), "key").join(once.hint("merge"), ["node", "t"])))
     return found.distinct()
 
 
+def _labels(found: DataFrame) -> DataFrame:
+    """node, _c for the ends of links: the smallest node within two links or so; equal labels mean connected nodes."""
+    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
+    onward = near.select(F.col("u").alias("to"), F.col("to").alias("_c"))
+    return near.join(onward.hint("merge"), "to").select(F.col("u").alias("node"), "_c")
+
+
 def _agreeing(members: DataFrame) -> DataFrame:
     """key, last, node, t, c: each member under its key together with each band after the last one in it."""
     after = members.select("key", "last", "node", "t", "c", F.posexplode("bands").alias("i", "band")).filter(F.col("i") > F.col("last"))
@@ -104,9 +111,9 @@ def _agreeing(members: DataFrame) -> DataFrame:
 def _verified(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     """Those pairs (u, v) of asked (u, tu, v, tv) whose whole texts are similar."""
     ends = asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))).distinct()
-    found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(ends, "t", "left_semi")
+    found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(ends.hint("merge"), "t", "left_semi")
     whole = checkpoint(found.groupBy("t").agg(F.first("text").alias("text")))
-    laid = asked.join(whole.toDF("tu", "a"), "tu").join(whole.toDF("tv", "b"), "tv").select("u", "v", "a", "b")
+    laid = asked.join(whole.toDF("tu", "a").hint("merge"), "tu").join(whole.toDF("tv", "b").hint("merge"), "tv").select("u", "v", "a", "b")
 
     def verify(batches):
         for batch in batches:

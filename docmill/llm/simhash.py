@@ -91,7 +91,7 @@ def _mask(bytes_at: tuple[int, ...]) -> int:
 def _counted(each: DataFrame) -> DataFrame:
     """Rows (fp, key) with n, the number of fingerprints that share the key; lone ones go."""
     shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return each.join(shared, "key").select("fp", "key", "n")
+    return each.join(shared.hint("merge"), "key").select("fp", "key", "n")
 
 
 def _key(kept: tuple[int, ...], column: Column = None) -> Column:
@@ -116,7 +116,7 @@ def tallied(postings: DataFrame, kept: dict[int, tuple[int, ...]]) -> DataFrame:
     inside = F.coalesce(*[F.when(F.col("key.at") == mask, at(mask)) for mask in rest])
     each = small.select("key", "fp", F.explode(inside).alias("at"))
     a, b = each.withColumnRenamed("fp", "u"), each.withColumnRenamed("fp", "v")
-    met = a.join(b, ["key", "at"]).filter("u < v").groupBy("key", "u", "v").agg(F.count("*").alias("more"))
+    met = a.join(b.hint("merge"), ["key", "at"]).filter("u < v").groupBy("key", "u", "v").agg(F.count("*").alias("more"))
     given = len(next(iter(kept.values())))
     return met.filter(F.col("more") + given >= SHARED_BYTES).select("u", "v").distinct()
 
@@ -144,7 +144,7 @@ def links(fps: DataFrame) -> DataFrame:
         alike = second.filter(F.col("n") <= POSTING)
         a, b = alike.select("key", F.col("fp").alias("u")), alike.select("key", F.col("fp").alias("v"))
         # all members of such a posting have the guaranteed bytes in common
-        found.append(a.join(b, "key").filter("u < v").select("u", "v").filter(F.bit_count(F.expr("u ^ v")) <= DISTANCE))
+        found.append(a.join(b.hint("merge"), "key").filter("u < v").select("u", "v").filter(F.bit_count(F.expr("u ^ v")) <= DISTANCE))
         crowded = second.filter(F.col("n") > POSTING)
         if not crowded.isEmpty():
             rest = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.expr("key.at").bitwiseAND(_bit(b)) == 0, b)))
@@ -177,10 +177,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         linked = linked.unionByName(near_copies.links(docs.withColumnRenamed("fp", "node"), df, text_col))
     found = components(linked)
     # components are of fingerprints; each takes the smallest id of its fingerprints
-    named = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = first.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return docs.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    of_fp = named.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id")
+    return docs.join(of_fp.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, copies: bool = False) -> DataFrame:
