@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    """df as a table written in the shared folder, which survives the loss of executors.
+
+    Unlike DataFrame.checkpoint() this also forgets what the optimizer derived of df (constraints
+    grow with every round of a loop otherwise) and knows its size.
+    """
+    where = f"{shared_dir(df.sparkSession)}/docmill-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,13 +5,16 @@ of its own, so a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, ab
 Every candidate is verified by its exact Jaccard similarity over the whole texts.
 
 A posting of at most POSTING texts is compared pair by pair. In a larger one each text is first
-compared with PIVOTS texts of the posting, which are the smallest under as many hashes. Texts then
-take the smallest label of their links, and of that one's links. Where the members of a posting
-have one label, they are connected and nothing is left to find. Otherwise all its members go to
-smaller postings, of texts that agree in a second band too, and there only pairs of different
-labels count; the same again with a third band, where all such pairs are compared.
-So no partner is left out for the size of a posting; a pair at 0.8 that only such postings have
-is missed if it agrees in two bands or fewer (probability 0.004). No group is gathered in one task.
+compared with PIVOTS texts of the posting, those that are in most large postings (ties by as many
+hashes). Texts are labelled with their component so far, and those that are not of the posting's
+most frequent component are compared with PIVOTS texts of it, others in every posting. Where the members of a posting have one label, nothing is left to find
+there. The members of all other large
+postings are joined exactly, by prefix filtering: each text's shingles are ordered from the rarest
+among them to the most frequent; two texts of Jaccard similarity s must share one of the first
+n - ceil(s n) + 1 shingles of the longer and of the first n - ceil(2 s n / (1 + s)) + 1 of the
+shorter one. Pairs of one label are left out, postings of one label too, and in the others what has
+the most frequent label is compared with the rest only. So no partner is left out for the size of a
+posting, and no group is gathered in one task.
 
 Words are those of the SimHash: lower-cased in A-Z only, cut at ASCII white space. A text of
 fewer words than a shingle has one shingle of all its words; texts without words have no links.
@@ -27,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import checkpoint
+from docmill.llm.components import components
 from docmill.workers import ship
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 25, 5
-POSTING, PIVOTS, LEVELS = 32, 4, 3
+POSTING, PIVOTS, ROUNDS = 32, 4, 2
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -70,54 +74,108 @@ def links(sketches: DataFrame, texts: DataFrame, text_col: str = "text") -> Data
     ship(sketches.sparkSession)
     # rows that repeat a text differ in nothing; one stands for all of them
     once = checkpoint(sketches.groupBy("node", F.col("_t").alias("t")).agg(F.first("_bands").alias("bands")))
-    each = _agreeing(once.withColumns({"key": F.lit(0).cast("long"), "last": F.lit(-1), "c": F.col("node")}))
-    found: DataFrame | None = None
-    for level in range(1, LEVELS + 1):
-        most = POSTING if level < LEVELS else 1 << 62
-        pivots = [F.min(F.struct(F.xxhash64("t", F.lit(s)).alias("h"), "t", "node", "c")).alias(f"_p{s}") for s in range(PIVOTS)]
-        size = [F.count("*").alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")]
-        postings = checkpoint(each.groupBy("key").agg(*size, *pivots).filter(F.col("_lo") < F.col("_hi")))
-        small = each.join(postings.filter(F.col("n") <= most).select("key").hint("merge"), "key")
-        side = lambda x: small.select("key", F.col("node").alias(x), F.col("t").alias(f"t{x}"), F.col("c").alias(f"c{x}"))
-        pairs = side("u").join(side("v").hint("merge"), "key").filter("tu < tv and cu <> cv").select("u", "tu", "v", "tv")
-        stars = postings.filter(F.col("n") > most).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"_p{s}.t", f"_p{s}.node", f"_p{s}.c") for s in range(PIVOTS)]))).alias("p"))
-        star = each.join(stars.hint("merge"), "key").filter("c <> p.c").select(F.col("node").alias("u"), F.col("t").alias("tu"), F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
-        asked = checkpoint(pairs.unionByName(star).filter("u <> v").distinct())
-        verified = checkpoint(_verified(asked, texts, text_col))
-        found = verified if found is None else found.unionByName(verified)
-        dense = postings.filter(F.col("n") > most).select("key")
-        if dense.isEmpty():
-            break
-        members = each.join(dense.hint("merge"), "key").join(_labels(found).hint("merge"), "node", "left").withColumn("c", F.coalesce("_c", "node")).drop("_c")
-        several = members.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter(F.col("_lo") < F.col("_hi")).select("key")
-        each = checkpoint(_agreeing(members.join(several.hint("merge"), "key").join(once.hint("merge"), ["node", "t"])))
-    return found.distinct()
-
-
-def _labels(found: DataFrame) -> DataFrame:
-    """node, _c for the ends of links: the smallest node within two links or so; equal labels mean connected nodes."""
-    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
-    onward = near.select(F.col("u").alias("to"), F.col("to").alias("_c"))
-    return near.join(onward.hint("merge"), "to").select(F.col("u").alias("node"), "_c")
-
-
-def _agreeing(members: DataFrame) -> DataFrame:
-    """key, last, node, t, c: each member under its key together with each band after the last one in it."""
-    after = members.select("key", "last", "node", "t", "c", F.posexplode("bands").alias("i", "band")).filter(F.col("i") > F.col("last"))
-    return after.select(F.xxhash64("key", "i", "band").alias("key"), F.col("i").alias("last"), "node", "t", "c")
-
-
-def _verified(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """Those pairs (u, v) of asked (u, tu, v, tv) whose whole texts are similar."""
-    ends = asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))).distinct()
-    found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(ends.hint("merge"), "t", "left_semi")
-    whole = checkpoint(found.groupBy("t").agg(F.first("text").alias("text")))
+    each = once.select("node", "t", F.posexplode("bands").alias("i", "band")).select("node", "t", F.xxhash64("i", "band").alias("key"))
+    sizes = checkpoint(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    small = each.join(sizes.filter(F.col("n") <= POSTING).select("key").hint("merge"), "key")
+    side = lambda x: small.select("key", F.col("node").alias(x), F.col("t").alias(f"t{x}"))
+    pairs = side("u").join(side("v").hint("merge"), "key").filter("tu < tv").select("u", "tu", "v", "tv")
+    large = sizes.filter(F.col("n") > POSTING).select("key")
+    if large.isEmpty():
+        return _verified(pairs, texts, text_col)
+    inside = each.join(large.hint("merge"), "key").withColumn("c", F.col("node"))
+    # a text that is in many large postings is like many others
+    places = inside.groupBy("node", "t").agg((-F.count("*")).alias("rare"))
+    members = checkpoint(inside.join(places.hint("merge"), ["node", "t"]))
+    found = checkpoint(_verified(pairs.unionByName(_stars(members, members, "rare")), texts, text_col))
+    for turn in range(1, ROUNDS + 1):
+        members = checkpoint(_mixed(members, components(found), "key"))
+        if members.isEmpty():
+            return found
+        if turn < ROUNDS:
+            found = checkpoint(found.unionByName(_verified(_stars(members.filter("c <> main"), members.filter("c = main"), "key"), texts, text_col)).distinct())
+    left = checkpoint(members.select("node", "t", "c").distinct())
+    return found.unionByName(_verified(_prefix_pairs(left, texts, text_col), texts, text_col)).distinct()
+
+
+def _stars(members: DataFrame, among: DataFrame, first: str) -> DataFrame:
+    """Pairs (u, tu, v, tv) of each member of a posting with PIVOTS of those among it that have another label.
+
+    first: "rare" for those in most large postings, "key" for others in every posting.
+    """
+    smallest = [F.min(F.struct(first, F.xxhash64("t", "key", F.lit(s)).alias("h"), "t", "node", "c")).alias(f"_p{s}") for s in range(PIVOTS)]
+    each = F.explode(F.array_distinct(F.array(*[F.struct(f"_p{s}.t", f"_p{s}.node", f"_p{s}.c") for s in range(PIVOTS)]))).alias("p")
+    pivots = among.groupBy("key").agg(*smallest).select("key", each)
+    met = members.join(pivots.hint("merge"), "key").filter("c <> p.c")
+    return met.select(F.col("node").alias("u"), F.col("t").alias("tu"), F.col("p.node").alias("v"), F.col("p.t").alias("tv"))
+
+
+def _mixed(members: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The members, labelled anew, of those postings that have several labels, with main, the most frequent one of each."""
+    labelled = members.drop("c", "main").join(found.withColumnRenamed("component", "c").hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    return labelled.join(_several(labelled, key).hint("merge"), key)
+
+
+def _several(labelled: DataFrame, key: str) -> DataFrame:
+    """key, main of the postings whose members have several labels."""
+    by_label = labelled.groupBy(key, "c").agg(F.count("*").alias("k"))
+    most = by_label.groupBy(key).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return most.filter("lo < hi").select(key, "main")
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Pairs (u, tu, v, tv) of members (node, t, c) of different c that prefix filtering can't rule out."""
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                hashes = [[xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(x.as_py())] for x in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["node", "t", "c", "hashes"])
+
+    laid = members.join(_whole(members.select("t"), texts, text_col).hint("merge"), "t").select("node", "t", "c", "text")
+    sets = checkpoint(laid.mapInArrow(cut, "node bigint, t bigint, c bigint, hashes array<bigint>"))
+    each = sets.select("node", "t", "c", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    ordered = each.join(often.hint("merge"), "h").groupBy("node", "t", "c").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("s"))
+    n = F.size("s")
+    least = lambda share: n - F.ceil(n * share - 1e-9).cast("int") + 1
+    kept = ordered.select("node", "t", "c", n.alias("n"), least(2 * SIMILARITY / (1 + SIMILARITY)).alias("short"), F.posexplode(F.slice("s", F.lit(1), least(SIMILARITY))).alias("at", "s"))
+    postings = checkpoint(kept.filter("s.often > 1").select("node", "t", "c", "n", (F.col("at") < F.col("short")).alias("early"), "at", F.col("s.h").alias("h")))
+    live = postings.join(_several(postings, "h").hint("merge"), "h")
+    named = lambda d, x: d.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "t", "c", "n", "early", "at")])
+    both = named(live.filter("c <> main"), "u").join(named(live, "v").hint("merge"), "h")
+    overlap = F.ceil((F.col("n_u") + F.col("n_v")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    most = F.least("at_u", "at_v") + 1 + F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) - 1
+    near = (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * SIMILARITY - 1e-9) & (most >= overlap)
+    shorter = (F.col("early_u") & (F.col("n_u") <= F.col("n_v"))) | (F.col("early_v") & (F.col("n_v") <= F.col("n_u")))
+    return both.filter((F.col("c_u") != F.col("c_v")) & near & shorter).select(
+        F.col("node_u").alias("u"), F.col("t_u").alias("tu"), F.col("node_v").alias("v"), F.col("t_v").alias("tv")
+    )
+
+
+def _whole(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """t, text: the texts of the digests asked for, each once."""
+    found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(asked.distinct().hint("merge"), "t", "left_semi")
+    return checkpoint(found.groupBy("t").agg(F.first("text").alias("text")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Those pairs (u, v) of (u, tu, v, tv), u <> v, whose whole texts are similar."""
+    one_way = F.when(F.col("tu") < F.col("tv"), F.struct("u", "tu", "v", "tv")).otherwise(F.struct(F.col("v").alias("u"), F.col("tv").alias("tu"), F.col("u").alias("v"), F.col("tu").alias("tv")))
+    asked = checkpoint(pairs.filter("u <> v").select(one_way.alias("p")).select("p.*").distinct())
+    whole = _whole(asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))), texts, text_col)
     laid = asked.join(whole.toDF("tu", "a").hint("merge"), "tu").join(whole.toDF("tv", "b").hint("merge"), "tv").select("u", "v", "a", "b")
 
     def verify(batches):
+        # pairs come by tv, so one set serves all pairs of a text that many are compared with
+        last, held = None, set()
         for batch in batches:
-            kept = pa.array([similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield batch.select(["u", "v"]).filter(kept)
+            kept = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                b = b.as_py()
+                if b != last:
+                    last, held = b, shingles(b)
+                kept.append(similar(shingles(a.as_py()), held))
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     return laid.mapInArrow(verify, "u bigint, v bigint").distinct()
