@@ -10,6 +10,21 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: The one thing that a Python worker keeps from task to task; what another operator needs replaces it.
+_KEPT: dict = {}
+
+
+def keep(key, make):
+    """What make() gives, kept in this worker until something else is."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def keep_nothing() -> None:
+    """For operators that need the worker's memory themselves."""
+    _KEPT.clear()
 
 
 def ship(spark: SparkSession) -> None:
