@@ -30,13 +30,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.workers import ship
+from docmill.workers import keep, ship
 
 #: The pre-token pattern and byte alphabet of public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
+#: Bits of a node of the label trie in a pair.
+NODES = 32
+LOW = (1 << NODES) - 1
 #: Most pre-tokens (or arcs) that a worker remembers; when full, the memory starts afresh.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -128,8 +131,6 @@ class Gadgets:
 class Automaton:
     """The automaton over bytes, as a transition table: state and byte to state, and the token that ends in a state."""
 
-    START = -1
-
     def __init__(self, vocabulary: Vocabulary):
         self.gadgets, self.sizes = Gadgets(vocabulary), {t: len(p) for t, p in vocabulary.pieces.items()}
         self.step: dict[int, int] = {}  # (node << 8 | byte) -> node of the trie of labels
@@ -139,7 +140,8 @@ class Automaton:
             for byte in vocabulary.pieces[token]:
                 node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
             self.label[node] = token
-        self.sets: list[tuple[tuple[int, int], ...]] = [((self.START, 0),)]
+        # a pair (token just read, node) is one number: the node, and above it the token + 1, 0 at the start
+        self.sets: list[tuple[int, ...]] = [(0,)]
         self.token = [-1]
         self.number = {self.sets[0]: 0}
         self.table: dict[int, int] = {}  # (state << 8 | byte) -> state
@@ -156,16 +158,16 @@ class Automaton:
         if known is not None:
             return known
         pairs, ended = [], -1
-        for read, node in self.sets[state]:
-            node = self.step.get(node << 8 | byte)
+        for pair in self.sets[state]:
+            read, node = (pair >> NODES) - 1, self.step.get((pair & LOW) << 8 | byte)
             if node is None:
                 continue
-            pairs.append((read, node))
+            pairs.append((read + 1) << NODES | node)
             token = self.label.get(node)
-            if token is not None and (read == self.START or self.gadgets.ends(read, token) == NEVER):
+            if token is not None and (read < 0 or self.gadgets.ends(read, token) == NEVER):
                 ended = token
         if ended >= 0:
-            pairs.append((ended, 0))
+            pairs.append((ended + 1) << NODES)
         found = tuple(pairs)
         number = self.number.get(found)
         if number is None:
@@ -287,15 +289,9 @@ def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
     return frozenset(out)
 
 
-#: By kind and vocabulary, so that a worker's tasks share one memory.
-_KEPT: dict[tuple[str, int], object] = {}
-
-
 def _kept(kind: str, make, shared):
-    key = (kind, shared.value[0])
-    if key not in _KEPT:
-        _KEPT[key] = make(*shared.value[1:])
-    return _KEPT[key]
+    """What a worker's tasks share, by kind and vocabulary."""
+    return keep((kind, shared.value[0]), lambda: make(*shared.value[1:]))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:

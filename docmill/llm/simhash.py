@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docmill.llm import near_copies
 from docmill.llm.common import checkpoint, private
 from docmill.llm.components import components
-from docmill.workers import ship
+from docmill.workers import keep_nothing, ship
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 SHARED_BYTES = 8 - DISTANCE
@@ -71,6 +71,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(df.sparkSession)
 
     def run(batches):
+        keep_nothing()
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
             columns = {id_col: batch.column(0), "fp": pa.array([fingerprint(t, k) if t else 0 for t in texts], pa.int64())}

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.workers import ship
+from docmill.workers import keep_nothing, ship
 
 LENGTH, K = 50, 16
 #: Longest piece, in windows; longer runs (texts with a period) are cut.
@@ -518,6 +518,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
     listed = lambda table, *names: [table.column(n).to_pylist() for n in names]
 
     def ask(key, table):
+        keep_nothing()
         return pack_keys(key[0].as_py(), table.column("_text").to_pylist(), shards)
 
     def answer(key, table):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import checkpoint
-from docmill.workers import ship
+from docmill.workers import keep_nothing, ship
 
 WEIGHTS = 1 << 20
 LEAST, MOST = 8, 64
@@ -173,10 +173,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
 
     def cut(batches):
+        keep_nothing()
         memory = Memory(word_places)
-        for batch in batches:
-            docs = [[[p for w in dict.fromkeys(s) for p in memory[w]] for s in sentences(t or "")] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 50):
+                batch = whole.slice(at, 50)
+                docs = [[[p for w in dict.fromkeys(s) for p in memory[w]] for s in sentences(t or "")] for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
 
     ids, weight = sampled(labels, id_col, label_col, sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -205,6 +208,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     inner = [f"c{i}" for i in range(len(held))]
 
     def run(batches):
+        keep_nothing()
         full = np.zeros(WEIGHTS, np.float32)
         full[shared.value[0]] = shared.value[1]
         bias = float(full[0])
