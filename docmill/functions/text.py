@@ -51,8 +51,11 @@ def _normal_form(form: str):
 
 
 def composed(text: Column, form: str = "NFC") -> Column:
-    """In a Unicode normal form; only rows with something beyond ASCII leave the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _normal_form(form)(text)).otherwise(text)
+    """In a Unicode normal form; only texts with something beyond ASCII leave the JVM.
+
+    A function behind a condition still sees every row, so it gets a null for the others.
+    """
+    return F.coalesce(_normal_form(form)(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def folded(text: Column) -> Column:

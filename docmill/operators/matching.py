@@ -35,11 +35,16 @@ def _similarity():
 def fuzzy_titles(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, candidate: str, title: str, pos: str, least: float = 0.5) -> DataFrame:
     """asked_id, title, ratio: each candidate's most similar title of its case, the first of equal ones, or null.
 
-    Only the titles of the same case are compared, and an equal title needs no comparison.
+    Only the titles of the same case are compared. A ratio is at most twice the shared letters' number
+    over both lengths, and so bounded by the shorter length; pairs that can't reach `least` by their
+    lengths are left out, and an equal title needs no comparison.
     """
     ship(asked.sparkSession)
     pairs = asked.join(titles.filter(F.coalesce(title, F.lit("")) != "").select(case, title, pos), case)
-    scored = pairs.withColumn("ratio", F.when(F.col(candidate) == F.col(title), 1.0).otherwise(_similarity()(F.col(candidate), F.col(title))))
+    a, b = F.char_length(candidate), F.char_length(title)
+    pairs = pairs.filter(2 * F.least(a, b) >= least * (a + b))
+    differ = F.when(F.col(candidate) != F.col(title), F.col(candidate))
+    scored = pairs.withColumn("ratio", F.when(F.col(candidate) == F.col(title), 1.0).otherwise(_similarity()(differ, F.col(title))))
     best = scored.groupBy(asked_id).agg(F.max(F.struct("ratio", (-F.col(pos)).alias("p"), title)).alias("_b"))
     found = asked.select(asked_id).join(best, asked_id, "left")
     enough = F.col("_b.ratio") >= least

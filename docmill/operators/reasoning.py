@@ -21,19 +21,18 @@ HIGH, MEDIUM = 0.75, 0.45
 SEVERITY = {"none": 0.0, "minor": 0.5, "major": 1.0}
 
 
-def waves(steps: DataFrame, step: str = "step_id", deps: str = "depends_on", most: int = 1000) -> tuple[DataFrame, bool]:
+def waves(steps: DataFrame, step: str = "step_id", deps: str = "depends_on") -> tuple[DataFrame, bool]:
     """(step, wave) of a plan, and whether it can't be finished (a cycle, or a step that is not there).
 
-    A wave holds the steps whose dependencies are all in earlier ones. Plans are driven from the
-    driver and are small; each wave is one query over what is left.
+    A wave holds the steps whose dependencies are all in earlier ones; waves end when no step is
+    ready. Plans are driven from the driver and are small.
     """
     left = [(r[step], set(r[deps] or [])) for r in steps.select(step, deps).toLocalIterator()]
     done: list[tuple[str, int]] = []
     have: set[str] = set()
-    for wave in range(1, most + 1):
-        now = sorted(s for s, d in left if d <= have)
-        if not now:
-            break
+    wave = 0
+    while now := sorted(s for s, d in left if d <= have):
+        wave += 1
         done += [(s, wave) for s in now]
         have |= set(now)
         left = [x for x in left if x[0] not in have]
@@ -77,16 +76,21 @@ def shared_keys(df: DataFrame, issue: str, key: str) -> DataFrame:
 
 
 def shared_entity_pairs(df: DataFrame, issue: str, entity: str, least: int = 2) -> DataFrame:
-    """Pairs of issues with at least `least` entities in common.
+    """issue_a, issue_b, n_shared, shared (the first five, in order) of pairs with at least `least` entities in common.
 
-    Pairs are what is asked for; entities of one issue only can't make any and are dropped first.
+    Entities of one issue only can't make a pair and are dropped first. Each issue's entities are
+    ordered from the rarest; two issues that share `least` of them share one that is among all but
+    the last least - 1 of either, so the most frequent ones make no candidates.
     """
     one = df.select(F.col(issue).alias("i"), F.col(entity).alias("e")).distinct()
-    useful = one.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1").select("e")
-    kept = one.join(useful, "e")
-    a, b = kept.select("e", F.col("i").alias("issue_a")), kept.select("e", F.col("i").alias("issue_b"))
-    pairs = a.join(b, "e").filter("issue_a < issue_b").groupBy("issue_a", "issue_b").agg(F.count("*").alias("n_shared"))
-    return pairs.filter(F.col("n_shared") >= least)
+    useful = one.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = one.join(useful, "e").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s"))
+    sets = kept.filter(F.size("s") >= least).select("i", F.transform("s", lambda x: x["e"]).alias("es"))
+    early = sets.select("i", "es", F.explode(F.slice("es", F.lit(1), F.size("es") - (least - 1))).alias("e"))
+    a, b = (early.select("e", F.col("i").alias(f"issue_{x}"), F.col("es").alias(x)) for x in "ab")
+    met = a.join(b, "e").filter("issue_a < issue_b").dropDuplicates(["issue_a", "issue_b"])
+    pairs = met.select("issue_a", "issue_b", F.array_sort(F.array_intersect("a", "b")).alias("both"))
+    return pairs.select("issue_a", "issue_b", F.size("both").cast("long").alias("n_shared"), F.slice("both", 1, 5).alias("shared")).filter(F.col("n_shared") >= least)
 
 
 def completeness(required: DataFrame, covered: DataFrame, key: str, element: str) -> DataFrame:

@@ -145,3 +145,16 @@ def retry_until(df: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], d
         settled = now if settled is None else settled.unionByName(now)
         left = tried.filter(~done | done.isNull()).drop("attempts")
     return settled
+
+
+def mean_pair_similarity(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, n_pairs, mean_similarity: the mean dot product over all pairs of a key's vectors, without making pairs.
+
+    The pairs' dot products add up to half of what the square of the summed vector has beyond the
+    vectors' own squares, so one aggregation by key and place is enough; a key of one row has no pairs.
+    """
+    each = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x"))
+    places = each.groupBy(key, "at").agg(F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
+    found = places.groupBy(key).agg(F.sum(F.col("total") * F.col("total") - F.col("own")).alias("twice"), F.max("n").alias("n")).filter("n > 1")
+    pairs = F.col("n") * (F.col("n") - 1)
+    return found.select(key, (pairs / 2).cast("long").alias("n_pairs"), (F.col("twice") / pairs).alias("mean_similarity"))

@@ -12,10 +12,14 @@ def manifest(df: DataFrame, party: str, doc_type: str) -> DataFrame:
 
 
 def merge_ghosts(parties: DataFrame, party: str = "party") -> DataFrame:
-    """A label that begins other labels gives its types to each of them and goes. Labels are few: one per role."""
-    base, longer = parties.alias("b"), parties.alias("v")
-    starts = F.col(f"v.{party}").startswith(F.col(f"b.{party}")) & (F.col(f"v.{party}") != F.col(f"b.{party}"))
-    pairs = base.join(longer, starts).select(F.col(f"b.{party}").alias("_base"), F.col(f"v.{party}").alias(party), F.col("b.doc_types").alias("_more"))
+    """A label that begins other labels gives its types to each of them and goes.
+
+    Labels meet by the beginnings of each one, so the join is by equality.
+    """
+    ends = F.sequence(F.lit(1), F.char_length(party) - 1)
+    begins = F.explode(F.transform(ends, lambda n: F.substring(F.col(party), F.lit(1), n)))
+    longer = parties.filter(F.char_length(party) > 1).select(F.col(party), begins.alias("_base"))
+    pairs = longer.join(parties.select(F.col(party).alias("_base"), F.col("doc_types").alias("_more")), "_base")
     given = pairs.groupBy(party).agg(F.flatten(F.collect_list("_more")).alias("_more"))
     kept = parties.join(pairs.select(F.col("_base").alias(party)).distinct(), party, "left_anti").join(given, party, "left")
     merged = F.array_sort(F.array_union("doc_types", F.coalesce("_more", F.array().cast("array<string>"))))

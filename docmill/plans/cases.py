@@ -33,10 +33,10 @@ def latest(spark, sf_dir):
     return K.latest(rows, "o_custkey", "at", "o_orderkey")
 
 
-@query("insert_if_absent", "SELECT source, min(doc_id) AS doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id < 30) GROUP BY source")
+@query("insert_if_absent", "SELECT source, min(doc_id) AS doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1) GROUP BY source")
 def insert_if_absent(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    stored = docs.join(table(spark, sf_dir, "labels").filter("quality = 1 and doc_id < 30").select("doc_id"), "doc_id", "left_semi")
+    stored = docs.join(table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
     return C.insert_if_absent(stored, docs, ["source"], [F.col("doc_id")]).select("source", "doc_id")
 
 

@@ -80,16 +80,12 @@ def mmr(spark, sf_dir):
 
 @query(
     "pairwise_label_similarity",
-    """WITH e AS (SELECT vec_id, label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 5)
-    SELECT a.label, count(*) AS n_pairs, round(avg(round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)), 5) AS mean_similarity
-    FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""",
+    """SELECT a.label, count(*) AS n_pairs, round(avg(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS mean_similarity
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""",
 )
 def pairwise(spark, sf_dir):
-    """Agreement of repeated answers: the first five vectors of each label stand for the answers to one question."""
-    few = ranking.numbered(table(spark, sf_dir, "embeddings"), "label", [F.col("vec_id")], "rn").filter("rn <= 5")
-    a, b = few.select("label", "vec_id", F.col("embedding").alias("u")), few.select("label", F.col("vec_id").alias("w"), F.col("embedding").alias("v"))
-    pairs = a.join(b, "label").filter("vec_id < w").select("label", F.round(vectors.dot(F.col("u"), F.col("v")), 6).alias("s"))
-    return pairs.groupBy("label").agg(F.count("*").alias("n_pairs"), F.round(F.avg("s"), 5).alias("mean_similarity"))
+    """Agreement of repeated answers: the vectors of a label stand for the answers to one question."""
+    return R.mean_pair_similarity(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("mean_similarity", F.round("mean_similarity", 5))
 
 
 @query("unit_vectors", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS size, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
@@ -102,10 +98,10 @@ def unit(spark, sf_dir):
     "rerank_overlap",
     """WITH q AS (SELECT text FROM benchmark WHERE item_id = 0), w AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-ZÀ-ÿ0-9]+'), lambda x: x <> '')) AS qs FROM q)
     SELECT doc_id, round(len(list_intersect(qs, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-ZÀ-ÿ0-9]+'), lambda x: x <> ''))))::DOUBLE / len(qs), 6) AS rerank_score
-    FROM documents, w WHERE n_chars < 400 AND lang = 'en' ORDER BY rerank_score DESC, doc_id LIMIT 20""",
+    FROM documents, w ORDER BY rerank_score DESC, doc_id LIMIT 20""",
 )
 def rerank(spark, sf_dir):
     question = table(spark, sf_dir, "benchmark").filter("item_id = 0").select("text").head()[0]
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 400 and lang = 'en'").select("doc_id", "text", F.lit(0.0).alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0.0).alias("score"))
     relevance = F.round(R.lexical_overlap(F.lit(question), F.col("text")), 6)
     return R.rerank(docs, relevance, 20, "doc_id").select("doc_id", "rerank_score")

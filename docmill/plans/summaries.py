@@ -87,9 +87,9 @@ def role_aggregation(spark, sf_dir):
     return out.select("lang", *[F.size(c).cast("long").alias(n) for n, c in sizes.items()], S.bullet_count(*[F.col(c) for c in sizes.values()]).cast("long").alias("bullet_count"))
 
 
-@query("item_ids", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'A' ELSE 'P' END || lpad((row_number() OVER (PARTITION BY source, n_chars > 1000 ORDER BY doc_id))::VARCHAR, greatest(3, 3), '0') AS item_id FROM documents WHERE doc_id < 1000")
+@query("item_ids", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'A' ELSE 'P' END || format('{:03d}', row_number() OVER (PARTITION BY source, n_chars > 1000 ORDER BY doc_id)) AS item_id FROM documents")
 def item_ids(spark, sf_dir):
-    kinds = docs(spark, sf_dir).filter("doc_id < 1000").withColumn("kind", F.when(F.col("n_chars") > 1000, "agreed").otherwise("party_specific"))
+    kinds = docs(spark, sf_dir).withColumn("kind", F.when(F.col("n_chars") > 1000, "agreed").otherwise("party_specific"))
     return K.item_ids(kinds, "source", "kind", [F.col("doc_id")], {"agreed": "A", "party_specific": "P"}).select("doc_id", "item_id")
 
 
@@ -117,24 +117,24 @@ def role_labels(spark, sf_dir):
     return S.with_label(docs(spark, sf_dir).select("doc_id"), known, "doc_id", "role", "undefined")
 
 
-MERGE = """WITH r AS (SELECT conv_id, turn, role, left(text, 40) AS a, role = 'assistant' AS found FROM conversations), s AS (SELECT conv_id, bool_or(found) AS any_found FROM r GROUP BY conv_id),
+MERGE = """WITH r AS (SELECT conv_id, turn, role, text AS a, role = 'assistant' AS found FROM conversations), s AS (SELECT conv_id, bool_or(found) AS any_found FROM r GROUP BY conv_id),
 u AS (SELECT r.*, any_found FROM r JOIN s USING (conv_id) WHERE found OR NOT any_found)
 SELECT conv_id, any_found AS found, CASE WHEN count(*) = 1 THEN min(a) ELSE string_agg('**' || role || '**' || chr(10) || a, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) END AS answer FROM u GROUP BY conv_id, any_found"""
 
 
 @query("merged_answers", MERGE)
 def merged(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 40).alias("a"), (F.col("role") == "assistant").alias("ok"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("a"), (F.col("role") == "assistant").alias("ok"))
     return S.merged_answer(rows, "conv_id", "role", "a", "ok", "turn")
 
 
 @query("agent_merge", """SELECT conv_id, CASE WHEN count(*) FILTER (WHERE role <> 'system') = 1 THEN min(a) FILTER (WHERE role <> 'system') ELSE coalesce(string_agg('[' || role || turn || ']' || chr(10) || a, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role <> 'system'), '') END AS merged,
-coalesce(string_agg(role || turn, ',' ORDER BY role || turn) FILTER (WHERE role = 'system'), '') AS failed FROM (SELECT *, left(text, 30) AS a FROM conversations) GROUP BY conv_id""")
+coalesce(string_agg(role || turn, ',' ORDER BY role || turn) FILTER (WHERE role = 'system'), '') AS failed FROM (SELECT *, text AS a FROM conversations) GROUP BY conv_id""")
 def agent_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("agent"), F.substring("text", 1, 30).alias("a"), F.when(F.col("role") == "system", "down").alias("error"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("agent"), F.col("text").alias("a"), F.when(F.col("role") == "system", "down").alias("error"))
     return S.merged_agents(rows, "conv_id", "agent", "a", "error", "turn").withColumn("failed", F.array_join("failed", ","))
 
 
-@query("report_sections", "SELECT conv_id, string_agg('## ' || role || chr(10) || left(text, 25), chr(10) || chr(10) ORDER BY turn) AS report FROM conversations WHERE trim(left(text, 25), ' ') <> '' GROUP BY conv_id")
+@query("report_sections", "SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS report FROM conversations WHERE trim(text, ' ') <> '' GROUP BY conv_id")
 def report(spark, sf_dir):
-    return S.report(table(spark, sf_dir, "conversations").withColumn("body", F.substring("text", 1, 25)), "conv_id", "role", "body", "turn")
+    return S.report(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", "turn")

@@ -55,7 +55,7 @@ def _decoder():
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8, else the Arabic and Latin code pages in turn, else UTF-8 with replacements."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(_decoder()(content))
+    return F.coalesce(_decoder()(F.when(~F.is_valid_utf8(text), content)), text)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
