@@ -25,6 +25,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ NEVER = 1 << 60
 NODES = 32
 LOW = (1 << NODES) - 1
 #: Most pre-tokens (or arcs) that a worker remembers; when full, the memory starts afresh.
-REMEMBER = 150_000
+REMEMBER = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -122,7 +123,7 @@ class Gadgets:
         else:
             there = True
         end = self.cut.get((x, y), NEVER) if there else 0
-        if len(self.arcs) > 10 * REMEMBER:
+        if len(self.arcs) > REMEMBER:
             self.arcs.clear()
         self.arcs[x, y] = end
         return end
@@ -140,17 +141,26 @@ class Automaton:
             for byte in vocabulary.pieces[token]:
                 node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
             self.label[node] = token
-        # a pair (token just read, node) is one number: the node, and above it the token + 1, 0 at the start
-        self.sets: list[tuple[int, ...]] = [(0,)]
-        self.token = [-1]
-        self.number = {self.sets[0]: 0}
-        self.table: dict[int, int] = {}  # (state << 8 | byte) -> state
+        # a state is a set of pairs (token just read, node), each one number: the node, and above it the
+        # token + 1, 0 at the start. Of compiled states, each of a prefix of its own, they lie in one array.
+        self.added: list[tuple[int, ...]] = [(0,)]
+        self.token, self.table = [-1], {}  # table: (state << 8 | byte) -> state
+        self.number: dict[tuple[int, ...], int] = {}
+        self.compiled, self.pairs, self.edges = 0, np.zeros(0, np.int64), np.zeros(1, np.int64)
         for token in self.gadgets.birth:
             state = 0
             for byte in vocabulary.pieces[token]:
                 state = self.follow(state, byte)
         self.gadgets.arcs.clear()
-        self.compiled = len(self.sets)
+        self.compiled = len(self.token)
+        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in self.added])])
+        self.pairs = np.fromiter((p for x in self.added for p in x), np.int64, int(self.edges[-1]))
+        self.added, self.number = [], {}
+
+    def set_of(self, state: int) -> list[int] | tuple[int, ...]:
+        if state < self.compiled:
+            return self.pairs[self.edges[state] : self.edges[state + 1]].tolist()
+        return self.added[state - self.compiled]
 
     def follow(self, state: int, byte: int) -> int:
         """The state after a byte, made by the subset construction if it is not in the table yet."""
@@ -158,7 +168,7 @@ class Automaton:
         if known is not None:
             return known
         pairs, ended = [], -1
-        for pair in self.sets[state]:
+        for pair in self.set_of(state):
             read, node = (pair >> NODES) - 1, self.step.get((pair & LOW) << 8 | byte)
             if node is None:
                 continue
@@ -171,8 +181,8 @@ class Automaton:
         found = tuple(pairs)
         number = self.number.get(found)
         if number is None:
-            number = self.number[found] = len(self.sets)
-            self.sets.append(found)
+            number = self.number[found] = len(self.token)
+            self.added.append(found)
             self.token.append(ended)
         self.table[state << 8 | byte] = number
         return number
@@ -180,14 +190,13 @@ class Automaton:
     def forget(self) -> None:
         """Back to the compiled states."""
         n = self.compiled
-        for found in self.sets[n:]:
-            del self.number[found]
-        del self.sets[n:], self.token[n:]
+        self.added, self.number = [], {}
+        del self.token[n:]
         self.table = {k: v for k, v in self.table.items() if k >> 8 < n and v < n}
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one pre-token: the walk of its bytes, then the tokens from the last one back."""
-        if len(self.sets) > self.compiled + REMEMBER:
+        if len(self.added) > REMEMBER // 2:
             self.forget()
         state, ended = 0, []
         get, token, follow = self.table.get, self.token, self.follow
@@ -308,7 +317,7 @@ def _schema(df: DataFrame, id_col: str, more: str) -> str:
     return f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {more}"
 
 
-def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 500) -> DataFrame:
+def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 100) -> DataFrame:
     """Encode every whole text by the automaton and decode the ids by their arc labels.
 
     vocabulary: path of the file, read by the driver only; the driver compiles the automaton and

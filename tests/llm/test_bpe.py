@@ -41,15 +41,15 @@ def test_automaton_and_merges_agree_with_the_library(library, vocabulary):
 
 def test_words_of_the_vocabulary_walk_the_compiled_table(library, vocabulary):
     automaton = bpe.Automaton(vocabulary)
-    states, arcs = len(automaton.sets), len(automaton.table)
+    states, arcs = len(automaton.token), len(automaton.table)
     for token, piece in vocabulary.pieces.items():
         if token in automaton.gadgets.birth:
             assert automaton.encode(piece) == [token]
-    assert (len(automaton.sets), len(automaton.table)) == (states, arcs)
+    assert (len(automaton.token), len(automaton.table)) == (states, arcs)
     before = automaton.encode(b"qzxjv" * 40)
-    assert len(automaton.sets) > states
+    assert len(automaton.token) > states
     automaton.forget()
-    assert (len(automaton.sets), len(automaton.table)) == (states, arcs) and automaton.encode(b"qzxjv" * 40) == before
+    assert (len(automaton.token), len(automaton.table)) == (states, arcs) and automaton.encode(b"qzxjv" * 40) == before
 
 
 def test_whole_tokens_are_one_token(library, vocabulary):
