@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ NODES = 32
 LOW = (1 << NODES) - 1
 #: Most pre-tokens (or arcs) that a worker remembers; when full, the memory starts afresh.
 REMEMBER = 100_000
+#: Most states that a worker adds to the compiled ones (about 300 bytes each); when full, it goes back to those.
+STATES = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -143,9 +147,9 @@ class Automaton:
             self.label[node] = token
         # a state is a set of pairs (token just read, node), each one number: the node, and above it the
         # token + 1, 0 at the start. Of compiled states, each of a prefix of its own, they lie in one array.
-        self.added: list[tuple[int, ...]] = [(0,)]
+        self.added: list[bytes] = [array("q", [0]).tobytes()]
         self.token, self.table = [-1], {}  # table: (state << 8 | byte) -> state
-        self.number: dict[tuple[int, ...], int] = {}
+        self.number: dict[bytes, int] = {}
         self.compiled, self.pairs, self.edges = 0, np.zeros(0, np.int64), np.zeros(1, np.int64)
         for token in self.gadgets.birth:
             state = 0
@@ -153,14 +157,14 @@ class Automaton:
                 state = self.follow(state, byte)
         self.gadgets.arcs.clear()
         self.compiled = len(self.token)
-        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in self.added])])
-        self.pairs = np.fromiter((p for x in self.added for p in x), np.int64, int(self.edges[-1]))
+        self.edges = np.concatenate([[0], np.cumsum([len(x) // 8 for x in self.added])])
+        self.pairs = np.frombuffer(b"".join(self.added), np.int64)
         self.added, self.number = [], {}
 
-    def set_of(self, state: int) -> list[int] | tuple[int, ...]:
+    def set_of(self, state: int) -> list[int]:
         if state < self.compiled:
             return self.pairs[self.edges[state] : self.edges[state + 1]].tolist()
-        return self.added[state - self.compiled]
+        return memoryview(self.added[state - self.compiled]).cast("q").tolist()
 
     def follow(self, state: int, byte: int) -> int:
         """The state after a byte, made by the subset construction if it is not in the table yet."""
@@ -178,7 +182,7 @@ class Automaton:
                 ended = token
         if ended >= 0:
             pairs.append((ended + 1) << NODES)
-        found = tuple(pairs)
+        found = array("q", pairs).tobytes()
         number = self.number.get(found)
         if number is None:
             number = self.number[found] = len(self.token)
@@ -196,7 +200,7 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one pre-token: the walk of its bytes, then the tokens from the last one back."""
-        if len(self.added) > REMEMBER // 2:
+        if len(self.added) > STATES:
             self.forget()
         state, ended = 0, []
         get, token, follow = self.table.get, self.token, self.follow
@@ -250,7 +254,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.parts(text) for i in self[part]]
+        return list(chain.from_iterable(map(self.__getitem__, self.parts(text))))
 
 
 def decode(ids: list[int], pieces: dict[int, bytes]) -> str:
@@ -333,11 +337,13 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         pieces = shared.value[3]
         for batch in _slices(batches, rows):
             ids = [encoder.encode(t) for t in _texts(batch)]
+            edges = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(edges[-1])))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(map(len, ids), pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(edges), flat),
                     pa.array([decode(x, pieces) for x in ids], pa.string()),
                 ],
                 names=[id_col, "n_tokens", "ids", "decoded"],
