@@ -25,7 +25,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +138,19 @@ class Automaton:
     def __init__(self, vocabulary: Vocabulary):
         self.gadgets, self.sizes = Gadgets(vocabulary), {t: len(p) for t, p in vocabulary.pieces.items()}
         self.step: dict[int, int] = {}  # (node << 8 | byte) -> node of the trie of labels
-        self.label: dict[int, int] = {}  # node -> the token that it spells
+        spelled: dict[int, int] = {}
         for token in self.gadgets.birth:
             node = 0
             for byte in vocabulary.pieces[token]:
                 node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
-            self.label[node] = token
+            spelled[node] = token
+        self.label = [spelled.get(n, -1) for n in range(len(self.step) + 1)]  # the token that a node spells
+        self.inner = bytearray(len(self.step) + 1)  # 1 if a label goes on after the node
+        for way in self.step:
+            self.inner[way >> 8] = 1
         # a state is a set of pairs (token just read, node), each one number: the node, and above it the
-        # token + 1, 0 at the start. Of compiled states, each of a prefix of its own, they lie in one array.
+        # token + 1, 0 at the start. Nodes that no label goes on from are left out, as no byte leads out of
+        # them. The pairs of compiled states lie in one array.
         self.added: list[bytes] = [array("q", [0]).tobytes()]
         self.token, self.table = [-1], {}  # table: (state << 8 | byte) -> state
         self.number: dict[bytes, int] = {}
@@ -172,14 +176,18 @@ class Automaton:
         if known is not None:
             return known
         pairs, ended = [], -1
+        step, label, inner = self.step.get, self.label, self.inner
         for pair in self.set_of(state):
-            read, node = (pair >> NODES) - 1, self.step.get((pair & LOW) << 8 | byte)
+            at = pair & LOW
+            node = step(at << 8 | byte)
             if node is None:
                 continue
-            pairs.append((read + 1) << NODES | node)
-            token = self.label.get(node)
-            if token is not None and (read < 0 or self.gadgets.ends(read, token) == NEVER):
-                ended = token
+            if ended < 0 and label[node] >= 0:  # of the paths to this byte only one is whole
+                read = (pair >> NODES) - 1
+                if read < 0 or self.gadgets.ends(read, label[node]) == NEVER:
+                    ended = label[node]
+            if inner[node]:
+                pairs.append(pair - at + node)
         if ended >= 0:
             pairs.append((ended + 1) << NODES)
         found = array("q", pairs).tobytes()
@@ -238,28 +246,34 @@ def merge(word: bytes, start: list[int], ranks: dict[tuple[int, int], tuple[int,
 
 
 class Encoder(dict):
-    """Pre-token -> ids, filled as pre-tokens are met."""
+    """Pre-token -> its ids (int32, as bytes), filled as pre-tokens are met.
+
+    When full, it starts afresh but looks up what it had: pre-tokens in use come back from there.
+    """
 
     def __init__(self, automaton: Automaton, special: dict[str, int]):
         super().__init__()
-        self.automaton, self.special = automaton, special
+        self.automaton, self.special, self.before = automaton, special, {}
         self.parts = Splitter(special).parts
 
-    def __missing__(self, part: str) -> list[int]:
+    def __missing__(self, part: str) -> bytes:
         if len(self) > REMEMBER:
+            self.before = dict(self)
             self.clear()
-        ids = [self.special[part]] if part in self.special else self.automaton.encode(part.encode())
+        ids = self.before.get(part)
+        if ids is None:
+            ids = array("i", [self.special[part]] if part in self.special else self.automaton.encode(part.encode())).tobytes()
         if len(part) < 100:
             self[part] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.parts(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.parts(text))), np.int32)
 
 
-def decode(ids: list[int], pieces: dict[int, bytes]) -> str:
+def decode(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
     """The arcs' labels, one after another; bytes that are no UTF-8 become U+FFFD."""
-    return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace")
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 class Counter(dict):
@@ -338,7 +352,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         for batch in _slices(batches, rows):
             ids = [encoder.encode(t) for t in _texts(batch)]
             edges = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(edges[-1])))
+            flat = pa.array(np.concatenate(ids))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
