@@ -271,9 +271,9 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.parts(text))), np.int32)
 
 
-def decode(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
+def decode(ids: list[int], pieces: dict[int, bytes]) -> str:
     """The arcs' labels, one after another; bytes that are no UTF-8 become U+FFFD."""
-    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Counter(dict):
@@ -358,7 +358,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     batch.column(0),
                     pa.array(map(len, ids), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(edges), flat),
-                    pa.array([decode(x, pieces) for x in ids], pa.string()),
+                    pa.array([decode(x.tolist(), pieces) for x in ids], pa.string()),
                 ],
                 names=[id_col, "n_tokens", "ids", "decoded"],
             )
