@@ -28,15 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df as a table written in the shared folder, which survives the loss of executors.
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table written in the shared folder, which survives the loss of executors; and where it is.
 
     Unlike DataFrame.checkpoint() this also forgets what the optimizer derived of df (constraints
     grow with every round of a loop otherwise) and knows its size.
     """
     where = f"{shared_dir(df.sparkSession)}/docmill-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where), where
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df as such a table."""
+    return stored(df)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -82,3 +82,60 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' OR last THEN so_far ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+#: crc32 of each different word, byte by byte through the table of its polynomial.
+RESAMPLING = r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+words AS (
+  SELECT 's' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+each AS (SELECT side, id, unnest(w) AS w FROM words),
+vocabulary AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(hex(encode(w))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(w)), CAST(2 * i - 1 AS BIGINT), 2))::UBIGINT)), lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM each), crc
+),
+placed AS (SELECT side, id, bucket, count(*) AS n FROM each JOIN vocabulary USING (w) GROUP BY ALL),
+totals AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM totals),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM totals, sums),
+weighed AS (SELECT id, sum(n) AS n, sum(n * g) AS total FROM placed JOIN gain USING (bucket) WHERE side = 's' GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+    coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed ON doc_id = id
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS k FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """The rounds of VECTOR_CODES: books b0, b1 ..., assignments a0, a1 ..."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT vec_id, p, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - v[i]) * (x[i] - v[i])))::BIGINT, e := e)) AS best
+  FROM part JOIN b{k} USING (p) GROUP BY vec_id, p
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p, best.e AS e, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM part JOIN a{k} USING (vec_id, p)),
+n{k} AS (SELECT p, e, list(g ORDER BY i) AS w FROM (SELECT p, e, i, CAST((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS g FROM m{k} GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(w, v) AS v FROM b{k} LEFT JOIN n{k} USING (p, e))""")
+    return ",\n".join(steps)
+
+
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+part AS (SELECT vec_id, p, x[CAST(p * len(x) // 16 + 1 AS BIGINT):CAST((p + 1) * len(x) // 16 AS BIGINT)] AS x FROM kept, range(16) r(p)),
+b0 AS (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS v FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{_lloyd(2)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""

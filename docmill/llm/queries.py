@@ -138,6 +138,27 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import sharding
+
+    placed = sharding.shards(table(spark, sf_dir, "documents"), n_shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import importance
+
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import vector_codes
+
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -149,10 +170,15 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_kd_sharding": op11_kd_sharding,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.DECONTAMINATION,
     "op8_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op9_warc_roundtrip": oracles.WARC,
     "op10_chat_formatting": oracles.CHAT,
+    "op12_importance_resampling": oracles.RESAMPLING,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }
