@@ -139,3 +139,56 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
   (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
 FROM coded JOIN kept USING (vec_id)
 """
+
+
+def _halved(n_shards: int) -> str:
+    """The levels of SHARDING: rows n0, n1 ... with their nodes."""
+    steps, shares = [], [n_shards]
+    while max(shares) > 1:
+        i, first = len(steps), 0
+        nodes = []
+        for node, k in enumerate(shares):
+            nodes.append(f"({node}, {k}, {first})")
+            first += 1 + (k > 1)
+        steps.append(f"""k{i}(node, k, first) AS (VALUES {', '.join(nodes)}),
+e{i} AS (
+  SELECT node, k, first, size::BIGINT * (k // 2) // k AS wanted,
+    list_position(list_value(x0, x1, x2), greatest(x0, x1, x2)) AS dim
+  FROM (SELECT node, sum(size) AS size, (max(d0) - min(d0)) / any_value(r0) AS x0, (max(d1) - min(d1)) / any_value(r1) AS x1, (max(d2) - min(d2)) / any_value(r2) AS x2 FROM n{i}, root GROUP BY node)
+  JOIN k{i} USING (node)
+),
+p{i} AS (SELECT n{i}.*, k, first, wanted, (list_value(d0, d1, d2)[dim] << 38) + tie AS place FROM n{i} JOIN e{i} USING (node)),
+s{i} AS (SELECT node, place, wanted, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY node ORDER BY place) AS up_to FROM p{i} WHERE k > 1 GROUP BY node, place, wanted),
+c{i} AS (SELECT node, arg_min(CASE WHEN up_to - wanted < wanted - up_to + s THEN place + 1 ELSE place END, place) AS cut FROM s{i} WHERE up_to >= wanted GROUP BY node),
+n{i + 1} AS (
+  SELECT doc_id, size, text_crc32, tie, d0, d1, d2, (first + CASE WHEN k > 1 AND place >= cut THEN 1 ELSE 0 END)::INTEGER AS node
+  FROM p{i} LEFT JOIN c{i} USING (node)
+)""")
+        shares = [h for k in shares for h in ([1] if k == 1 else [k // 2, k - k // 2])]
+    return ",\n".join(steps)
+
+
+#: The tree of 40 shards, level by level, each cut in the order of all rows; crc32 byte by byte.
+SHARDING = f"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+ends AS (SELECT coalesce(min(n_chars), 0)::DOUBLE AS low, coalesce(max(n_chars), 0)::DOUBLE AS high FROM documents),
+bodies AS (SELECT doc_id, lang, source, n_chars, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n0 AS (
+  SELECT doc_id, length(h) // 2 + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, CAST(2 * i - 1 AS BIGINT), 2))::UBIGINT)), lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+    (('0x' || substr(md5(body), 1, 8))::BIGINT >> 12 << 18) + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 14) AS tie,
+    CASE WHEN lang IS NULL THEN 0 ELSE ('0x' || substr(md5(lang), 1, 8))::BIGINT >> 8 END AS d0,
+    CASE WHEN source IS NULL THEN 0 ELSE ('0x' || substr(md5(source), 1, 8))::BIGINT >> 8 END AS d1,
+    floor((coalesce(n_chars, low) - low) * 16777215 / CASE WHEN high = low THEN 1 ELSE high - low END)::BIGINT AS d2,
+    0 AS node
+  FROM bodies, crc, ends
+),
+root AS (
+  SELECT greatest(max(d0) - min(d0), 1)::DOUBLE AS r0, greatest(max(d1) - min(d1), 1)::DOUBLE AS r1, greatest(max(d2) - min(d2), 1)::DOUBLE AS r2 FROM n0
+),
+{_halved(40)}
+SELECT doc_id, size, text_crc32, 'bytes' AS law, node AS shard,
+  row_number() OVER (PARTITION BY node ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 102, doc_id, text_crc32) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM n6
+"""

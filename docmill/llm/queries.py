@@ -179,6 +179,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op9_warc_roundtrip": oracles.WARC,
     "op10_chat_formatting": oracles.CHAT,
+    "op11_kd_sharding": oracles.SHARDING,
     "op12_importance_resampling": oracles.RESAMPLING,
     "op13_vector_codes": oracles.VECTOR_CODES,
 }
