@@ -52,13 +52,14 @@ def feature_buckets(text: Column, ngram: int = 1, buckets: int = BUCKETS) -> Col
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
     if ngram == 1:
         return F.transform(words, lambda w: _bucket(_lowered(w), buckets))
-    words = F.transform(words, _lowered)
 
     def runs(words: Column, n: int) -> Column:
-        first = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(first, lambda i: _bucket(F.array_join(F.slice(words, i, n), " "), buckets))
+        first = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(first, lambda i: _bucket(F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]), buckets))
 
-    return F.concat(*[runs(words, n) for n in range(1, ngram + 1)])
+    # an array of one array: its words are made once, not for every run
+    held = F.transform(F.array(F.transform(words, _lowered)), lambda w: F.concat(*[runs(w, n) for n in range(1, ngram + 1)]))
+    return F.get(held, F.lit(0))
 
 
 def bucket_counts(docs: DataFrame, text: str = "text", ngram: int = 1, buckets: int = BUCKETS) -> dict[int, int]:
