@@ -70,12 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. A stage's files in the shared folder go once the next has read them."""
+    """All stages over documents. A stage's files in the shared folder go once the next has read them, or failed."""
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(where)
-        if before:
-            remove(spark, before)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(where)
+        except BaseException:
+            remove(spark, where)
+            raise
+        finally:
+            if before:
+                remove(spark, before)
         docs, before = spark.read.parquet(where), where
     return docs

@@ -2,7 +2,8 @@
 
 Candidates are texts that agree in a band of ROWS MinHash values; each of BANDS bands is an index
 of its own, so a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, about 5 in 100,000.
-Every candidate is verified by its exact Jaccard similarity over the whole texts.
+Every candidate is verified by its Jaccard similarity over the whole texts, each of which is cut to its
+set of shingle hashes once.
 
 A posting of at most POSTING texts is compared pair by pair. In a larger one each text is first
 compared with PIVOTS texts of the posting, those that are in most large postings (ties by as many
@@ -18,7 +19,8 @@ posting, and no group is gathered in one task.
 
 Words are those of the SimHash: lower-cased in A-Z only, cut at ASCII white space. A text of
 fewer words than a shingle has one shingle of all its words; texts without words have no links.
-Rows that repeat a text count once. A very long text is held as its set of shingles.
+Rows that repeat a text count once. A very long text is held as its set of shingles' hashes. Empty
+tables have no links, null texts are empty, and columns besides the text's may have any name.
 """
 
 from __future__ import annotations
@@ -124,16 +126,7 @@ def _several(labelled: DataFrame, key: str) -> DataFrame:
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     """Pairs (u, tu, v, tv) of members (node, t, c) of different c that prefix filtering can't rule out."""
-
-    def cut(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                hashes = [[xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(x.as_py())] for x in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["node", "t", "c", "hashes"])
-
-    laid = members.join(_whole(members.select("t"), texts, text_col).hint("merge"), "t").select("node", "t", "c", "text")
-    sets = checkpoint(laid.mapInArrow(cut, "node bigint, t bigint, c bigint, hashes array<bigint>"))
+    sets = checkpoint(members.join(_sets(members.select("t"), texts, text_col).hint("merge"), "t").select("node", "t", "c", "hashes"))
     each = sets.select("node", "t", "c", F.explode("hashes").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("often"))
     ordered = each.join(often.hint("merge"), "h").groupBy("node", "t", "c").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("s"))
@@ -153,29 +146,29 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, text_col: str) -> DataFr
     )
 
 
-def _whole(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """t, text: the texts of the digests asked for, each once."""
+def _sets(asked: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """t, hashes: the shingles' XXH64 hashes of the digests asked for, each once; a text is cut to shingles once."""
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                hashes = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(x.as_py())}) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["t", "hashes"])
+
     found = texts.select(digest(text_col).alias("t"), F.col(text_col).alias("text")).join(asked.distinct().hint("merge"), "t", "left_semi")
-    return checkpoint(found.groupBy("t").agg(F.first("text").alias("text")))
+    return checkpoint(found.groupBy("t").agg(F.first("text").alias("text")).mapInArrow(cut, "t bigint, hashes array<bigint>"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """Those pairs (u, v) of (u, tu, v, tv), u <> v, whose whole texts are similar."""
+    """Those pairs (u, v) of (u, tu, v, tv), u <> v, whose whole texts are similar.
+
+    What meets are sets of 64-bit hashes: two different shingles of one pair of texts would have to share one to be taken for equal.
+    """
     one_way = F.when(F.col("tu") < F.col("tv"), F.struct("u", "tu", "v", "tv")).otherwise(F.struct(F.col("v").alias("u"), F.col("tv").alias("tu"), F.col("u").alias("v"), F.col("tu").alias("tv")))
     asked = checkpoint(pairs.filter("u <> v").select(one_way.alias("p")).select("p.*").distinct())
-    whole = _whole(asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))), texts, text_col)
-    laid = asked.join(whole.toDF("tu", "a").hint("merge"), "tu").join(whole.toDF("tv", "b").hint("merge"), "tv").select("u", "v", "a", "b")
-
-    def verify(batches):
-        # pairs come by tv, so one set serves all pairs of a text that many are compared with
-        last, held = None, set()
-        for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                b = b.as_py()
-                if b != last:
-                    last, held = b, shingles(b)
-                kept.append(similar(shingles(a.as_py()), held))
-            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
-
-    return laid.mapInArrow(verify, "u bigint, v bigint").distinct()
+    sets = _sets(asked.select(F.col("tu").alias("t")).unionByName(asked.select(F.col("tv").alias("t"))), texts, text_col)
+    laid = asked.join(sets.toDF("tu", "a").hint("merge"), "tu").join(sets.toDF("tv", "b").hint("merge"), "tv")
+    sizes = laid.select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("both"))
+    enough = (F.col("both") > 0) & (F.col("both") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("both")))
+    return sizes.filter(enough).select("u", "v").distinct()

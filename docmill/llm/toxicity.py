@@ -9,8 +9,8 @@ Words are lower-cased runs of letters; a word counts once in a sentence, by the
 whole word and of its beginnings, all hashed to WEIGHTS places. Sentences end at . ! ? or a
 line's end, at the first such place that leaves at least LEAST words, and after MOST words.
 Null and empty texts have one sentence without words, so their score is the bias alone.
-Repeated rows are learned from as often as they are sampled. Without labels of both kinds every
-score is next to 0, or to 1 if all labels are 1. Empty tables give no rows. Columns of any name do
+Repeated rows are learned from as often as they are sampled, or not at all where one of them is beyond the
+sample's size. Without labels of both kinds every score is next to 0, or to 1 if all labels are 1. Empty tables give no rows. Columns of any name do
 no harm. A very long text is cut to sentences one after another; what is held of it are its words.
 """
 
@@ -34,8 +34,10 @@ BEGINNINGS = (3, 4, 5, 6)
 #: The classifier is fitted on at most so many rows with label 1 and with label 0: those of each
 #: kind whose ids have the smallest hashes. Rows with label 0 are weighted up to their true share.
 SAMPLE = (4000, 6000)
-#: ... as long as their texts, in that order, have no more code points than this altogether.
+#: ... as long as their texts have no more code points than this altogether: in that order, but texts
+#: of more than a LONG-th of it come after all others. The first is always taken.
 SAMPLE_CHARS = (20_000_000, 30_000_000)
+LONG = 20
 #: Places that fewer sampled documents have keep the weight 0.
 DOCUMENTS = 4
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.5, 1e-4
@@ -153,14 +155,19 @@ def fit(bags: Bags, labels: np.ndarray, clean_weight: float = 1.0, seed: int = 7
     return weights
 
 
-def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, float]:
-    """Ids and labels (_id, y) of the rows to learn from, sum(sample) at most, and the weight of a row with label 0."""
+def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """Ids and labels (_id, y) of the rows to learn from, sum(sample) at most, and how many rows there are of each label."""
     y = F.when(F.col(label_col) > 0, 1).otherwise(0).alias("y")
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), y)
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     kinds = [known.filter(F.col("y") == k).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
-    share = [min(1.0, n / totals[k]) if totals.get(k) else 1.0 for k, n in ((1, sample[0]), (0, sample[1]))]
-    return kinds[0].unionByName(kinds[1]), max(1.0, share[0] / share[1])
+    return kinds[0].unionByName(kinds[1]), totals
+
+
+def clean_weight(y: np.ndarray, totals: dict[int, int]) -> float:
+    """The weight of a row with label 0 that gives the rows in the sample their kinds' true shares."""
+    toxic, clean = ((y == k).sum() / totals.get(k, 1) for k in (1, 0))
+    return max(1.0, toxic / clean) if clean else 1.0
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE, sample_chars: tuple[int, int] = SAMPLE_CHARS) -> np.ndarray:
@@ -181,14 +188,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 docs = [[[p for w in dict.fromkeys(s) for p in memory[w]] for s in sentences(t or "")] for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["doc", "y"])
 
-    ids, weight = sampled(labels, id_col, label_col, sample)
+    ids, totals = sampled(labels, id_col, label_col, sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     known = texts.join(F.broadcast(ids.toDF("known", "y")), F.col("id") == F.col("known")).select("id", "body", "y", F.char_length("body").cast("long").alias("n"))
     rows = checkpoint(known)
     # at most sum(sample) labelled ids, so the window is over few rows; sizes come first, texts stay where they are
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, 0)
-    least = F.when(F.col("y") == 1, F.lit(sample_chars[0])).otherwise(F.lit(sample_chars[1]))
-    beyond = rows.select("id", "y", F.sum("n").over(order).alias("so_far")).filter(F.col("so_far") > least).select("id").distinct()
+    most = F.when(F.col("y") == 1, F.lit(sample_chars[0])).otherwise(F.lit(sample_chars[1]))
+    order = Window.partitionBy("y").orderBy(F.col("n") * LONG > most, F.xxhash64(F.col("id").cast("string")), "id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.sum("n").over(order)
+    beyond = rows.select("id", "y", F.when(so_far > most, so_far > F.col("n")).alias("beyond")).filter("beyond").select("id").distinct()
     inside = rows.join(F.broadcast(beyond), "id", "left_anti").select("body", "y")
     got = inside.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
     if not got.num_rows:
@@ -196,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     listed = pa.concat_arrays(got.column("doc").chunks)
     flat = listed.flatten()
     bags = Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), listed.offsets.to_numpy() - listed.offsets[0].as_py())
-    return fit(bags, np.array(got.column("y").to_pylist(), float), weight)
+    y = np.array(got.column("y").to_pylist(), float)
+    return fit(bags, y, clean_weight(y, totals))
 
 
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), rows: int = 500) -> DataFrame:

@@ -4,6 +4,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docmill.llm import queries, toxicity as t
@@ -136,9 +138,36 @@ def test_learns_and_locates(spark):
 
 def test_sample_is_bounded_and_weighted(spark):
     labels = spark.range(0, 1000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
-    ids, weight = t.sampled(labels, sample=(20, 50))
+    ids, totals = t.sampled(labels, sample=(20, 50))
     assert ids.groupBy("y").count().orderBy("y").collect() == [(0, 50), (1, 20)]
-    assert abs(weight - (20 / 100) / (50 / 900)) < 1e-9
+    assert totals == {1: 100, 0: 900}
+    assert abs(t.clean_weight(np.repeat([1.0, 0.0], [20, 50]), totals) - (20 / 100) / (50 / 900)) < 1e-9
+    assert t.clean_weight(np.ones(3), {1: 3}) == 1.0 == t.clean_weight(np.zeros(3), {0: 3})
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_one_long_text_displaces_no_others(spark, kind):
+    """The longest text of either label comes first by its hash, and is larger than the sample."""
+    rows = corpus(200)
+    size = sum(len(x) for _, x, y in rows if y == kind) + 50
+    first = min(range(1000, 3000), key=lambda i: xxhash.xxh64_intdigest(str(i).encode(), 42) ^ 1 << 63)
+    long = (first, "plain words follow one another here. " * (size // 37 + 2), kind)
+    labels = lambda rows: spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    df = docs(spark, [(i, x) for i, x, _ in [*rows, long]]).coalesce(1)
+    bound = (size, 10**7) if kind else (10**7, size)
+    same = t.learn(df, labels(rows))
+    cut = t.learn(df, labels([*rows, long]), sample_chars=bound)
+    score = lambda w: {r.doc_id: r.score for r in t.score(df, w).collect()}
+    a, b = score(same), score(cut)
+    assert all((a[i] >= 0.5) == (b[i] >= 0.5) for i, *_ in rows) and 20 < sum(b[i] >= 0.5 for i, *_ in rows) < 180
+
+
+def test_a_label_that_has_nothing_but_a_long_text_keeps_it(spark):
+    rows = [(1, "scum of all kinds " * 400, 1), *[(i, f"quite fine words number {i}", 0) for i in range(2, 40)]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    df = docs(spark, [(i, x) for i, x, _ in rows])
+    weights = t.learn(df, labels, sample_chars=(100, 10**6))
+    assert abs(weights[0]) < 40  # fitted on both kinds, not on one alone
 
 
 def test_odd_rows(spark):
