@@ -18,6 +18,7 @@ DEFENDANT = "المدعى عليه"
 FEMININE, FEMININE_MARK = "المدعى عليها", "عليها"
 DEFENCES = ("مذكرة دفاع", "مذكرة رد")
 NO_PARTY = ("المحكمة", "غير محدد", "النيابة", "خبير")
+CLASSES = 32
 DISCLAIMER, CORRECTION = "لم ترد مذكرة دفاع لهذا الطرف في الملف المقدم", "[تصحيح]"
 
 
@@ -32,17 +33,35 @@ def _similarity():
     return ratio
 
 
+def letters(text: Column, classes: int = CLASSES) -> Column:
+    """How many of the text's letters are of each class (code point modulo `classes`)."""
+    chars = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.ascii(c) % classes)
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.size(F.filter(chars, lambda c: c == i)))
+
+
+def could_match(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, candidate: str, title: str, pos: str, least: float = 0.5) -> DataFrame:
+    """Pairs of a candidate and a title of its case whose ratio may reach `least`, and the candidate's equal title alone if there is one.
+
+    A ratio is at most twice the number of shared letters over both lengths. Every text is indexed once by its letters' counts;
+    shared letters are then bounded by the sum of each class's smaller count, in one compiled expression for each pair.
+    """
+    held = titles.filter(F.coalesce(title, F.lit("")) != "").select(case, title, pos, letters(F.col(title)).alias("_b"))
+    equal = held.groupBy(case, title).agg(F.min(pos).alias(pos)).join(asked.withColumn(title, F.col(candidate)), [case, title]).select(*asked.columns, title, pos)
+    open_ones = asked.join(equal.select(asked_id), asked_id, "left_anti").withColumn("_a", letters(F.col(candidate)))
+    pairs = open_ones.join(held, case)
+    both = F.char_length(candidate) + F.char_length(title)
+    shared = sum((F.least(F.get("_a", F.lit(i)), F.get("_b", F.lit(i))) for i in range(CLASSES)), F.lit(0))
+    near = pairs.filter((2 * F.least(F.char_length(candidate), F.char_length(title)) >= least * both) & (2 * shared >= least * both))
+    return near.select(*asked.columns, title, pos).unionByName(equal)
+
+
 def fuzzy_titles(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, candidate: str, title: str, pos: str, least: float = 0.5) -> DataFrame:
     """asked_id, title, ratio: each candidate's most similar title of its case, the first of equal ones, or null.
 
-    Only the titles of the same case are compared. A ratio is at most twice the shared letters' number
-    over both lengths, and so bounded by the shorter length; pairs that can't reach `least` by their
-    lengths are left out, and an equal title needs no comparison.
+    Only the titles of the same case are compared, and of those Python sees the ones that could_match.
     """
     ship(asked.sparkSession)
-    pairs = asked.join(titles.filter(F.coalesce(title, F.lit("")) != "").select(case, title, pos), case)
-    a, b = F.char_length(candidate), F.char_length(title)
-    pairs = pairs.filter(2 * F.least(a, b) >= least * (a + b))
+    pairs = could_match(asked, titles, case, asked_id, candidate, title, pos, least)
     differ = F.when(F.col(candidate) != F.col(title), F.col(candidate))
     scored = pairs.withColumn("ratio", F.when(F.col(candidate) == F.col(title), 1.0).otherwise(_similarity()(differ, F.col(title))))
     best = scored.groupBy(asked_id).agg(F.max(F.struct("ratio", (-F.col(pos)).alias("p"), title)).alias("_b"))

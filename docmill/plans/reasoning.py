@@ -2,39 +2,71 @@
 
 from pyspark.sql import functions as F
 
+from docmill.operators import graphs
 from docmill.operators import reasoning as R
 from docmill.plans.registry import query
 from docmill.tables import table
 
-PLAN = [("s1", "law", "q", []), ("s2", "docs", "q", ["s1"]), ("s3", "law", "q", ["s1"]), ("s4", "reason", "q", ["s2", "s3"]), ("s5", "law", "q", ["s4", "s1"]), ("s6", "law", "q", [])]
-PLAN_SQL = "(VALUES ('s1', []::VARCHAR[]), ('s2', ['s1']), ('s3', ['s1']), ('s4', ['s2', 's3']), ('s5', ['s4', 's1']), ('s6', [])) p(step_id, deps)"
+#: Each order is a plan, each of its lines a step; what a step needs follows from its part and supplier.
+STEPS_SQL = """g AS (SELECT l_orderkey AS plan_id, l_linenumber AS n, min(l_partkey) AS a, min(l_suppkey) AS b, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
+steps AS (SELECT plan_id, plan_id || '-' || n AS step_id, flag, status, list_filter([CASE WHEN a % 3 <> 0 AND n > 1 THEN plan_id || '-' || (n - 1) END, CASE WHEN b % 4 = 0 THEN plan_id || '-' || ((n + b) % 7 + 1) END], lambda x: x IS NOT NULL) AS deps FROM g),
+e AS (SELECT DISTINCT step_id AS s, unnest(deps) AS d FROM steps)"""
 
 
-def plan(spark, rows=PLAN):
-    return spark.createDataFrame(rows, "step_id string, tool string, query string, depends_on array<string>")
+def steps(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("n"))
+    g = lines.agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+    named = lambda n: F.concat_ws("-", F.col("plan_id").cast("string"), n.cast("string"))
+    needs = F.array(F.when((F.col("a") % 3 != 0) & (F.col("n") > 1), named(F.col("n") - 1)), F.when(F.col("b") % 4 == 0, named((F.col("n") + F.col("b")) % 7 + 1)))
+    return g.select("plan_id", named(F.col("n")).alias("step_id"), F.array_compact(needs).alias("depends_on"), "flag", "status")
 
 
-@query("dag_waves", f"WITH RECURSIVE w AS (SELECT step_id, 1 AS wave FROM {PLAN_SQL} WHERE len(deps) = 0 UNION SELECT p.step_id, w.wave + 1 FROM w JOIN {PLAN_SQL} ON list_contains(p.deps, w.step_id)) SELECT step_id, max(wave)::INT AS wave FROM w GROUP BY step_id")
+@query(
+    "dag_waves",
+    f"""WITH RECURSIVE {STEPS_SQL}, w AS (SELECT step_id AS s, 1 AS depth FROM steps UNION SELECT s, 9 FROM e WHERE d NOT IN (SELECT step_id FROM steps) UNION SELECT e.s, least(w.depth + 1, 9) FROM w JOIN e ON e.d = w.s)
+    SELECT s AS step_id, CASE WHEN max(depth) < 8 THEN max(depth) END::INT AS wave FROM w GROUP BY s""",
+)
 def dag_waves(spark, sf_dir):
-    return R.waves(plan(spark))[0]
+    return graphs.peeled(steps(spark, sf_dir), "step_id", "depends_on")
+
+
+LOOPS_SQL = f"""{STEPS_SQL}, r AS (SELECT s, d FROM e WHERE d IN (SELECT step_id FROM steps) UNION SELECT r.s, e.d FROM r JOIN e ON e.s = r.d WHERE e.d IN (SELECT step_id FROM steps)),
+looped AS (SELECT s FROM r WHERE s = d), reached AS (SELECT d AS s FROM r SEMI JOIN looped USING (s) UNION SELECT s FROM looped), reaching AS (SELECT r.s FROM r JOIN looped ON r.d = looped.s),
+on_loop AS (SELECT s FROM reached INTERSECT SELECT s FROM reaching)"""
+
 
+@query("cycle_steps", f"WITH RECURSIVE {LOOPS_SQL} SELECT s AS step_id FROM on_loop")
+def cycle_steps(spark, sf_dir):
+    return graphs.looped(steps(spark, sf_dir), "step_id", "depends_on")
 
-@query("cycle_check", "SELECT * FROM (VALUES ('loop', true), ('plan', false)) t(name, cyclic)")
+
+@query("cycle_check", f"WITH RECURSIVE {LOOPS_SQL} SELECT plan_id, bool_or(on_loop.s IS NOT NULL) AS cyclic FROM steps LEFT JOIN on_loop ON step_id = s GROUP BY plan_id")
 def cycle_check(spark, sf_dir):
-    loop = plan(spark, [*PLAN, ("s7", "law", "q", ["s8"]), ("s8", "law", "q", ["s7"])])
-    return spark.createDataFrame([("plan", R.waves(plan(spark))[1]), ("loop", R.waves(loop)[1])], "name string, cyclic boolean")
+    whole = steps(spark, sf_dir)
+    on = graphs.looped(whole, "step_id", "depends_on").withColumn("on", F.lit(True))
+    return whole.join(on, "step_id", "left").groupBy("plan_id").agg(F.bool_or(F.col("on").isNotNull()).alias("cyclic"))
 
 
-@query("plan_faults", "SELECT * FROM (VALUES ('duplicate_id', 's1'), ('unknown_tool', 's8'), ('empty_query', 's8'), ('unknown_dependency', 's8')) t(fault, step_id)")
+@query(
+    "plan_faults",
+    f"""WITH {STEPS_SQL}, raw AS (SELECT l_orderkey || '-' || l_linenumber AS step_id, l_returnflag AS tool, CASE WHEN l_quantity > 45 THEN ' ' ELSE l_linestatus END AS q FROM lineitem)
+    SELECT 'duplicate_id' AS fault, step_id FROM raw GROUP BY step_id HAVING count(*) > 1 UNION SELECT 'unknown_tool', step_id FROM raw WHERE tool NOT IN ('A', 'N') UNION SELECT 'empty_query', step_id FROM raw WHERE trim(q) = ''
+    UNION SELECT 'unknown_dependency', s FROM e WHERE d NOT IN (SELECT step_id FROM steps)""",
+)
 def plan_faults(spark, sf_dir):
-    bad = plan(spark, [*PLAN, ("s1", "law", "q", []), ("s8", "magic", " ", ["s99"])])
-    return R.plan_faults(bad, ["law", "docs", "reason"])
+    whole = steps(spark, sf_dir)
+    named = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("step_id")
+    raw = table(spark, sf_dir, "lineitem").select(named, F.col("l_returnflag").alias("tool"), F.when(F.col("l_quantity") > 45, " ").otherwise(F.col("l_linestatus")).alias("query"))
+    return R.plan_faults(raw.join(whole.select("step_id", "depends_on"), "step_id"), ["A", "N"])
 
 
-@query("ready_steps", "SELECT * FROM (VALUES ('s3'), ('s6')) t(step_id)")
+@query(
+    "ready_steps",
+    f"WITH {STEPS_SQL} SELECT step_id FROM steps WHERE status <> 'F' AND flag <> 'R' AND step_id NOT IN (SELECT s FROM e WHERE d NOT IN (SELECT step_id FROM steps WHERE status = 'F'))",
+)
 def ready(spark, sf_dir):
-    done = spark.createDataFrame([("s1",), ("s2",)], "step_id string")
-    return R.ready(plan(spark), done, spark.createDataFrame([], "step_id string"))
+    whole = steps(spark, sf_dir)
+    return R.ready(whole, whole.filter("status = 'F'"), whole.filter("flag = 'R'"))
 
 
 @query("shared_article_groups", "SELECT l_partkey, count(DISTINCT l_orderkey) AS n_issues, min(l_orderkey) AS first_issue, max(l_orderkey) AS last_issue FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")

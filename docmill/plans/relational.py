@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docmill.operators import joins
 from docmill.plans.registry import query
 from docmill.tables import table
 
@@ -63,3 +64,86 @@ def sessions(spark, sf_dir):
 @query("ext_approx_distinct")
 def approx(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+
+
+@query(
+    "ext_asof",
+    """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), p AS (SELECT user_id, ts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+    SELECT event_id, purchase FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts""",
+)
+def asof(spark, sf_dir):
+    """Each event with its user's last purchase so far."""
+    events = table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"))
+    return joins.asof(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "purchase").select("event_id", "purchase")
+
+
+@query(
+    "ext_asof_orders",
+    """WITH e AS (SELECT event_id, user_id, ts - INTERVAL 9497 DAYS AS ts FROM events), o AS (SELECT o_custkey % 150 AS user_id, o_orderdate AS ts, max(o_orderkey) AS orderkey FROM orders GROUP BY ALL)
+    SELECT event_id, orderkey FROM e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.ts""",
+)
+def asof_orders(spark, sf_dir):
+    """Each event, 26 years earlier, with the last order of its user's customers by then."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 9497 DAYS")).alias("ts"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("orderkey"))
+    return joins.asof(events, orders, ["user_id"], "ts", "orderkey").select("event_id", "orderkey")
+
+
+@query(
+    "ext_range_join",
+    "SELECT p_partkey, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM part JOIN orders ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + p_size * p_size * p_size GROUP BY p_partkey",
+)
+def range_join(spark, sf_dir):
+    """Orders by the price bands of parts, from one unit to 125,000 wide."""
+    low = F.col("p_retailprice") * 100
+    bands = table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), (low + F.col("p_size") * F.col("p_size") * F.col("p_size")).alias("high"))
+    held = joins.in_ranges(table(spark, sf_dir, "orders").select("o_totalprice"), bands, "o_totalprice", "low", "high")
+    return held.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+
+
+@query(
+    "ext_sliding_windows",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total
+    FROM (SELECT unnest([time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' for k in range(3)]) AS w, event_type, value FROM events) GROUP BY ALL""",
+)
+def sliding(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "3 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
+
+
+@query("ext_grouping_sets", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")], []], "l_returnflag", "l_linestatus")
+    return rows.agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+@query(
+    "ext_full_join",
+    "SELECT coalesce(c.k, s.k) AS nation, n_customers, n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_custkey % 7 < 3 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) s ON c.k = s.k",
+)
+def full_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 7 < 3").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_customers"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_suppliers"))
+    return c.join(s, "nation", "full")
+
+
+@query(
+    "ext_more_windows",
+    """SELECT event_id, dense_rank() OVER v::INT AS dense, ntile(4) OVER w::INT AS quarter, nth_value(event_id, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, round(cume_dist() OVER v, 6) AS share,
+    round(percent_rank() OVER v, 6) AS place, first_value(event_id) OVER w AS first, lead(event_id, 2, -1) OVER w AS after
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY event_type)""",
+)
+def more_windows(spark, sf_dir):
+    w, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("event_type")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.dense_rank().over(v).alias("dense"),
+        F.ntile(4).over(w).alias("quarter"),
+        F.nth_value("event_id", 2).over(whole).alias("second"),
+        F.round(F.cume_dist().over(v), 6).alias("share"),
+        F.round(F.percent_rank().over(v), 6).alias("place"),
+        F.first("event_id").over(w).alias("first"),
+        F.lead("event_id", 2, -1).over(w).alias("after"),
+    )

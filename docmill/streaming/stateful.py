@@ -129,3 +129,13 @@ def upsert_stream(stream: DataFrame, key: list[str], order: str, path: str, chec
 def windowed_counts(stream: DataFrame, ts: str, kind: str, value: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """[extension] Tumbling counts and sums of a stream; events later than the watermark are left out."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def sliding_counts(stream: DataFrame, ts: str, kind: str, value: str, size: str, slide: str, late: str = "10 minutes") -> DataFrame:
+    """[extension] Counts and sums over overlapping windows; an event is in size / slide of them, late ones in none."""
+    return stream.withWatermark(ts, late).groupBy(F.window(ts, size, slide), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def deduplicated(stream: DataFrame, key: list[str], ts: str, within: str) -> DataFrame:
+    """[extension] The first event of each key; repeats that come within that time are dropped, and the key is then forgotten."""
+    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(key)

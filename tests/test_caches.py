@@ -118,3 +118,25 @@ def test_postponed_stream_is_the_batch(spark, streamed):
     told = lambda df: sorted((r.k, r.seq, r.due) for r in df.filter("k <> 'z'").collect())
     assert told(got) == told(want) and len(told(got)) > 12
     assert sizes[-1] <= 4
+
+
+def test_sliding_windows_and_repeats_as_the_batch(spark, streamed):
+    from docmill.streaming import stateful
+
+    schema = "k string, ts timestamp, seq long"
+    rows = [(f"k{i % 3}", at(i * 3), i) for i in range(100)]
+    late = [("k0", at(1), 700)]  # behind the watermark: in no window
+    last = [("z", at(1300), 990)]
+    build = lambda s: stateful.sliding_counts(s, "ts", "k", "seq", "60 minutes", "20 minutes").select(F.col("window.start").alias("start"), "k", "n", "total")
+    got, _ = streamed([rows[:50], rows[50:], late, last], schema, build)
+    want = table(spark, rows, schema).groupBy(F.window("ts", "60 minutes", "20 minutes").alias("w"), "k").agg(F.count("*").alias("n"), F.sum("seq").alias("total")).select("w.start", "k", "n", "total")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repeats_are_dropped_and_forgotten(spark, streamed):
+    from docmill.streaming import stateful
+
+    schema = "k string, ts timestamp, seq long"
+    batches = [[("a", at(0), 1), ("a", at(1), 2), ("b", at(2), 3)], [("a", at(9), 4), ("c", at(200), 5)], [("c", at(200), 8)], [("a", at(201), 6), ("a", at(202), 7)]]
+    got, sizes = streamed(batches, schema, lambda s: stateful.deduplicated(s, ["k"], "ts", "30 minutes"))
+    assert sorted((r.k for r in got.collect())) == ["a", "a", "b", "c"] and max(sizes) <= 3
