@@ -106,26 +106,6 @@ def messages(turns: DataFrame, keep: list[str], query: str, response: str) -> Da
     return turns.select(*keep, F.inline(pair))
 
 
-def upsert_stream(stream: DataFrame, key: list[str], order: str, path: str, checkpoint: str):
-    """Keep the latest value of each key of a stream in the table at path; a repeated micro-batch changes nothing.
-
-    Each batch is merged with the table's current version into the next one, and only then named current.
-    """
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        try:
-            rows = spark.read.parquet(f"{path}/v{(epoch - 1) % 2}").unionByName(batch)
-        except Exception as e:  # the first batch has no version before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        value = F.struct(*batch.columns)
-        rows.groupBy(*key).agg(F.max_by(value, F.struct(order)).alias("_r")).select("_r.*").write.mode("overwrite").parquet(f"{path}/v{epoch % 2}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
-
-
 def windowed_counts(stream: DataFrame, ts: str, kind: str, value: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """[extension] Tumbling counts and sums of a stream; events later than the watermark are left out."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill import ports
 from docmill.operators import chunking, hierarchy, ranking, reasoning, retrieval, summaries
 from docmill.sources import files, settings
-from docmill.streaming import stateful
+from docmill.streaming import stateful, store
 
 TAGGED = """[PREFACE]p[/PREFACE][BOOK]الكتاب
  الأول[/BOOK][PART]P1[/PART][CHAPTER]
@@ -174,8 +174,8 @@ def test_rate_limit_stream_equals_batch(spark, event_files):
 def test_upsert_stream(spark, event_files):
     df, path, tmp = event_files
     stream = spark.readStream.schema(df.schema).parquet(path)
-    run_stream(stateful.upsert_stream(stream, ["user_id"], "ts", str(tmp / "t"), str(tmp / "c")))
-    assert sorted((r.user_id, r.value) for r in spark.read.parquet(str(tmp / "t/v0")).collect()) == [(1, 5.0), (2, 1.0)]
+    run_stream(store.upsert_stream(stream, ["user_id"], "ts", str(tmp / "t"), str(tmp / "c")))
+    assert sorted((r.user_id, r.value) for r in store.read(spark, str(tmp / "t")).collect()) == [(1, 5.0), (2, 1.0)]
 
 
 def test_windowed_counts(spark, event_files):
