@@ -106,8 +106,11 @@ class Bags:
     def only(self, keep: np.ndarray) -> Bags:
         """Without the places that keep says no to."""
         stay = keep[self.places]
-        before = np.concatenate([[0], np.cumsum(stay)])
-        return Bags(self.places[stay], before[self.sentences], self.docs)
+        up_to = np.cumsum(stay, dtype=np.int32 if len(stay) < 1 << 31 else np.int64)
+        ends = self.sentences[1:]
+        before = np.zeros(len(self.sentences), np.int64)
+        before[1:] = np.where(ends > 0, up_to[np.maximum(ends, 1) - 1], 0) if len(stay) else 0
+        return Bags(self.places[stay], before, self.docs)
 
     def documents_of_places(self) -> np.ndarray:
         n = np.zeros(WEIGHTS, np.int64)
@@ -134,7 +137,8 @@ def fit(bags: Bags, labels: np.ndarray, clean_weight: float = 1.0, seed: int = 7
         weights[0] = 40.0 if len(labels) and labels.all() else -40.0
         return weights
     weights[0] = -6.5
-    bags = bags.only(bags.documents_of_places() >= DOCUMENTS)
+    frequent = bags.documents_of_places() >= DOCUMENTS
+    bags = bags.only(frequent)
     share = np.where(labels > 0, 1.0, clean_weight)
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -201,11 +205,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = inside.mapInArrow(cut, "doc array<array<int>>, y int").toArrow()
     if not got.num_rows:
         return fit(Bags(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.zeros(0))
+    y = got.column("y").to_numpy().astype(float)
     listed = pa.concat_arrays(got.column("doc").chunks)
+    del got
     flat = listed.flatten()
-    bags = Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), listed.offsets.to_numpy() - listed.offsets[0].as_py())
-    y = np.array(got.column("y").to_pylist(), float)
-    return fit(bags, y, clean_weight(y, totals))
+    bags = [Bags(flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py(), listed.offsets.to_numpy() - listed.offsets[0].as_py())]
+    del listed, flat
+    return fit(bags.pop(), y, clean_weight(y, totals))  # fit drops what it got for less
 
 
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), rows: int = 500) -> DataFrame:
