@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.tables import settled
+
 
 def branches(df: DataFrame, questions: Column, keep: list[str]) -> DataFrame:
     """One row per different question, with its place and the columns in keep."""
@@ -34,6 +36,7 @@ def run_tiers(requests: DataFrame, tiers: list[dict[str, Callable[[DataFrame], D
         for name, run in tier.items():
             made = run(seen.filter(F.array_contains(agents, name))).select(key, F.lit(name).alias("agent"), "response", F.col("error").cast("string"))
             got = made if got is None else got.unionByName(made)
+        got = settled(got)  # an agent answers once, whoever reads it
         out = out.unionByName(got)
         said = got.filter("error is null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("agent", "response"))).alias("earlier"))
         seen = requests.join(said, key, "left")

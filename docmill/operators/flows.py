@@ -38,25 +38,32 @@ def execute(plan: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: in
     plan: plan_id, step_id, depends_on (array) and what run needs. run maps ready steps to plan_id,
     step_id, ok, response. A step whose run fails is tried again in later rounds, `attempts` times
     in all; steps that depend on a failed one, or on each other, stay `blocked`. Rounds end when no
-    step is ready, so there are at most attempts times as many as the longest chain has steps.
+    step is ready, so there are at most attempts times as many as the longest chain has steps. A round moves the
+    steps that are ready and counts down what waits for them; steps that have ended are not looked at again. A run that
+    gives no row for a step counts as no try, and must give one some time.
     """
     keys = ["plan_id", "step_id"]
     whole = settled(plan)
-    needs = whole.select(*keys, F.explode_outer(F.array_distinct("depends_on")).alias("need"))
-    state = settled(whole.select(*keys, F.lit("pending").alias("status"), F.lit(None).cast("string").alias("response"), F.lit(0).alias("tries")))
+    needs = settled(whole.select(*keys, F.explode("depends_on").alias("need")).distinct())
+    n = needs.groupBy(*keys).agg(F.count("*").alias("open"))
+    waiting = settled(whole.select(*keys).join(n, keys, "left").select(*keys, F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("tries")))
+    ended = []
     while True:
-        done = state.filter("status = 'success'").select("plan_id", F.col("step_id").alias("need"), F.lit(True).alias("met"))
-        able = needs.join(done, ["plan_id", "need"], "left").groupBy(*keys).agg(F.bool_and(F.col("need").isNull() | F.col("met").isNotNull()).alias("able"))
-        waiting = state.filter("status = 'pending'").join(able.filter("able"), keys, "left_semi")
-        now = settled(whole.join(waiting.select(*keys), keys, "left_semi"))
-        if now.isEmpty():
+        ready = waiting.filter("open = 0")
+        if ready.isEmpty():
             break
-        ran = run(now).select(*keys, F.coalesce("ok", F.lit(False)).alias("ok"), F.col("response").alias("said"), F.lit(True).alias("ran"))
-        tries = F.col("tries") + F.when(F.col("ran"), 1).otherwise(0)
-        after = state.join(ran, keys, "left").withColumn("tries", tries)
-        status = F.when(F.col("ok"), "success").when(F.col("ran") & (F.col("tries") >= attempts), "failed").otherwise(F.col("status"))
-        state = settled(after.select(*keys, status.alias("status"), F.when(F.col("ran"), F.col("said")).otherwise(F.col("response")).alias("response"), "tries"))
-    return state.withColumn("status", F.when(F.col("status") == "pending", "blocked").otherwise(F.col("status")))
+        now = settled(whole.join(ready.select(*keys), keys, "left_semi"))
+        ran = run(now).select(*keys, F.coalesce("ok", F.lit(False)).alias("ok"), F.col("response").alias("response"), F.lit(True).alias("ran"))
+        after = ready.join(ran, keys, "left").select(*keys, "response", (F.col("tries") + F.when(F.col("ran"), 1).otherwise(0)).alias("tries"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        after = settled(after.withColumn("status", F.when(F.col("ok"), "success").when(F.col("tries") >= attempts, "failed").otherwise("pending")))
+        ended.append(after.filter("status <> 'pending'").select(*keys, "status", "response", "tries"))
+        met = needs.join(after.filter("ok").select("plan_id", F.col("step_id").alias("need")), ["plan_id", "need"], "left_semi").groupBy(*keys).agg(F.count("*").alias("met"))
+        later = waiting.filter("open > 0").join(met, keys, "left").select(*keys, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), "tries")
+        waiting = settled(later.unionByName(after.filter("status = 'pending'").select(*keys, F.lit(0).cast("long").alias("open"), "tries")))
+    out = waiting.select(*keys, F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("response"), "tries")
+    for e in ended:
+        out = out.unionByName(e)
+    return out
 
 
 def execute_with_replans(plan: DataFrame, run: Callable[[DataFrame], DataFrame], replan: Callable[[DataFrame], DataFrame], most: int = REPLANS, attempts: int = ATTEMPTS) -> DataFrame:
@@ -124,8 +131,9 @@ def summarise(chunks: DataFrame, roles: DataFrame, kinds: DataFrame, themes: Dat
     keyed = lambda d, c: d.select(key.alias("key"), c)
     labelled = ST.answered(said, keyed(roles, "role"), "key", {"role": F.lit(ST.UNKNOWN)}).drop("answered")
     split = ST.split_kind(labelled, keyed(kinds, "kind"), "key").drop("answered")
-    parties = split.groupBy("case_id").agg((F.count_distinct("party") > 1).alias("several"))
-    split = split.join(parties, "case_id").withColumn("kind", F.when(F.col("several"), F.col("kind")).otherwise("party_specific"))
+    split = split.withColumn("case", F.struct("case_id"))  # a null case is a case
+    parties = split.groupBy("case").agg((F.count_distinct("party") > 1).alias("several"))
+    split = split.join(parties, "case").withColumn("kind", F.when(F.col("several"), F.col("kind")).otherwise("party_specific"))
     grouped = split.withColumn("group", F.struct("case_id", "role"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
     told = ST.answered(grouped.join(sizes, "group"), keyed(themes, "theme"), "key", {"theme": F.col("role")})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import guards, vectors
+from docmill.tables import settled
 from docmill.workers import ship
 
-#: Query vectors that are broadcast to the corpus, at most; more are taken in so many at a time.
-QUERY_BLOCK = 4096
+#: Vectors that are multiplied at a time.
+BLOCK = 1024
 
 
 def scope(df: DataFrame, **equal) -> DataFrame:
@@ -33,46 +33,48 @@ def top_k(corpus: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
-def top_k_many(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, id, score of the k nearest of every query vector (column q).
+def _blocks(df: DataFrame, name: str, vec: str, salt: Column) -> DataFrame:
+    """Rows as blocks of BLOCK vectors of unit length: _ids, _matrix, _salt."""
 
-    Blocks of queries are sent to the corpus; each task multiplies matrices and passes on its own
-    best k of every query, so what is shuffled is at most k x queries x tasks.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
+                yield pa.RecordBatch.from_pydict({"_ids": pa.array([ids.tobytes()], pa.binary()), "_matrix": pa.array([v.tobytes()], pa.binary())})
+
+    whole = df.filter(F.col(name).isNotNull() & F.col(vec).isNotNull()).select(F.col(name).cast("long"), F.col(vec).cast("array<double>"))
+    return whole.mapInArrow(pack, "_ids binary, _matrix binary").withColumn("_salt", salt)
+
+
+def top_k_many(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vec_col: str = "embedding", salts: int = 32) -> DataFrame:
+    """query_id, id, score, rank of the k nearest of every query vector (column q).
+
+    Both sides are packed into blocks of vectors. Corpus blocks are dealt to `salts` groups, query blocks go to each group, and
+    a task multiplies the matrices of the blocks that meet and passes on each query's k best of them. Nothing passes through
+    the driver, and any number of queries is one pass over the corpus.
     """
-    spark = corpus.sparkSession
-    ship(spark)
-    rows = ((r[query_id], r["q"]) for r in queries.select(query_id, "q").toLocalIterator())
-    parts = []
-    while part := list(islice(rows, QUERY_BLOCK)):
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], float)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
-                ids = np.hstack([ids, np.broadcast_to(batch.column(0).to_numpy(), s.shape)])
-                scores = np.hstack([scores, s])
-                keep = np.lexsort((ids, -scores), axis=1)[:, :k]
-                ids, scores = np.take_along_axis(ids, keep, 1), np.take_along_axis(scores, keep, 1)
-            n = ids.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, n), pa.int64()), pa.array(ids.ravel(), pa.int64()), pa.array(scores.ravel())], names=[query_id, id_col, "score"]
-            )
-
-        found = corpus.select(F.col(id_col).cast("long"), vec_col).mapInArrow(best, f"{query_id} bigint, {id_col} bigint, score double")
-        w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-        parts.append(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-    if not parts:
-        return spark.createDataFrame([], f"{query_id} bigint, {id_col} bigint, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ship(corpus.sparkSession)
+    asked = _blocks(queries, query_id, "q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).toDF("_names", "_asked", "_salt")
+    held = _blocks(corpus, id_col, vec_col, F.pmod(F.xxhash64("_ids"), F.lit(salts)).cast("int"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, a, ids, b in zip(*batch.columns):
+                names, ids = (np.frombuffer(x.as_py(), np.int64) for x in (names, ids))
+                q, v = np.frombuffer(a.as_py()).reshape(len(names), -1), np.frombuffer(b.as_py()).reshape(len(ids), -1)
+                s = np.round(q @ v.T, 6)
+                keep = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, keep.shape[1])), pa.array(ids[keep].ravel()), pa.array(np.take_along_axis(s, keep, 1).ravel())], names=[query_id, id_col, "score"]
+                )
+
+    met = asked.join(held, "_salt").select("_names", "_asked", "_ids", "_matrix")
+    found = met.mapInArrow(best, f"{query_id} bigint, {id_col} bigint, score double")
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rerank(df: DataFrame, relevance: Column, top: int, id_col: str, name: str = "rerank_score") -> DataFrame:
@@ -136,15 +138,18 @@ def expand(question: Column, hyde: Column, paraphrases: Column) -> Column:
 def retry_until(df: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], done: Column, most: int) -> DataFrame:
     """Rows that attempt(rows, n) settles, and after `most` tries whatever is left.
 
-    Each try sees the unsettled rows only; column attempts tells how many were made.
+    Each try sees the unsettled rows only, is made once and written to the shared folder, so that no answer is asked for
+    again; column attempts tells how many were made.
     """
-    settled, left = None, df
+    out, left = None, df
     for n in range(1, most + 1):
-        tried = attempt(left, n).withColumn("attempts", F.lit(n))
+        tried = settled(attempt(left, n).withColumn("attempts", F.lit(n)))
         now = tried.filter(done) if n < most else tried
-        settled = now if settled is None else settled.unionByName(now)
+        out = now if out is None else out.unionByName(now)
         left = tried.filter(~done | done.isNull()).drop("attempts")
-    return settled
+        if n < most and left.isEmpty():
+            break
+    return out
 
 
 def mean_pair_similarity(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -11,23 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.operators import matching
 
 # The label of what is not known, kinds of questions, and limits of the steps.
 UNKNOWN = "غير محدد"
 LEAST_ITEMS_FOR_THEMES, PRIOR_CHARACTERS, MOST_CALLS, DUMP = 6, 1500, 5, 3000
 
 
-def answered(asked: DataFrame, answers: DataFrame, key: str, defaults: dict[str, Column], sound: Column | None = None) -> DataFrame:
+def answered(asked: DataFrame, answers: DataFrame, key: str, defaults: dict[str, Column], sound: Column | None = None, needed: list[str] | None = None) -> DataFrame:
     """asked with the fields of defaults from its answer, and `answered`; the defaults where there is none.
 
-    An answer counts if all its fields are there and it is sound (a column over the answers).
+    An answer counts if all its fields are there (those in `needed`, if that is given; the others may be null) and it is
+    sound (a column over the answers). Of several answers the smallest counts, field by field.
     """
     good = answers.filter(sound) if sound is not None else answers
-    kept = good.na.drop(subset=list(defaults)).groupBy(key).agg(*[F.first(c).alias(f"_a_{c}") for c in defaults])
-    both = asked.join(kept.withColumn("_a", F.lit(True)), key, "left")
-    fields = {c: F.when(F.col("_a"), F.col(f"_a_{c}")).otherwise(value) for c, value in defaults.items()}
-    out = both.withColumns(fields | {"answered": F.coalesce("_a", F.lit(False))})
-    return out.drop("_a", *[f"_a_{c}" for c in defaults])
+    kept = good.na.drop(subset=list(defaults) if needed is None else needed).groupBy(key).agg(F.min(F.struct(*defaults)).alias("_a"))
+    both = asked.join(kept, key, "left")
+    told = F.col("_a").isNotNull()
+    fields = {c: F.when(told, F.col(f"_a.{c}")).otherwise(value) for c, value in defaults.items()}
+    return both.withColumns(fields | {"answered": told}).drop("_a")
 
 
 def rewritten_query(asked: DataFrame, answers: DataFrame, key: str, query: str) -> DataFrame:
@@ -83,7 +85,19 @@ def topic_gate(asked: DataFrame, answers: DataFrame, key: str, questions: str) -
 
 
 def document_intent(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
-    return answered(asked, answers, key, {"intent": F.lit("no_doc_specified"), "document_id": F.lit(None).cast("string")})
+    """How a question names its document, and which one; a way without a document is an answer too."""
+    return answered(asked, answers, key, {"intent": F.lit("no_doc_specified"), "document_id": F.lit(None).cast("string")}, needed=["intent"])
+
+
+def repaired_titles(told: DataFrame, titles: DataFrame, case: str, key: str, pos: str = "pos") -> DataFrame:
+    """document_intent's rows with document_id put right: the case's title that is most like it, or the name as it is if none is.
+
+    titles: case, document_id, pos.
+    """
+    named = told.filter("document_id is not null").select(case, key, F.col("document_id").alias("_said"))
+    known = titles.select(case, F.col("document_id").alias("_title"), pos)
+    found = matching.fuzzy_titles(named, known, case, key, "_said", "_title", pos).select(key, "_title")
+    return told.join(found, key, "left").withColumn("document_id", F.coalesce("_title", "document_id")).drop("_title")
 
 
 def branch_answer(asked: DataFrame, answers: DataFrame, key: str, missing: str, error: str) -> DataFrame:
@@ -113,9 +127,10 @@ def split_kind(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def themes(items: DataFrame, answers: DataFrame, key: str, role: str) -> DataFrame:
     """Each item's theme; roles of fewer than six items, and items without one, have the role's name as theme."""
     told = answered(items, answers, key, {"theme": F.col(role)})
-    sizes = items.groupBy(role).agg(F.count("*").alias("_n"))
+    same = F.struct(role)  # a role that is null is a role
+    sizes = items.groupBy(same.alias("_role")).agg(F.count("*").alias("_n"))
     few = F.col("_n") < LEAST_ITEMS_FOR_THEMES
-    return told.join(sizes, role).withColumn("theme", F.when(few, F.col(role)).otherwise(F.col("theme"))).drop("_n")
+    return told.withColumn("_role", same).join(sizes, "_role").withColumn("theme", F.when(few, F.col(role)).otherwise(F.col("theme"))).drop("_n", "_role")
 
 
 def intent(asked: DataFrame, answers: DataFrame, key: str, intents: list[str]) -> DataFrame:

@@ -84,3 +84,45 @@ def test_long_plans_and_many_items(spark):
     items = spark.range(1002).select("id", F.lit("s").alias("key"), F.lit("agreed").alias("kind"))
     ids = {r.id: r.item_id for r in ranking.item_ids(items, "key", "kind", [F.col("id")], {"agreed": "A"}).collect()}
     assert len(set(ids.values())) == 1002 and ids[0] == "A001" and ids[999] == "A1000" and ids[1001] == "A1002"
+
+
+def test_of_several_answers_the_smallest_counts(spark):
+    asked = spark.createDataFrame([(1,), (2,)], "k int")
+    answers = spark.createDataFrame([(1, "b", "x"), (1, "a", "z"), (1, None, "a"), (2, None, "q")], "k int, f string, g string")
+    got = {r.k: (r.f, r.g, r.answered) for r in S.answered(asked, answers, "k", {"f": F.lit("-"), "g": F.lit("-")}).collect()}
+    assert got == {1: ("a", "z", True), 2: ("-", "-", False)}
+
+
+def test_a_way_without_a_document_is_kept_and_titles_are_repaired(spark):
+    asked = spark.createDataFrame([("c", i) for i in range(1, 5)], "case string, k int")
+    answers = spark.createDataFrame([(1, "all_docs", None), (2, "one_doc", "expert repor"), (3, "one_doc", "zzz")], "k int, intent string, document_id string")
+    told = S.document_intent(asked, answers, "k")
+    titles = spark.createDataFrame([("c", "expert report", 0), ("c", "claim", 1)], "case string, document_id string, pos int")
+    got = {r.k: (r.intent, r.document_id) for r in S.repaired_titles(told, titles, "case", "k").collect()}
+    assert got == {1: ("all_docs", None), 2: ("one_doc", "expert report"), 3: ("one_doc", "zzz"), 4: ("no_doc_specified", None)}
+
+
+def test_null_cases_and_roles_are_not_lost(spark):
+    items = spark.createDataFrame([(1, None), (2, "r")], "k int, role string")
+    none = spark.createDataFrame([], "k int, theme string")
+    assert {r.k: r.theme for r in S.themes(items, none, "k", "role").collect()} == {1: None, 2: "r"}
+    chunks = spark.createDataFrame([(None, "d", 1, "p", "text"), ("c", "e", 1, "p", "more")], "case_id string, doc_id string, pos int, party string, text string")
+    empty = lambda c: spark.createDataFrame([], f"doc_id string, pos int, {c} string")
+    got = flows.summarise(chunks, empty("role"), empty("kind"), empty("theme")).collect()
+    assert sorted((r.doc_id, r.bullet) for r in got) == [("d", "text"), ("e", "more")]
+
+
+def test_steps_that_ended_are_not_run_again(spark):
+    plan = spark.createDataFrame([("p", "a", []), ("p", "b", ["a"]), ("p", "c", ["a", "b", "b"]), ("p", "x", ["y"]), ("q", "a", None), ("q", "f", ["a"]), ("q", "g", ["f"])], "plan_id string, step_id string, depends_on array<string>")
+    seen = []
+
+    def run(now):
+        seen.append(sorted((r.plan_id, r.step_id) for r in now.collect()))
+        return now.select("plan_id", "step_id", (F.col("step_id") != "f").alias("ok"), F.upper("step_id").alias("response"))
+
+    got = {(r.plan_id, r.step_id): (r.status, r.response, r.tries) for r in flows.execute(plan, run).collect()}
+    assert seen == [[("p", "a"), ("q", "a")], [("p", "b"), ("q", "f")], [("p", "c"), ("q", "f")]]
+    assert got == {
+        ("p", "a"): ("success", "A", 1), ("p", "b"): ("success", "B", 1), ("p", "c"): ("success", "C", 1), ("p", "x"): ("blocked", None, 0),
+        ("q", "a"): ("success", "A", 1), ("q", "f"): ("failed", "F", 2), ("q", "g"): ("blocked", None, 0),
+    }
