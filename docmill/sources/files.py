@@ -119,3 +119,21 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def append_audit(df: DataFrame, path: str, day: str) -> None:
     """Append audit rows under the day of a timestamp."""
     df.withColumn("day", F.to_date(day)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def in_order(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """rows of files with pos, the place of their path in the list that was asked for; a path asked for that has no row has one with an error."""
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "/")
+    asked = rows.sparkSession.createDataFrame(list(enumerate(paths)), "pos int, _asked string")
+    met = asked.join(rows, plain(F.col("_asked")) == plain(F.col("path")), "left")
+    return met.select("pos", *[F.coalesce("path", "_asked").alias(c) if c == "path" else F.coalesce(c, F.when(F.col("path").isNull(), "no such file")).alias(c) if c == "error" else c for c in rows.columns])
+
+
+def point_count(spark: SparkSession, name: str) -> int:
+    """How many rows a table has; 0 for one that is not there."""
+    return spark.table(name).count() if spark.catalog.tableExists(name) else 0
+
+
+def golden(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a golden dataset: a JSON array in one file, or one object a line."""
+    return spark.read.option("multiLine", "true").json(path)
