@@ -22,16 +22,22 @@ def paragraphs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def pages_of(lengths: Column, most: int = 2000) -> Column:
-    """The page of each paragraph: a length is added first; past the most a page begins and the sum starts at zero."""
-    start = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("pages"))
+    """The page of each paragraph: a length is added first; past the most a page begins and the sum starts at zero.
+
+    The fold keeps where pages begin, and the pages are laid out from that.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"), F.array(F.lit(0)).alias("begins"))
 
     def step(acc: Column, n: Column) -> Column:
         total = acc["sum"] + n
-        page = F.when(total > most, acc["page"] + 1).otherwise(acc["page"])
-        kept = F.when(total > most, F.lit(0).cast("long")).otherwise(total)
-        return F.struct(page.alias("page"), kept.alias("sum"), F.concat(acc["pages"], F.array(page)).alias("pages"))
+        full = total > most
+        return F.struct((acc["at"] + 1).alias("at"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"), F.when(full, F.array_append(acc["begins"], acc["at"])).otherwise(acc["begins"]).alias("begins"))
+
+    def laid(acc: Column) -> Column:
+        ends = F.array_append(F.slice(acc["begins"], F.lit(2), F.size(acc["begins"])), acc["at"])
+        return F.flatten(F.transform(F.zip_with(acc["begins"], ends, lambda b, e: e - b), lambda n, i: F.array_repeat(i + 1, n)))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["pages"])
+    return F.aggregate(lengths, start, step, laid)
 
 
 def segments(df: DataFrame, doc_id: str, text: str, most: int = 2000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.tables import settled
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order."""
@@ -42,19 +44,35 @@ def numbered(df: DataFrame, key: str | list[str], order: list[Column], name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def places(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with name: 1, 2, 3 ... within each key, in order, without a task for a key.
+
+    Rows are dealt out by ranges of (keys, order), so a key with a third of all rows has a third of the ranges; each range
+    is numbered by itself, after the rows of its keys that lie in ranges before it. The ranges are written to the shared folder first,
+    since a second shuffle would draw other ones.
+    """
+    sorts = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    by = [f"_o{i}" for i in range(len(order))]
+    held = df.select("*", F.struct(*keys).alias("_k"), *sorts)
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = settled(held.repartitionByRange(ranges, "_k", *by).withColumn("_range", F.spark_partition_id()))
+    sizes = held.groupBy("_k", "_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("_k").orderBy("_range")) - F.col("_size")).drop("_size")
+    within = F.row_number().over(Window.partitionBy("_k", "_range").orderBy(*by))
+    return held.join(before, ["_k", "_range"]).withColumn(name, within + F.col("_before")).select(*df.columns, name)
+
+
 def item_ids(df: DataFrame, key: str, kind: str, order: list[Column], prefixes: dict[str, str]) -> DataFrame:
     """Ids such as A001, counted for each key and kind."""
     prefix = F.coalesce(*[F.when(F.col(kind) == k, p) for k, p in prefixes.items()])
-    n = F.row_number().over(Window.partitionBy(key, kind).orderBy(*order))
     # lpad would cut numbers of more than three digits
-    digits = n.cast("string")
-    return df.withColumn("item_id", F.concat(prefix, F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0"))))
+    digits = F.col("_n").cast("string")
+    return places(df, [key, kind], order, "_n").withColumn("item_id", F.concat(prefix, F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))).drop("_n")
 
 
 def batches(df: DataFrame, key: str, order: list[Column], size: int) -> DataFrame:
     """Batch numbers of `size` rows each within every key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("batch", F.floor((n - 1) / size))
+    return places(df, [key], order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def page(df: DataFrame, *order: Column, skip: int = 0, limit: int = 20, most: int = 100) -> DataFrame:

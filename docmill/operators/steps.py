@@ -7,11 +7,11 @@ join is by key, so how answers come about (a port's columns, a service's table)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.operators import matching
+from docmill.operators import matching, ranking
 
 # The label of what is not known, kinds of questions, and limits of the steps.
 UNKNOWN = "غير محدد"
@@ -240,4 +240,4 @@ def stored_report(asked: DataFrame, reports: DataFrame, key: str, body: str) ->
 def themed(items: DataFrame, assigned: DataFrame, role: str, item: str) -> DataFrame:
     """Items under their themes: role, theme, kind, place in the theme, item. Unknown ids are dropped."""
     found = assigned.join(items, [role, item])
-    return found.withColumn("place", F.row_number().over(Window.partitionBy(role, "theme", "kind").orderBy(item)))
+    return ranking.places(found, [role, "theme", "kind"], [F.col(item)], "place")

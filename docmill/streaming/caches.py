@@ -118,6 +118,42 @@ def reads_stream(requests: DataFrame, key: list[str], ts: str, seq: str, op: str
     return keyed.transformWithStateInPandas(_Responses(key, ts, seq, op, value, seconds), out, "append", "EventTime")
 
 
+# -- rate limits ----------------------------------------------------------------------------------
+
+
+class _Limited(_Timed):
+    def __init__(self, key: str, ts: str, limit: int, seconds: int):
+        self.key, self.ts, self.limit, self.seconds = key, ts, limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start bigint, n bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, n = self.window.get() if self.window.exists() else (None, 0)
+        out = []
+        for t in pd.concat([part[[self.ts]] for part in rows])[self.ts].sort_values():
+            at = _micros(t)
+            if start is None or at - start >= self.seconds * 1_000_000:
+                start, n = at, 0
+            n += 1
+            out.append((*key, t, n, n <= self.limit))
+        self.window.update((start, n))
+        self._put_off(start // 1000 + self.seconds * 1000 + 1)
+        yield pd.DataFrame(out, columns=[self.key, self.ts, "n", "allowed"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+
+def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = 100, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """key, ts, n, allowed of a stream of events: the windows of stateful.rate_limited. A key is forgotten when its window is over."""
+    _ready(events.sparkSession)
+    keyed = events.withWatermark(ts, late).groupBy(key)
+    return keyed.transformWithStateInPandas(_Limited(key, ts, limit, seconds), _schema(events, [key, ts], "n bigint, allowed boolean"), "append", "EventTime")
+
+
 # -- semantic cache -------------------------------------------------------------------------------
 
 

@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 from docmill.functions import vectors
 from docmill.workers import ship
 
@@ -38,27 +36,6 @@ def rate_limited(events: DataFrame, key: str, ts: str, seq: str, limit: int = 10
     return events.repartition(key).sortWithinPartitions(key, ts, seq).mapInPandas(fold, out)
 
 
-def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """key, ts, n, allowed of a stream of events: the same windows with the state kept by Spark."""
-    ship(events.sparkSession)
-
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values(ts)
-        out = []
-        for t in rows[ts]:
-            at = t.timestamp()
-            if start is None or at - start >= seconds:
-                start, n = at, 0
-            n += 1
-            out.append((k[0], t, n, n <= limit))
-        state.update((start, n))
-        yield pd.DataFrame(out, columns=[key, ts, "n", "allowed"])
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {ts} timestamp, n bigint, allowed boolean", "start double, n bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def ttl_hits(events: DataFrame, key: list[str], ts: str, seq: str, seconds: int) -> DataFrame:
     """Events with hit: the same key was seen at most `seconds` (exclusive) before."""
     w = Window.partitionBy(*key).orderBy(ts, seq)

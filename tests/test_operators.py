@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill import ports
 from docmill.operators import chunking, hierarchy, ranking, reasoning, retrieval, summaries
 from docmill.sources import files, settings
-from docmill.streaming import stateful, store
+from docmill.streaming import caches, stateful, store
 
 TAGGED = """[PREFACE]p[/PREFACE][BOOK]الكتاب
  الأول[/BOOK][PART]P1[/PART][CHAPTER]
@@ -163,7 +163,7 @@ def event_files(spark, tmp_path):
 def test_rate_limit_stream_equals_batch(spark, event_files):
     df, path, tmp = event_files
     stream = spark.readStream.schema(df.schema).parquet(path)
-    out = stateful.rate_limited_stream(stream, "user_id", "ts", limit=3, seconds=60)
+    out = caches.rate_limited_stream(stream, "user_id", "ts", limit=3, seconds=60)
     run_stream(out.writeStream.format("parquet").option("checkpointLocation", str(tmp / "c")).option("path", str(tmp / "o")).start())
     batch = stateful.rate_limited(df.withColumn("seq", F.lit(0)), "user_id", "ts", "seq", limit=3, seconds=60)
     rows = lambda d: sorted((r.user_id, r.ts, r.n, r.allowed) for r in d.collect())
