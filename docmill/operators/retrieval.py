@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import guards, vectors
+from docmill.operators import reports
 from docmill.tables import settled
 from docmill.workers import ship
 
@@ -110,23 +111,57 @@ def fallback_levels(corpus: DataFrame, levels: list[Column], query: list[float],
     return out.join(F.broadcast(first), F.col("level") == F.col("_first")).drop("_first")
 
 
+def _diverse(ids: np.ndarray, vecs: list, query: list[float], k: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k chosen ones among candidates sorted by id, and their relevances."""
+    v = np.stack(vecs).astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    q = np.array(query, float) / max(np.linalg.norm(query), 1e-300)
+    relevance, taken, left = v @ q, [], list(range(len(v)))
+    while left and len(taken) < k:
+        near = (v[left] @ v[taken].T).max(axis=1) if taken else np.zeros(len(left))
+        taken.append(left.pop(int(np.argmax(np.round(weight * relevance[left] - (1 - weight) * near, 9)))))
+    return np.array(taken, int), np.round(relevance[taken], 6)
+
+
 def mmr(candidates: DataFrame, query: list[float], k: int, weight: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """k of at most a few hundred candidates by maximal marginal relevance, in the order they are chosen."""
+    """k of one query's candidates (a top_k's, so as few as that) by maximal marginal relevance, in the order they are chosen."""
+    asked = candidates.select(F.lit(1).alias("_key"), id_col, vec_col, F.lit([float(x) for x in query]).cast("array<double>").alias("q"))
+    return mmr_many(asked, "_key", k, weight, id_col, vec_col).drop("_key")
+
+
+def mmr_many(candidates: DataFrame, key: str, k: int, weight: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """key, id, place, score: for every query k of its candidates by maximal marginal relevance.
+
+    candidates: key, id, vector, and the query's vector q. A key has as many as its search gave; queries are independent of each other.
+    """
     ship(candidates.sparkSession)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col, ignore_index=True)
-        v = np.stack(pdf[vec_col].to_numpy()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        q = np.array(query, float) / max(np.linalg.norm(query), 1e-300)
-        relevance, taken, left = v @ q, [], list(range(len(v)))
-        while left and len(taken) < k:
-            near = (v[left] @ v[taken].T).max(axis=1) if taken else np.zeros(len(left))
-            taken.append(left.pop(int(np.argmax(np.round(weight * relevance[left] - (1 - weight) * near, 9)))))
-        return pd.DataFrame({id_col: pdf[id_col].iloc[taken].to_numpy(), "place": np.arange(1, len(taken) + 1), "score": np.round(relevance[taken], 6)})
-
-    kind = candidates.schema[id_col].dataType.simpleString()
-    return candidates.select(id_col, vec_col, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(choose, f"{id_col} {kind}, place int, score double")
+        taken, scores = _diverse(pdf[id_col].to_numpy(), pdf[vec_col].tolist(), pdf["q"].iloc[0], k, weight)
+        return pd.DataFrame({key: pdf[key].iloc[taken].to_numpy(), id_col: pdf[id_col].iloc[taken].to_numpy(), "place": np.arange(1, len(taken) + 1), "score": scores})
+
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    return candidates.select(key, id_col, vec_col, "q").groupBy(key).applyInPandas(choose, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, place int, score double")
+
+
+def flow(corpus: DataFrame, asked: DataFrame, k: int, top: int, relevance: Column | None = None, question: str = "question_id", id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Retrieval in one: every wording of every question searched, documents once with their best score, the `top` of them
+    by relevance (by score without one), and how sure that is.
+
+    asked: question, variant_id (of its own for each wording), q (its vector), retries. relevance is a column over the corpus.
+    Gives (question, id, score, place) of what is kept, and (question, n_docs, confidence, grade, route) of every question.
+    """
+    searched = top_k_many(corpus, asked.select("variant_id", "q"), k, "variant_id", id_col, vec_col)
+    pairs = searched.select("variant_id", id_col, "score").join(asked.select("variant_id", question), "variant_id").drop("variant_id")
+    if relevance is not None:
+        pairs = pairs.join(corpus.select(id_col, relevance.alias("_relevance")), id_col)
+    kept, sure = reports.reranked(pairs, None if relevance is None else F.col("_relevance"), top, question, id_col, "score")
+    n = kept.groupBy(question).agg(F.count("*").alias("n_docs"))
+    questions = asked.groupBy(question).agg(F.max("retries").alias("retries"))
+    told = questions.join(n, question, "left").join(sure, question, "left").na.fill(0, ["n_docs"]).na.fill(0.0, ["confidence"])
+    told = told.withColumn("grade", guards.retrieval_grade(F.coalesce("retries", F.lit(0)), F.col("n_docs"), F.col("confidence")))
+    return kept, told.withColumn("route", guards.grader_route(F.col("grade"))).drop("retries")
 
 
 def expand(question: Column, hyde: Column, paraphrases: Column) -> Column:
