@@ -11,7 +11,7 @@ to round; when entries move, bounds are shifted by as much. A part is left alone
 is strictly below half the distance from its entry to the nearest other one; an entry is left alone
 if its lower bound, or half its distance from the assigned entry, is strictly above the upper bound.
 Whatever remains is decided by exact integer distances, so that ties are ties. Lower bounds are
-rounded down and upper bounds up, wherever they are computed or stored.
+rounded down and upper bounds up, wherever they are computed or stored; in the table a lower bound is one byte.
 
 Rows never meet in one task: assignments are maps over the table, a task hands on one row of sums
 for each component of each entry, and the driver holds codebooks, which no amount of rows makes larger. A task
@@ -121,14 +121,26 @@ def _vectors(column: pa.Array, parts: int, width: int) -> np.ndarray:
     return x.reshape(len(column), parts, width)
 
 
-def _floats(column: pa.Array, *shape: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).astype(float).reshape(len(column), *shape)
+def _floats(column: pa.Array, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).astype(float).reshape(len(column), parts)
 
 
 def _packed(values: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in values], pa.binary())
 
 
+def shrunk(lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds in a byte each: 255ths, rounded down, of the greatest of their part, and those."""
+    top = np.maximum(np.nextafter(lower.max(2, initial=0.0).astype(np.float32), np.float32(-np.inf)), 0)
+    share = np.divide(lower, top[..., None], out=np.zeros_like(lower), where=top[..., None] > 0)
+    return np.floor(np.minimum(share, 1) * 255 * (1 - 1e-6)).astype(np.uint8), top
+
+
+def grown(shares: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """No more than what was shrunk."""
+    return shares / 255 * top[..., None]
+
+
 def _passes(books: np.ndarray, moved: np.ndarray | None, last: bool):
     """A map over the table: bounds in (none in the first pass), bounds out, or codes and errors in the last one."""
     parts, entries, width = books.shape
@@ -142,7 +154,8 @@ def _passes(books: np.ndarray, moved: np.ndarray | None, last: bool):
                     known = Bounds.unknown(len(x), parts, entries)
                 else:
                     code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).astype(np.intp).reshape(-1, parts)
-                    known = Bounds(code, _floats(b["upper"], parts), _floats(b["lower"], parts, entries))
+                    shares = np.frombuffer(b"".join(b["lower"].to_pylist()), np.uint8).reshape(-1, parts, entries)
+                    known = Bounds(code, _floats(b["upper"], parts), grown(shares, _floats(b["top"], parts)))
                     known.shift(moved)
                 assign(x, books, known)
                 kept = {"vec_id": b["vec_id"], "label": b["label"]}
@@ -150,8 +163,8 @@ def _passes(books: np.ndarray, moved: np.ndarray | None, last: bool):
                     yield pa.RecordBatch.from_pydict(kept | {"code": pa.array([bytes(c).hex() for c in known.code.astype(np.uint8)]), "error": pa.array(errors(x, books, known.code))})
                 else:
                     upper = np.nextafter(known.upper.astype(np.float32), np.float32(np.inf))
-                    lower = np.maximum(np.nextafter(known.lower.astype(np.float32), np.float32(-np.inf)), 0)
-                    yield pa.RecordBatch.from_pydict(kept | {"x": b["x"], "code": _packed(known.code.astype(np.uint8)), "upper": _packed(upper), "lower": _packed(lower)})
+                    lower, top = shrunk(known.lower)
+                    yield pa.RecordBatch.from_pydict(kept | {"x": b["x"], "code": _packed(known.code.astype(np.uint8)), "upper": _packed(upper), "lower": _packed(lower), "top": _packed(top)})
 
     return run
 
@@ -204,7 +217,7 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
 
     state, before, moved = kept, None, None
     for _ in range(rounds):
-        state, where = stored(state.mapInArrow(_passes(books, moved, False), f"{ids}, x array<bigint>, code binary, upper binary, lower binary"))
+        state, where = stored(state.mapInArrow(_passes(books, moved, False), f"{ids}, x array<bigint>, code binary, upper binary, lower binary, top binary"))
         if before:
             remove(spark, before)
         better = moved_means(books, *_sums(state, books.shape))

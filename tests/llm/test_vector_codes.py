@@ -94,6 +94,14 @@ def test_bounds_hold_and_prune():
     assert computed[0] < 3000 * 16 and computed[-1] < computed[0] / 2
 
 
+def test_stored_bounds_are_no_larger():
+    rng = np.random.default_rng(6)
+    lower = np.abs(rng.normal(size=(500, 3, 7)) * 10.0 ** rng.integers(-3, 9, (500, 3, 1)))
+    lower[0], lower[1, 0] = 0, 5.0
+    back = vector_codes.grown(*vector_codes.shrunk(lower))
+    assert (back <= lower).all() and (lower - back <= lower.max(2, keepdims=True) / 250).all()
+
+
 @needs_data
 def test_query_against_the_sql(spark):
     con = duckdb.connect()
