@@ -102,13 +102,10 @@ def grade(df: DataFrame, retries: int = 0) -> DataFrame:
 
 
 def fallback_levels(corpus: DataFrame, levels: list[Column], query: list[float], k: int, **how) -> DataFrame:
-    """The top k of the first condition that has any row. Each level is cut to k before they meet."""
-    parts = [top_k(corpus.filter(c), query, k, **how).withColumn("level", F.lit(i)) for i, c in enumerate(levels, 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    first = out.agg(F.min("level").alias("_first"))
-    return out.join(F.broadcast(first), F.col("level") == F.col("_first")).drop("_first")
+    """The top k of the first condition that has any row: one pass sees which that is, one searches."""
+    seen = corpus.agg(*[F.count_if(c).alias(f"l{i}") for i, c in enumerate(levels)]).first()
+    at = next((i for i, n in enumerate(seen) if n), len(levels) - 1)
+    return top_k(corpus.filter(levels[at]), query, k, **how).withColumn("level", F.lit(at + 1))
 
 
 def _diverse(ids: np.ndarray, vecs: list, query: list[float], k: int, weight: float) -> tuple[np.ndarray, np.ndarray]:

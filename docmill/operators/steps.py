@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.operators import matching, ranking
+from docmill.operators import matching, ranking, reports
 
 # The label of what is not known, kinds of questions, and limits of the steps.
 UNKNOWN = "غير محدد"
@@ -186,6 +186,48 @@ def placeholder(asked: DataFrame, answers: DataFrame, key: str, field: str, mess
     return answered(asked, answers, key, {field: F.lit(message)}, F.trim(field) != "")
 
 
+def counterarguments(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """What either side may answer, and an analysis; empty lists and a fixed text where nothing is told."""
+    none = F.array().cast("array<string>")
+    return answered(asked, answers, key, {"plaintiff_arguments": none, "defendant_arguments": none, "analysis": F.lit(reports.NO_COUNTERARGUMENTS)})
+
+
+def dependencies(issues_: DataFrame, answers: DataFrame, case: str, issue: str) -> DataFrame:
+    """case, upstream, downstream, dependency_type of what was told, each once, between two different issues of the case; none where nothing is told."""
+    known = issues_.select(case, issue).distinct()
+    both = answers.filter("upstream <> downstream").join(known.withColumnRenamed(issue, "upstream"), [case, "upstream"], "left_semi")
+    met = both.join(known.withColumnRenamed(issue, "downstream"), [case, "downstream"], "left_semi")
+    return met.groupBy(case, "upstream", "downstream").agg(F.min("dependency_type").alias("dependency_type"))
+
+
+def planned(asked: DataFrame, answers: DataFrame, key: str, tools: list[str], error: str = "no plan") -> DataFrame:
+    """plan: the steps told (step_id, tool, query, depends_on), near-miss tools put right; else none, which fails validation, and feedback."""
+    kind = answers.schema["plan"].dataType.simpleString()
+    told = answered(asked, answers, key, {"plan": F.array().cast(kind)})
+    put_right = F.transform("plan", lambda s: F.struct(s["step_id"].alias("step_id"), reports.coerced_tool(s["tool"], tools).alias("tool"), s["query"].alias("query"), s["depends_on"].alias("depends_on")))
+    return told.withColumns({"plan": put_right, "feedback": F.when(~F.col("answered"), F.lit(f"فشل LLM المخطط: {error}"))})
+
+
+def synthesized(asked: DataFrame, answers: DataFrame, results: DataFrame, key: str, pos: str) -> DataFrame:
+    """The final answer and whether it is enough; an apology that counts as success where nothing is told. Sources are those of all
+    steps, each once; attempts go up, and runs when the answer is not enough and runs are left. route says what follows.
+
+    asked: key, attempts, runs; answers: key, answer, sufficient; results: key, pos, sources.
+    """
+    told = answered(asked, answers, key, {"answer": F.lit(reports.NO_ANSWER), "sufficient": F.lit(True)})
+    told = told.join(reports.deduplicated_sources(results, key, pos, "sources"), key, "left")
+    again = ~F.col("sufficient") & (F.col("runs") < reports.RUNS)
+    out = told.withColumns({"sources": F.coalesce("sources", F.array().cast("array<string>")), "attempts": F.col("attempts") + 1, "route": reports.synthesis_route(F.col("sufficient"), F.col("runs"))})
+    return out.withColumns({"runs": F.col("runs") + F.when(again, 1).otherwise(0), "status": F.when(~F.col("answered"), "succeeded")})
+
+
+def learned_facts(facts: DataFrame, extracted: DataFrame, user: str, name: str, value: str, order: str) -> DataFrame:
+    """Facts and preferences after an extraction: of each user and name the newest that says something; an extraction that failed
+    (null or blank values) changes nothing."""
+    said = extracted.filter(F.trim(F.coalesce(value, F.lit(""))) != "")
+    return facts.unionByName(said.select(*facts.columns)).groupBy(user, name).agg(F.max_by(F.struct(value, order), F.struct(order, value)).alias("_f")).select(user, name, "_f.*")
+
+
 def event_log(df: DataFrame, event: str, level: str, *fields: str) -> DataFrame:
     """One JSON line per row: event, level and the fields that are not null."""
     return df.select(F.to_json(F.struct(F.lit(event).alias("event"), F.lit(level).alias("level"), *fields)).alias("value"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from docmill.operators import citations as CI
 from docmill.operators import reports as R
+from docmill.operators import steps as ST
 from docmill.plans.registry import query
 from docmill.tables import table
 
@@ -182,3 +184,49 @@ def repeated_keys(spark, sf_dir):
 def coerced_tools(spark, sf_dir):
     said = F.when(F.col("event_type") == "error", "Civil-Law RAG").when(F.col("event_type") == "click", "case docs").when(F.col("event_type") == "view", "fetch summary").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", R.coerced_tool(said, ["civil_law_rag", "case_doc_rag", "fetch_summary_report"]).alias("tool"))
+
+
+@query(
+    "late_step_defaults",
+    f"""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '{R.NO_COUNTERARGUMENTS}' END AS analysis, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_arguments,
+    CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE '{R.NO_ANSWER}' END AS answer, o_orderkey % 5 + 1 AS attempts, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'F' AND o_orderkey % 5 < 2 THEN o_orderkey % 5 + 1 ELSE o_orderkey % 5 END AS runs,
+    CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'F' AND o_orderkey % 5 < 2 THEN 'replanner' ELSE 'trace_writer' END AS route, CASE WHEN o_orderkey % 4 <> 0 THEN 'succeeded' END AS status, coalesce(n, 0) AS n_sources
+    FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(DISTINCT l_partkey % 10) AS n FROM lineitem GROUP BY 1) USING (o_orderkey)""",
+)
+def late_step_defaults(spark, sf_dir):
+    """Orders stand for questions: every third has counterarguments, every fourth an answer."""
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    asked = orders.select("k", (F.col("k") % 5).alias("attempts"), (F.col("k") % 5).alias("runs"))
+    against = orders.filter("k % 3 = 0").select("k", F.array(F.lit("a")).alias("plaintiff_arguments"), F.array().cast("array<string>").alias("defendant_arguments"), F.col("o_orderpriority").alias("analysis"))
+    said = orders.filter("k % 4 = 0").select("k", F.col("o_orderstatus").alias("answer"), (F.col("o_orderstatus") == "F").alias("sufficient"))
+    results = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), F.array((F.col("l_partkey") % 10).cast("string")).alias("sources"))
+    told = ST.synthesized(ST.counterarguments(asked, against, "k").drop("answered"), said, results, "k", "pos")
+    return told.select("k", "analysis", (F.size("plaintiff_arguments") + F.size("defendant_arguments")).alias("n_arguments"), "answer", "attempts", "runs", "route", "status", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(
+    "issue_dependencies",
+    "WITH t AS (SELECT DISTINCT l_partkey % 50 AS c, l_orderkey % 100 AS u, l_suppkey AS d, l_returnflag AS t FROM lineitem), i AS (SELECT DISTINCT l_partkey % 50 AS c, l_orderkey % 100 AS i FROM lineitem WHERE l_quantity < 10) SELECT t.c, u AS upstream, d AS downstream, min(t) AS dependency_type FROM t JOIN i a ON a.c = t.c AND a.i = t.u JOIN i b ON b.c = t.c AND b.i = t.d WHERE u <> d GROUP BY ALL",
+)
+def issue_dependencies(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("c", F.col("l_partkey") % 50)
+    issues = lines.filter("l_quantity < 10").select("c", (F.col("l_orderkey") % 100).alias("i"))
+    told = lines.select("c", (F.col("l_orderkey") % 100).alias("upstream"), F.col("l_suppkey").alias("downstream"), F.col("l_returnflag").alias("dependency_type"))
+    return ST.dependencies(issues, told, "c", "i")
+
+
+@query("learned_facts", "WITH f AS (SELECT user_id, event_type, value, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, value, ts FROM events WHERE event_id % 2 = 1 AND event_id % 3 > 0) SELECT user_id, event_type, arg_max(value, ts)::VARCHAR AS said, max(ts)::VARCHAR AS at FROM f GROUP BY ALL")
+def learned_facts(spark, sf_dir):
+    """Even events are what is known of users, odd ones what was extracted; every third extraction failed."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("said"), "ts")
+    facts, told = events.filter("event_id % 2 = 0").drop("event_id"), events.filter("event_id % 2 = 1")
+    told = told.withColumn("said", F.when(F.col("event_id") % 3 > 0, F.col("said"))).drop("event_id")
+    return ST.learned_facts(facts, told, "user_id", "event_type", "said", "ts").select("user_id", "event_type", "said", F.col("ts").cast("string").alias("at"))
+
+
+@query("unverified_citations", "SELECT DISTINCT l_partkey AS article FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 20) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice > 950)")
+def unverified_citations(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    known = [part.filter("p_size < 20"), part.filter("p_retailprice > 950")]
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("article"))
+    return CI.unverified(cited, [k.select(F.col("p_partkey").alias("article")) for k in known], ["article"])

@@ -126,3 +126,20 @@ def test_steps_that_ended_are_not_run_again(spark):
         ("p", "a"): ("success", "A", 1), ("p", "b"): ("success", "B", 1), ("p", "c"): ("success", "C", 1), ("p", "x"): ("blocked", None, 0),
         ("q", "a"): ("success", "A", 1), ("q", "f"): ("failed", "F", 2), ("q", "g"): ("blocked", None, 0),
     }
+
+
+def test_late_steps_take_their_defaults(spark):
+    asked = spark.createDataFrame([(1, 0, 0), (2, 1, 2), (3, 0, 1)], "k int, attempts int, runs int")
+    answers = spark.createDataFrame([(2, "b", False), (3, "c", False)], "k int, answer string, sufficient boolean")
+    results = spark.createDataFrame([(1, 2, [" b ", "A"]), (1, 1, ["a", "", None])], "k int, pos int, sources array<string>")
+    got = {r.k: (r.answer[:1], r.attempts, r.runs, r.route, r.status, r.sources) for r in S.synthesized(asked, answers, results, "k", "pos").collect()}
+    assert got == {1: ("ت", 1, 0, "trace_writer", "succeeded", ["a", "b"]), 2: ("b", 2, 2, "trace_writer", None, []), 3: ("c", 1, 2, "replanner", None, [])}
+    plans = spark.createDataFrame([(1, [("s1", "Law-RAG", "q", None)])], "k int, plan array<struct<step_id:string,tool:string,query:string,depends_on:array<string>>>")
+    told = {r.k: ([s.tool for s in r.plan], r.feedback) for r in S.planned(asked, plans, "k", ["law_rag"]).collect()}
+    assert told[1] == (["law_rag"], None) and told[2][0] == [] and told[2][1].endswith("no plan")
+    facts = spark.createDataFrame([("u", "n", "old", 1)], "u string, n string, v string, t int")
+    new = spark.createDataFrame([("u", "n", "new", 2), ("u", "n", " ", 3), ("u", "m", None, 1), ("w", "n", "x", 1)], "u string, n string, v string, t int")
+    assert rows(S.learned_facts(facts, new, "u", "n", "v", "t")) == [("u", "n", "new", 2), ("w", "n", "x", 1)]
+    issues = spark.createDataFrame([("c", 1), ("c", 2)], "c string, i int")
+    deps = spark.createDataFrame([("c", 1, 2, "b"), ("c", 1, 2, "a"), ("c", 1, 1, "a"), ("c", 2, 9, "a"), ("d", 1, 2, "a")], "c string, upstream int, downstream int, dependency_type string")
+    assert rows(S.dependencies(issues, deps, "c", "i")) == [("c", 1, 2, "a")]
