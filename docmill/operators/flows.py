@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators import reasoning, steps as ST
+from docmill.operators import reasoning, reports, steps as ST
 from docmill.tables import settled
 
 # Attempts of a step, replans of a plan, retries of a plan's validation.
@@ -139,3 +139,21 @@ def summarise(chunks: DataFrame, roles: DataFrame, kinds: DataFrame, themes: Dat
     told = ST.answered(grouped.join(sizes, "group"), keyed(themes, "theme"), "key", {"theme": F.col("role")})
     theme = F.when(F.col("n") < ST.LEAST_ITEMS_FOR_THEMES, F.col("role")).otherwise(F.col("theme"))
     return told.select("case_id", "role", theme.alias("theme"), "kind", "doc_id", "pos", F.col("text").alias("bullet"))
+
+
+def brief(bullets: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """The case's brief from summarise's bullets: a summary for each theme (a model's, else its bullets as they are), and the seven parts from those.
+
+    told: case_id, role, theme, summary, from a model. A bullet's party is the document that said it.
+    """
+    theme = F.struct("case_id", "role", "theme").alias("key")
+    place = F.struct("doc_id", "pos")
+    nobody = F.lit(None).cast("array<struct<party:string,bullets:array<string>>>")
+    items = bullets.select(theme, "kind", place.alias("place"), "bullet", F.col("doc_id").cast("string").alias("said_by"), nobody.alias("positions"))
+    raw = reports.raw_summary(items, "key", "kind", "place", "bullet", "said_by", "positions")
+    disputed = F.array_sort(F.collect_list(F.when(F.col("kind") == "disputed", F.struct("place", "bullet"))))
+    themes = items.groupBy("key").agg(F.min("place").alias("place"), F.transform(disputed, lambda x: x["bullet"]).alias("disputes")).join(raw, "key")
+    if told is not None:
+        themes = ST.answered(themes.withColumnRenamed("summary", "_raw"), told.select(theme, "summary"), "key", {"summary": F.col("_raw")}, F.trim("summary") != "")
+    rows = themes.select(F.struct("key.case_id").alias("case"), "key.role", "place", "summary", "disputes")
+    return reports.fallback_brief(rows, "case", "role", "place", "summary", "disputes").select("case.case_id", *reports.PARTS)

@@ -25,6 +25,8 @@ EMPTY_REPORT = "لم يتم استخراج مسائل قانونية من ملخ
 NO_COUNTERARGUMENTS = "لم يتم إنشاء الحجج المقابلة."
 NO_ANSWER = "تعذّر توليد الإجابة النهائية بسبب خطأ في النموذج."
 MANY_ISSUES, RUNS = 8, 2
+#: The parts of a brief, in order.
+PARTS = ("dispute_summary", "uncontested_facts", "key_disputes", "party_requests", "party_defenses", "submitted_documents", "legal_questions")
 #: How runs end without an answer, by name; {} stands for the reason.
 ENDINGS = {
     "law_off_topic": "يبدو أن السؤال المطروح خارج نطاق اختصاص هذا النظام. يرجى طرح سؤال متعلق بالقانون أو الأحكام القانونية ذات الصلة.",

@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docmill.operators import flows, hierarchy, steps as ST
-from docmill.plans.registry import query
+from docmill.operators import flows, hierarchy, reports as RP, steps as ST
+from docmill.plans.registry import ORACLE_SQL, query
 from docmill.tables import table
 
 LENGTH = "length(text) % 9"
@@ -98,6 +98,27 @@ def summary(spark, sf_dir):
     return flows.summarise(chunks, roles, kinds, themes)
 
 
+SUMMARY_SQL = ORACLE_SQL["summary_flow"]
+
+
+@query(
+    "case_briefs",
+    f"""WITH b AS (SELECT case_id, CASE role WHEN 'q1' THEN '{RP.FACTS}' WHEN 'q0' THEN '{RP.REQUESTS}' ELSE role END AS role, theme, kind, doc_id, pos, bullet FROM ({SUMMARY_SQL})),
+    t AS (SELECT case_id, role, theme, min(struct_pack(d := doc_id, p := pos)) AS place, '{RP.RAW}' || concat_ws(chr(10), '{RP.AGREED}' || chr(10) || string_agg('- ' || bullet, chr(10) ORDER BY doc_id, pos) FILTER (WHERE kind = 'agreed'),
+    '{RP.DISPUTED}' || chr(10) || string_agg('- ' || bullet, chr(10) ORDER BY doc_id, pos) FILTER (WHERE kind = 'disputed'), '{RP.SPECIFIC}' || chr(10) || string_agg('- [' || doc_id || '] ' || bullet, chr(10) ORDER BY doc_id, pos) FILTER (WHERE kind = 'party_specific')) AS s,
+    string_agg('- ' || bullet, chr(10) ORDER BY doc_id, pos) FILTER (WHERE kind = 'disputed') AS d FROM b GROUP BY ALL),
+    f AS (SELECT case_id, role, min(place) AS place, split_part(arg_min(s, place), '.', 1) AS s FROM t GROUP BY ALL),
+    o AS (SELECT case_id, string_agg(role || ': ' || s || '.', chr(10) ORDER BY place) FILTER (WHERE s <> '' AND role <> '{RP.UNKNOWN}') AS o FROM f GROUP BY case_id),
+    p AS (SELECT case_id, string_agg(s, chr(10) || chr(10) ORDER BY place) FILTER (WHERE role = '{RP.FACTS}' AND d IS NULL) AS facts, string_agg(d, chr(10) ORDER BY place) AS d, string_agg(s, chr(10) || chr(10) ORDER BY place) FILTER (WHERE role = '{RP.REQUESTS}') AS r FROM t GROUP BY case_id)
+    SELECT case_id, coalesce('{RP.RAW}' || o, '{RP.NO_INFO}') AS dispute_summary, coalesce('{RP.RAW}' || facts, '{RP.NO_INFO}') AS uncontested_facts, coalesce('{RP.RAW}' || d, '{RP.NO_INFO}') AS key_disputes, coalesce('{RP.RAW}' || r, '{RP.NO_REQUESTS}') AS party_requests,
+    '{RP.NO_DEFENCES}' AS party_defenses, '{RP.NO_DOCUMENTS}' AS submitted_documents, coalesce('{RP.RAW}' || d, '{RP.NO_INFO}') AS legal_questions FROM p JOIN o USING (case_id)""",
+)
+def case_briefs(spark, sf_dir):
+    """The bullets of summary_flow to the end: theme summaries and a brief for each case, no model answering."""
+    role = F.when(F.col("role") == "q1", RP.FACTS).when(F.col("role") == "q0", RP.REQUESTS).otherwise(F.col("role"))
+    return flows.brief(summary(spark, sf_dir).withColumn("role", role))
+
+
 @query(
     "model_step_defaults",
     """WITH q AS (SELECT conv_id, turn, text, role, conv_id * 1000 + turn AS k FROM conversations)

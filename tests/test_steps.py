@@ -143,3 +143,16 @@ def test_late_steps_take_their_defaults(spark):
     issues = spark.createDataFrame([("c", 1), ("c", 2)], "c string, i int")
     deps = spark.createDataFrame([("c", 1, 2, "b"), ("c", 1, 2, "a"), ("c", 1, 1, "a"), ("c", 2, 9, "a"), ("d", 1, 2, "a")], "c string, upstream int, downstream int, dependency_type string")
     assert rows(S.dependencies(issues, deps, "c", "i")) == [("c", 1, 2, "a")]
+
+
+def test_a_brief_from_bullets_takes_what_a_model_told(spark):
+    from docmill.operators import reports as RP
+
+    schema = "case_id string, role string, theme string, kind string, doc_id string, pos int, bullet string"
+    bullets = [("c", RP.FACTS, "t", "agreed", "d", 1, "one"), ("c", RP.FACTS, "u", "disputed", "d", 2, "two"), ("c", RP.REQUESTS, "t", "party_specific", "e", 1, "three"), (None, RP.FACTS, "t", "agreed", "f", 1, "four")]
+    told = spark.createDataFrame([("c", RP.FACTS, "t", "Told. More."), ("c", RP.REQUESTS, "t", " ")], "case_id string, role string, theme string, summary string")
+    got = {r.case_id: r for r in flows.brief(spark.createDataFrame(bullets, schema), told).collect()}
+    assert got["c"].uncontested_facts == f"{RP.RAW}Told. More." and got["c"].key_disputes == f"{RP.RAW}- two"
+    assert got["c"].party_requests == f"{RP.RAW}{RP.RAW}{RP.SPECIFIC}\n- [e] three" and got[None].uncontested_facts.endswith("- four")
+    assert got["c"].dispute_summary.startswith(f"{RP.RAW}{RP.FACTS}: Told.\n{RP.REQUESTS}: ")
+    assert flows.brief(spark.createDataFrame([], schema)).count() == 0
