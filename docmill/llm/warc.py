@@ -215,8 +215,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def resolve(captures: DataFrame) -> DataFrame:
     """Captures with payload_bytes; a revisit's is that of the capture that it names.
 
-    The columns besides the payload are written to the shared folder once, so the archive is
-    parsed for them once, however often they are used.
+    The columns besides the payload are written to the shared folder, however often they are used
+    then. Until that the archive is parsed twice: for whole records and for segments.
     """
     own = checkpoint(captures.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"))
     named = own.filter("record_type = 'response'").select(F.col("payload_digest").alias("_digest"), F.col("id").alias("_id"), F.col("payload_bytes").alias("_bytes")).distinct()
