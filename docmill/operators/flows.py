@@ -89,12 +89,13 @@ def execute_with_replans(plan: DataFrame, run: Callable[[DataFrame], DataFrame],
     return kept
 
 
-def issue_branches(issues: DataFrame, elements: DataFrame, citations: DataFrame, corpus: DataFrame, search: Callable[[DataFrame], DataFrame], conflicts: DataFrame) -> DataFrame:
+def issue_branches(issues: DataFrame, elements: DataFrame, citations: DataFrame, corpus: DataFrame, search: Callable[[DataFrame], DataFrame], conflicts: DataFrame, logic: DataFrame | None = None) -> DataFrame:
     """One row per issue: its elements by status, citations missing and admitted by a second search, conflict, score, level.
 
     issues: issue_id. elements: issue_id, element_id, status (null: disputed), covered. citations:
     issue_id, article. corpus: article. search maps missing articles to those that a second query
-    finds. conflicts: issue_ids (array). No branch sees another's rows; without issues there is no row.
+    finds. conflicts: issue_ids (array). logic: issue_id, passed, severity of the models' checks; an issue without one
+    has passed. No branch sees another's rows; without issues there is no row.
     """
     told = elements.withColumn("status", F.coalesce("status", F.lit("disputed")))
     share = lambda cond: F.count(F.when(cond, 1))
@@ -112,7 +113,11 @@ def issue_branches(issues: DataFrame, elements: DataFrame, citations: DataFrame,
     numbers = cited.groupBy("issue_id").agg(F.count("*").alias("n_citations"))
     rows = issues.select("issue_id").join(per, "issue_id", "left").join(numbers, "issue_id", "left").join(again, "issue_id", "left")
     counted = [c for c in rows.columns if c.startswith("n_")]
-    rows = ST.in_conflict(rows.na.fill(0, counted), conflicts, "issue_id", "issue_ids").withColumn("severity", F.lit("none"))
+    rows = ST.in_conflict(rows.na.fill(0, counted), conflicts, "issue_id", "issue_ids")
+    if logic is None:
+        rows = rows.withColumn("severity", F.lit("none"))
+    else:
+        rows = ST.logical_check(rows, logic, "issue_id").withColumn("severity", F.when(F.col("passed"), "none").otherwise(F.col("severity")))
     scored = reasoning.confidence(rows, "issue_id")
     return rows.select("issue_id", *counted, "conflict").join(scored, "issue_id")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docmill.functions import vectors
 from docmill.operators import flows, hierarchy, reports as RP, steps as ST
 from docmill.plans.registry import ORACLE_SQL, query
 from docmill.tables import table
@@ -69,6 +70,26 @@ def routes(spark, sf_dir):
     SELECT * EXCLUDE (x), round(x, 6) AS score FROM s""",
 )
 def branches(spark, sf_dir):
+    return issue_rows(spark, sf_dir).drop("level").withColumn("score", F.round("score", 6))
+
+
+BRANCHES_SQL = ORACLE_SQL["issue_branches"]
+
+
+@query(
+    "issue_branches_with_logic",
+    f"""WITH b AS ({BRANCHES_SQL}), l AS (SELECT b.*, greatest(0.0, score - CASE WHEN issue_id % 4 <> 1 THEN 0.0 WHEN issue_id % 3 = 0 THEN 0.1 WHEN issue_id % 3 = 1 THEN 0.05 ELSE 0.0 END) AS s FROM b)
+    SELECT issue_id, round(s, 6)::DOUBLE AS score, CASE WHEN round(s, 6) >= 0.75 THEN 'high' WHEN round(s, 6) >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM l""",
+)
+def branches_with_logic(spark, sf_dir):
+    """Half of the issues were checked for logic, and half of those failed with a severity of none, minor or major."""
+    severity = F.get(F.array(F.lit("major"), F.lit("minor"), F.lit("none")), (F.col("o_orderkey") % 3).cast("int"))
+    checked = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("issue_id"), (F.col("o_orderkey") % 4 != 1).alias("passed"), severity.alias("severity"))
+    found = issue_rows(spark, sf_dir, checked).withColumn("score", F.round("score", 6))
+    return found.select("issue_id", "score", vectors.level(F.col("score"), 0.75, 0.45).alias("level"))
+
+
+def issue_rows(spark, sf_dir, logic=None):
     lines = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "R", "unsupported").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 40), "insufficient_evidence").when(F.col("l_returnflag") == "N", "supported")
     elements = lines.select(F.col("l_orderkey").alias("issue_id"), F.col("l_linenumber").alias("element_id"), status.alias("status"), (F.col("l_linestatus") == "O").alias("covered"))
@@ -76,8 +97,7 @@ def branches(spark, sf_dir):
     second = lambda missing: missing.join(parts.filter("p_size % 2 = 0"), "article", "left_semi")
     orders = table(spark, sf_dir, "orders")
     conflicts = orders.groupBy("o_custkey").agg(F.array(F.min("o_orderkey"), F.max("o_orderkey")).alias("issue_ids"), F.count("*").alias("n")).filter("n > 1")
-    found = flows.issue_branches(orders.select(F.col("o_orderkey").alias("issue_id")), elements, lines.select(F.col("l_orderkey").alias("issue_id"), F.col("l_partkey").alias("article")), parts.filter("p_size <= 40"), second, conflicts)
-    return found.drop("level").withColumn("score", F.round("score", 6))
+    return flows.issue_branches(orders.select(F.col("o_orderkey").alias("issue_id")), elements, lines.select(F.col("l_orderkey").alias("issue_id"), F.col("l_partkey").alias("article")), parts.filter("p_size <= 40"), second, conflicts, logic)
 
 
 @query(
