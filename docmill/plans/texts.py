@@ -1,11 +1,14 @@
 """Text operators over documents, pages, conversations and events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docmill.functions import guards as G, text as T
 from docmill.operators import chunking
 from docmill.plans.registry import query
-from docmill.tables import table
+from docmill.sources import index
+from docmill.tables import shared, table
 
 LATIN = r"[A-Za-zÀ-ÿ]"
 #: Stand-ins for class keywords in the invented prose.
@@ -179,3 +182,34 @@ def basename(spark, sf_dir):
 def history(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", T.history_text(F.col("t"), {"user": "U", "assistant": "A"}).alias("history")).filter("history <> ''")
+
+
+@query(
+    "chunk_table_join",
+    r"""WITH p AS (SELECT doc_id, source, lang, trim(unnest(string_split(coalesce(text, ''), chr(10) || chr(10))), ' ') AS p FROM documents)
+    SELECT doc_id, source AS case_id, lang AS doc_type, count(*) AS n_chunks, sum(length(p)) AS n_chars FROM p WHERE p <> '' GROUP BY ALL""",
+)
+def chunk_table_join(spark, sf_dir):
+    """Documents to a table of chunks with their case, joined with the documents' own table by bucket: no shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = chunking.segments(docs, "doc_id", "text").join(docs.select("doc_id", F.col("source").alias("case_id")), "doc_id")
+    kinds = docs.select("doc_id", F.col("source").alias("case_id"), F.col("lang").alias("doc_type"))
+    run = uuid.uuid4().hex
+    held = index.write_chunks(chunks, f"chunks_{run}", f"{shared(spark)}/chunks-{run}", "case_id", "doc_id")
+    known = index.write_chunks(kinds, f"kinds_{run}", f"{shared(spark)}/kinds-{run}", "case_id", "doc_id")
+    met = held.select("doc_id", "case_id", "clean_text").join(known.select("doc_id", "doc_type").hint("merge"), "doc_id")
+    return met.groupBy("doc_id", "case_id", "doc_type").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("clean_text")).alias("n_chars"))
+
+
+@query(
+    "index_changes",
+    """WITH now AS (SELECT source || '/' || doc_id AS path, md5(coalesce(text, '')) AS f FROM documents WHERE doc_id % 10 <> 3), was AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(coalesce(text, '')) END AS f FROM documents WHERE doc_id % 10 <> 4)
+    SELECT path, CASE WHEN was.f IS NULL THEN 'new' WHEN now.f IS NULL THEN 'deleted' WHEN was.f = now.f THEN 'same' ELSE 'changed' END AS change FROM now FULL JOIN was USING (path)""",
+)
+def index_changes(spark, sf_dir):
+    """Documents stand for files; a tenth has come, a tenth has gone, and a seventh is not what it was."""
+    docs = table(spark, sf_dir, "documents")
+    path, print_ = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.md5(F.coalesce("text", F.lit("")))
+    now = docs.filter("doc_id % 10 <> 3").select(path, print_.alias("fingerprint"))
+    was = docs.filter("doc_id % 10 <> 4").select(path, F.when(F.col("doc_id") % 7 == 0, "old").otherwise(print_).alias("fingerprint"))
+    return index.changes(was, now)

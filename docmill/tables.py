@@ -13,18 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: written to the folder that executors share (spark.checkpoint.dir), where one is set.
-
-    Loops use it, so that a step's result is not computed again by each step after it.
-    """
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset on one machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docmill-"))
         where = spark.sparkContext.getCheckpointDir()
-    path = f"{where}/settled-{uuid.uuid4().hex}"
+    return where
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: written to the folder that executors share (spark.checkpoint.dir), where one is set.
+
+    Loops use it, so that a step's result is not computed again by each step after it.
+    """
+    path = f"{shared(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
