@@ -44,9 +44,11 @@ def could_match(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, c
 
     A ratio is at most twice the number of shared letters over both lengths. Every text is indexed once by its letters' counts;
     shared letters are then bounded by the sum of each class's smaller count, in one compiled expression for each pair.
+    Titles that repeat in a case count once, at their first pos.
     """
-    held = titles.filter(F.coalesce(title, F.lit("")) != "").select(case, title, pos, letters(F.col(title)).alias("_b"))
-    equal = held.groupBy(case, title).agg(F.min(pos).alias(pos)).join(asked.withColumn(title, F.col(candidate)), [case, title]).select(*asked.columns, title, pos)
+    once = titles.filter(F.coalesce(title, F.lit("")) != "").groupBy(case, title).agg(F.min(pos).alias(pos))
+    held = once.withColumn("_b", letters(F.col(title)))
+    equal = once.join(asked.withColumn(title, F.col(candidate)), [case, title]).select(*asked.columns, title, pos)
     open_ones = asked.join(equal.select(asked_id), asked_id, "left_anti").withColumn("_a", letters(F.col(candidate)))
     pairs = open_ones.join(held, case)
     both = F.char_length(candidate) + F.char_length(title)
@@ -58,14 +60,17 @@ def could_match(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, c
 def fuzzy_titles(asked: DataFrame, titles: DataFrame, case: str, asked_id: str, candidate: str, title: str, pos: str, least: float = 0.5) -> DataFrame:
     """asked_id, title, ratio: each candidate's most similar title of its case, the first of equal ones, or null.
 
-    Only the titles of the same case are compared, and of those Python sees the ones that could_match.
+    Only the titles of the same case are compared, and of those Python sees the ones that could_match. Candidates that
+    repeat in a case are compared once for all of them, so copies of either side make no more pairs.
     """
     ship(asked.sparkSession)
-    pairs = could_match(asked, titles, case, asked_id, candidate, title, pos, least)
+    said = asked.select(case, candidate).distinct().withColumn("_said", F.struct(case, candidate))
+    pairs = could_match(said, titles, case, "_said", candidate, title, pos, least)
     differ = F.when(F.col(candidate) != F.col(title), F.col(candidate))
     scored = pairs.withColumn("ratio", F.when(F.col(candidate) == F.col(title), 1.0).otherwise(_similarity()(differ, F.col(title))))
-    best = scored.groupBy(asked_id).agg(F.max(F.struct("ratio", (-F.col(pos)).alias("p"), title)).alias("_b"))
-    found = asked.select(asked_id).join(best, asked_id, "left")
+    best = scored.groupBy(case, candidate).agg(F.max(F.struct("ratio", (-F.col(pos)).alias("p"), title)).alias("_b"))
+    by_id = asked.join(best, [case, candidate]).groupBy(asked_id).agg(F.max("_b").alias("_b"))
+    found = asked.select(asked_id).join(by_id, asked_id, "left")
     enough = F.col("_b.ratio") >= least
     return found.select(asked_id, F.when(enough, F.col(f"_b.{title}")).alias(title), F.when(enough, F.col("_b.ratio")).alias("ratio"))
 

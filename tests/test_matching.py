@@ -12,6 +12,22 @@ def test_fuzzy_titles(spark):
     assert got == {1: ("claim", 0.889), 2: (None, None), 3: (None, None), 4: ("expert report", 0.889), 5: (None, None)}
 
 
+def test_copies_of_titles_and_candidates_make_no_more_pairs(spark):
+    names = ["large ring", "large bolt", "small ring", None, ""]
+    said = ["large rimg", "small ring", "smoll bolt", "qqq", None]
+    one = lambda xs, of: spark.createDataFrame([("c", x, i * len(xs) + j) for i in range(of) for j, x in enumerate(xs)], "case string, text string, n int")
+    frames = lambda of: (one(said, of).withColumnsRenamed({"text": "candidate", "n": "id"}), one(names, of).withColumnsRenamed({"text": "title", "n": "pos"}))
+    args = ("case", "id", "candidate", "title", "pos")
+    sizes = [M.could_match(asked.dropDuplicates(["case", "candidate"]), titles, *args).count() for asked, titles in (frames(1), frames(20))]
+    assert sizes[0] == sizes[1]
+    plain = {r.id: (r.title, r.ratio) for r in M.fuzzy_titles(*frames(1), *args).collect()}
+    many = {r.id: (r.title, r.ratio) for r in M.fuzzy_titles(*frames(20), *args).collect()}
+    assert many == {i: plain[i % 5] for i in range(100)} and plain[1] == ("small ring", 1.0) and plain[3] == (None, None)
+    twice = spark.createDataFrame([("c", 1, "small ring"), ("c", 1, "large bolx"), ("c", 2, "large bolx")], "case string, id int, candidate string")
+    found = sorted((r.id, r.title) for r in M.fuzzy_titles(twice, frames(1)[1], *args).collect())
+    assert found == [(1, "small ring"), (1, "small ring"), (2, "large bolt")]
+
+
 def test_defendant_ranks(spark):
     who, memo = "المدعى عليه", "مذكرة دفاع"
     rows = [
