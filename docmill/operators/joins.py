@@ -1,10 +1,12 @@
-"""[extension] Joins by time and by range, as equi-joins: no nested loops, no task for a hot key."""
+"""[extension] Joins by time and by range, as equi-joins: no nested loops, no task for a hot key; what ranges hold, counted without pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.tables import settled
+
 
 def _slice(ts: Column, borders: list) -> Column:
     """How many borders lie at or below ts."""
@@ -64,3 +66,38 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str
     looked = looked.withColumn("_bin", F.floor(F.col(at).cast("double") / width(F.col("_level"))).cast("long"))
     met = looked.join(placed, ["_level", "_bin"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
     return met.drop("_level", "_bin")
+
+
+def counted_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+    """Each range that holds a point (both ends included), with n, the number of its points, and least and most, the first and last of them.
+
+    No pair of a point and a range is made: the different values of points and ends are sorted once, by ranges that are counted by
+    themselves and shifted by what lies before them. Every value then knows how many points lie up to it and the
+    nearest ones, and a range looks up its two ends. Empty ranges (high below low) and nulls hold nothing.
+    """
+    kind = points.schema[at].dataType
+    ends = ranges.select(F.col(low).alias("_v")).unionByName(ranges.select(F.col(high).alias("_v"))).withColumn("_n", F.lit(0))
+    values = points.select(F.col(at).alias("_v"), F.lit(1).alias("_n")).unionByName(ends).filter("_v is not null")
+    once = values.groupBy("_v").agg(F.sum("_n").alias("_n"))
+    shares = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a second shuffle would draw other ranges
+    held = settled(once.repartitionByRange(shares, "_v").withColumn("_share", F.spark_partition_id()))
+    point = F.when(F.col("_n") > 0, F.col("_v"))
+    sums = held.groupBy("_share").agg(F.sum("_n").alias("_sum"), F.min(point).alias("_first"), F.max(point).alias("_last"))
+    before = Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("_share")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = sums.select("_share", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.max("_last").over(before).alias("_last"), F.min("_first").over(after).alias("_first"))
+    up = Window.partitionBy("_share").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_share").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = held.select("_share", "_v", "_n", F.sum("_n").over(up).alias("_upto"), F.max(point).over(up).alias("_below"), F.min(point).over(down).alias("_above"))
+    marks = run.join(beside, "_share").select(
+        "_v",
+        (F.col("_before") + F.col("_upto")).alias("_upto"),
+        (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_less"),
+        F.coalesce("_below", "_last").cast(kind).alias("most"),
+        F.coalesce("_above", "_first").cast(kind).alias("least"),
+    )
+    wide = once.schema["_v"].dataType
+    begun = ranges.withColumn("_v", F.col(low).cast(wide)).join(marks.select("_v", "_less", "least"), "_v").drop("_v")
+    ended = begun.withColumn("_v", F.col(high).cast(wide)).join(marks.select("_v", "_upto", "most"), "_v")
+    return ended.select(*ranges.columns, (F.col("_upto") - F.col("_less")).alias("n"), "least", "most").filter("n > 0")

@@ -43,6 +43,33 @@ def test_ranges_of_very_different_lengths(spark):
     assert joins.in_ranges(p, r.limit(0), "at", "low", "high").count() == 0 and placed == 300
 
 
+def test_ranges_are_counted_without_pairs(spark):
+    rng = random.Random(5)
+    value = lambda: float(rng.randrange(60))
+    points = [value() for _ in range(400)] + [None, 70.5, -70.5]
+    ranges = [(i, low := value(), low + rng.choice([0.0, 0.5, 3.0, 40.0])) for i in range(200)]
+    ranges += [(300, 8.0, 7.0), (301, None, 3.0), (302, 3.0, None), (303, -1e9, 1e9), (304, 61.0, 70.0), (305, 80.0, 90.0), (303, -1e9, 1e9)]
+    p, r = spark.createDataFrame([(x,) for x in points], "at double"), spark.createDataFrame(ranges, "r long, low double, high double")
+    want = []
+    for i, a, b in ranges:
+        if a is not None and b is not None and (own := [x for x in points if x is not None and a <= x <= b]):
+            want.append((i, len(own), min(own), max(own)))
+    held = lambda p, r: sorted((x.r, x.n, x.least, x.most) for x in joins.counted_ranges(p, r, "at", "low", "high").collect())
+    assert held(p, r) == sorted(want) and len(want) > 150
+    assert held(p.limit(0), r) == held(p, r.limit(0)) == []
+    whole = held(p.filter("at = floor(at)").selectExpr("cast(at AS int) AS at"), r)
+    assert [x[0] for x in whole] == [x[0] for x in sorted(want)] and isinstance(whole[0][2], int)
+
+
+def test_a_range_join_reads_every_row_a_few_times(spark):
+    """3,000 points in each of 3,000 ranges: nine million pairs, of which none is made."""
+    p, r = spark.range(3000).selectExpr("id AS at"), spark.range(3000).selectExpr("id AS r", "-id AS low", "3000 + id AS high")
+    out = joins.counted_ranges(p, r, "at", "low", "high")
+    assert {(x.n, x.least, x.most) for x in out.collect()} == {(3000, 0, 2999)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Generate" not in plan
+
+
 def test_peeling_of_many_plans(spark):
     rng = random.Random(3)
     steps = []
