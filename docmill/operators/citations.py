@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text
+from docmill.tables import dealt
 
 
 def check(answers: DataFrame, available: DataFrame, key: str, answer: str, number: str, pattern: str = text.ARTICLE) -> DataFrame:
@@ -25,14 +26,16 @@ def unverified(cited: DataFrame, known: list[DataFrame], keys: list[str]) -> Dat
     return cited.select(*keys).distinct().join(every, keys, "left_anti")
 
 
-def verified_counts(cited: DataFrame, available: DataFrame, key: str, number: str) -> DataFrame:
-    """key, total, verified and the missing numbers in order."""
-    have = available.select(key, number).distinct().withColumn("_ok", F.lit(True))
-    joined = cited.select(key, number).distinct().join(have, [key, number], "left")
-    return joined.groupBy(key).agg(
+def verified_counts(cited: DataFrame, available: DataFrame, key: str, number: str, n_tasks: int | None = None) -> DataFrame:
+    """key, total, verified and the missing numbers in order. n_tasks: how many tasks take the rows of both."""
+    every = cited.select(key, number, F.lit(True).alias("_cited"), F.lit(False).alias("_ok"))
+    have = available.select(key, number).filter(F.col(key).isNotNull() & F.col(number).isNotNull())
+    both = dealt(every.unionByName(have.select(key, number, F.lit(False).alias("_cited"), F.lit(True).alias("_ok"))), n_tasks, key)
+    each = both.groupBy(key, number).agg(F.bool_or("_cited").alias("_cited"), F.bool_or("_ok").alias("_ok")).filter("_cited")
+    return each.groupBy(key).agg(
         F.count("*").alias("total"),
-        F.count_if(F.col("_ok").isNotNull()).alias("verified"),
-        F.array_sort(F.collect_list(F.when(F.col("_ok").isNull(), F.col(number)))).alias("missing"),
+        F.count_if("_ok").alias("verified"),
+        F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.col(number)))).alias("missing"),
     )
 
 

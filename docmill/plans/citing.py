@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.operators import citations as C
 from docmill.plans.registry import query
-from docmill.tables import table
+from docmill.tables import table, tasks
 
 # An answer cites as articles its order's parts (mod 97) and the order's own number (mod 7), which was not retrieved.
 ANSWERS = """a AS (SELECT l_orderkey, min(l_partkey % 97)::INT AS lo, max(l_partkey % 97)::INT AS hi, (l_orderkey % 7 + 100)::INT AS bad FROM lineitem GROUP BY l_orderkey)"""
@@ -48,7 +48,7 @@ def scrub(spark, sf_dir):
 )
 def verified(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    out = C.verified_counts(lines, lines.filter("l_quantity > 10"), "l_orderkey", "l_partkey")
+    out = C.verified_counts(lines, lines.filter("l_quantity > 10"), "l_orderkey", "l_partkey", n_tasks=2 * tasks(lines))
     return out.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
 

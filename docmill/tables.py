@@ -8,11 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a task takes of a table which is grouped by a key.
+ROWS_A_TASK = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark's readers accept."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(rows: DataFrame) -> int:
+    """How many tasks take a table's rows at ROWS_A_TASK each, or the session's number of shuffle partitions if that is more.
+
+    Rows of a Parquet table are counted from its footers. A fixed number of tasks would need the more memory each the more rows there are.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """df dealt by its keys to n tasks; as it is where no number is given."""
+    return df if n is None else df.repartition(n, *keys)
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset on one machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
