@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import vectors
+from docmill.tables import dealt
 
 # How much each signal of an issue takes from its confidence, and where levels begin.
 WEIGHTS = {
@@ -93,11 +94,13 @@ def shared_entity_pairs(df: DataFrame, issue: str, entity: str, least: int = 2)
     return pairs.select("issue_a", "issue_b", F.size("both").cast("long").alias("n_shared"), F.slice("both", 1, 5).alias("shared")).filter(F.col("n_shared") >= least)
 
 
-def completeness(required: DataFrame, covered: DataFrame, key: str, element: str) -> DataFrame:
-    """key, n_required, n_covered, ratio (null if nothing is required)."""
-    have = covered.select(key, element).distinct().withColumn("_ok", F.lit(1))
-    joined = required.select(key, element).distinct().join(have, [key, element], "left")
-    counted = joined.groupBy(key).agg(F.count("*").alias("n_required"), F.count("_ok").alias("n_covered"))
+def completeness(required: DataFrame, covered: DataFrame, key: str, element: str, n_tasks: int | None = None) -> DataFrame:
+    """key, n_required, n_covered, ratio (null if nothing is required). n_tasks: how many tasks take the rows of both."""
+    every = required.select(key, element, F.lit(True).alias("_asked"), F.lit(False).alias("_ok"))
+    have = covered.select(key, element).filter(F.col(key).isNotNull() & F.col(element).isNotNull())
+    both = dealt(every.unionByName(have.select(key, element, F.lit(False).alias("_asked"), F.lit(True).alias("_ok"))), n_tasks, key)
+    each = both.groupBy(key, element).agg(F.bool_or("_asked").alias("_asked"), F.bool_or("_ok").alias("_ok")).filter("_asked")
+    counted = each.groupBy(key).agg(F.count("*").alias("n_required"), F.count_if("_ok").alias("n_covered"))
     return counted.withColumn("ratio", F.try_divide(F.col("n_covered"), F.col("n_required")))
 
 

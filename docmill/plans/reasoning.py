@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docmill.operators import graphs
 from docmill.operators import reasoning as R
 from docmill.plans.registry import query
-from docmill.tables import table
+from docmill.tables import table, tasks
 
 #: Each order is a plan, each of its lines a step; what a step needs follows from its part and supplier.
 STEPS_SQL = """g AS (SELECT l_orderkey AS plan_id, l_linenumber AS n, min(l_partkey) AS a, min(l_suppkey) AS b, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
@@ -89,7 +89,7 @@ def shared_pairs(spark, sf_dir):
 )
 def completeness(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    out = R.completeness(lines, lines.filter("l_returnflag = 'N'"), "l_orderkey", "l_partkey")
+    out = R.completeness(lines, lines.filter("l_returnflag = 'N'"), "l_orderkey", "l_partkey", n_tasks=2 * tasks(lines))
     return out.withColumn("ratio", F.round("ratio", 6))
 
 

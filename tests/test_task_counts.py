@@ -27,3 +27,12 @@ def test_verified_counts_take_more_tasks_for_more_rows(spark, monkeypatch):
     known = spark.createDataFrame([(1, 7), (2, 9), (4, 1), (3, None), (None, 5)], "k int, n int")
     got = {r.k: (r.total, r.verified, r.missing) for r in citations.verified_counts(cited, known, "k", "n", n_tasks=3).collect()}
     assert got == {1: (2, 1, [5]), 2: (1, 0, [5]), 3: (1, 0, []), None: (1, 0, [5])}
+
+
+@tables_here
+def test_completeness_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    assert min(task_counts(spark, monkeypatch, "completeness_ratio")) >= 50
+    asked = spark.createDataFrame([(1, 5), (1, 5), (1, 7), (2, 5), (3, None), (None, 5)], "k int, n int")
+    known = spark.createDataFrame([(1, 7), (2, 9), (4, 1), (3, None), (None, 5)], "k int, n int")
+    got = {r.k: (r.n_required, r.n_covered, r.ratio) for r in reasoning.completeness(asked, known, "k", "n", n_tasks=3).collect()}
+    assert got == {1: (2, 1, 0.5), 2: (1, 0, 0.0), 3: (1, 0, 0.0), None: (1, 0, 0.0)}
