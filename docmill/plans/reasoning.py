@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docmill.operators import graphs
 from docmill.operators import reasoning as R
 from docmill.plans.registry import query
-from docmill.tables import table, tasks
+from docmill.tables import dealt, table, tasks
 
 #: Each order is a plan, each of its lines a step; what a step needs follows from its part and supplier.
 STEPS_SQL = """g AS (SELECT l_orderkey AS plan_id, l_linenumber AS n, min(l_partkey) AS a, min(l_suppkey) AS b, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
@@ -100,7 +100,9 @@ s AS (SELECT issue_id, greatest(0.0, 1.0 - (unsupported / n * 0.25 + disputed /
 
 def issues(spark, sf_dir):
     sev = F.get(F.array(*[F.lit(x) for x in ("none", "minor", "major")]), (F.col("l_orderkey") % 3).cast("int"))
-    got = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey")).agg(
+    lines = table(spark, sf_dir, "lineitem")
+    own = dealt(lines.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount"), tasks(lines), "l_orderkey")
+    got = own.groupBy("l_orderkey").agg(
         F.count("*").alias("n_elements"),
         F.count_if(F.col("l_returnflag") == "R").alias("n_unsupported"),
         F.count_if(F.col("l_returnflag") == "A").alias("n_disputed"),
@@ -121,6 +123,7 @@ def weighted_confidence(spark, sf_dir):
 @query("case_score", f"WITH {ISSUES} SELECT o_custkey, round(0.7 * min(score) + 0.3 * avg(score) + 1e-9, 5) AS case_score FROM s JOIN orders ON issue_id = o_orderkey GROUP BY o_custkey")
 def case_score(spark, sf_dir):
     of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("issue_id"), "o_custkey")
+    of = dealt(of, tasks(table(spark, sf_dir, "lineitem")), "issue_id")
     out = R.case_score(R.confidence(issues(spark, sf_dir)).join(of, "issue_id"), "o_custkey")
     return out.withColumn("case_score", F.round(F.col("case_score") + 1e-9, 5))
 

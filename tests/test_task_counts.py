@@ -36,3 +36,8 @@ def test_completeness_takes_more_tasks_for_more_rows(spark, monkeypatch):
     known = spark.createDataFrame([(1, 7), (2, 9), (4, 1), (3, None), (None, 5)], "k int, n int")
     got = {r.k: (r.n_required, r.n_covered, r.ratio) for r in reasoning.completeness(asked, known, "k", "n", n_tasks=3).collect()}
     assert got == {1: (2, 1, 0.5), 2: (1, 0, 0.0), 3: (1, 0, 0.0), None: (1, 0, 0.0)}
+
+
+@tables_here
+def test_scores_take_more_tasks_for_more_rows(spark, monkeypatch):
+    assert max(task_counts(spark, monkeypatch, "case_score")) >= 50 and min(task_counts(spark, monkeypatch, "weighted_confidence")) >= 50
