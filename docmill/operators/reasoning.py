@@ -41,13 +41,19 @@ def waves(steps: DataFrame, step: str = "step_id", deps: str = "depends_on") ->
     return steps.sparkSession.createDataFrame(done, f"{step} {kind}, wave int"), bool(left)
 
 
-def ready(steps: DataFrame, completed: DataFrame, capped: DataFrame, step: str = "step_id", deps: str = "depends_on") -> DataFrame:
-    """Steps not yet completed nor capped all of whose dependencies are completed; none needed counts too."""
+def ready(steps: DataFrame, completed: DataFrame, capped: DataFrame, step: str = "step_id", deps: str = "depends_on", n_tasks: int | None = None) -> DataFrame:
+    """Steps not yet completed nor capped all of whose dependencies are completed; none needed counts too.
+
+    Needs meet what is completed in one join; what is known of a step then comes together in one grouping. n_tasks: how many tasks take those.
+    """
     each = steps.select(F.col(step).alias("_s"), F.explode_outer(deps).alias("_d"))
-    met = each.join(completed.select(F.col(step).alias("_d")).distinct().withColumn("_ok", F.lit(True)), "_d", "left")
-    able = met.groupBy("_s").agg(F.bool_and(F.col("_d").isNull() | F.col("_ok").isNotNull()).alias("_ready")).filter("_ready")
-    out = able.select(F.col("_s").alias(step))
-    return out.join(completed.select(step), step, "left_anti").join(capped.select(step), step, "left_anti")
+    done = completed.select(F.col(step).alias("_d"))
+    known = dealt(done, n_tasks, "_d").distinct().withColumn("_ok", F.lit(True))
+    free = each.filter("_d is null").select("_s", F.lit(True).alias("_met"), F.lit(False).alias("_out"))
+    met = dealt(each.filter("_d is not null"), n_tasks, "_d").join(known, "_d", "left").select("_s", F.col("_ok").isNotNull().alias("_met"), F.lit(False).alias("_out"))
+    out = done.unionByName(capped.select(F.col(step).alias("_d"))).filter("_d is not null").select(F.col("_d").alias("_s"), F.lit(None).cast("boolean").alias("_met"), F.lit(True).alias("_out"))
+    told = dealt(free.unionByName(met).unionByName(out), n_tasks, "_s").groupBy("_s").agg(F.bool_and("_met").alias("_ready"), F.bool_or("_out").alias("_out"))
+    return told.filter("_ready and not _out").select(F.col("_s").alias(step))
 
 
 def plan_faults(steps: DataFrame, tools: list[str], step: str = "step_id", deps: str = "depends_on") -> DataFrame:

@@ -14,8 +14,9 @@ e AS (SELECT DISTINCT step_id AS s, unnest(deps) AS d FROM steps)"""
 
 
 def steps(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("n"))
-    g = lines.agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+    lines = table(spark, sf_dir, "lineitem")
+    own = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"), tasks(lines), "l_orderkey")
+    g = own.groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
     named = lambda n: F.concat_ws("-", F.col("plan_id").cast("string"), n.cast("string"))
     needs = F.array(F.when((F.col("a") % 3 != 0) & (F.col("n") > 1), named(F.col("n") - 1)), F.when(F.col("b") % 4 == 0, named((F.col("n") + F.col("b")) % 7 + 1)))
     return g.select("plan_id", named(F.col("n")).alias("step_id"), F.array_compact(needs).alias("depends_on"), "flag", "status")
@@ -66,7 +67,7 @@ def plan_faults(spark, sf_dir):
 )
 def ready(spark, sf_dir):
     whole = steps(spark, sf_dir)
-    return R.ready(whole, whole.filter("status = 'F'"), whole.filter("flag = 'R'"))
+    return R.ready(whole, whole.filter("status = 'F'"), whole.filter("flag = 'R'"), n_tasks=2 * tasks(table(spark, sf_dir, "lineitem")))
 
 
 @query("shared_article_groups", "SELECT l_partkey, count(DISTINCT l_orderkey) AS n_issues, min(l_orderkey) AS first_issue, max(l_orderkey) AS last_issue FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")

@@ -41,3 +41,12 @@ def test_completeness_takes_more_tasks_for_more_rows(spark, monkeypatch):
 @tables_here
 def test_scores_take_more_tasks_for_more_rows(spark, monkeypatch):
     assert max(task_counts(spark, monkeypatch, "case_score")) >= 50 and min(task_counts(spark, monkeypatch, "weighted_confidence")) >= 50
+
+
+@tables_here
+def test_ready_steps_take_more_tasks_for_more_rows(spark, monkeypatch):
+    assert min(task_counts(spark, monkeypatch, "ready_steps")) >= 50
+    steps = spark.createDataFrame([("a", None), ("b", []), ("c", ["a"]), ("d", ["a", "b"]), ("e", ["x"]), ("f", ["a", "a"]), ("g", [None, "b"])], "step_id string, depends_on array<string>")
+    done, capped = spark.createDataFrame([("a",), ("a",), ("z",)], "step_id string"), spark.createDataFrame([("f",)], "step_id string")
+    for n in (None, 3):
+        assert sorted(r.step_id for r in reasoning.ready(steps, done, capped, n_tasks=n).collect()) == ["b", "c"]
