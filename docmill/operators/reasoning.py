@@ -82,24 +82,34 @@ def shared_keys(df: DataFrame, issue: str, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(issue).alias("n_issues"), F.min(issue).alias("first_issue"), F.max(issue).alias("last_issue")).filter("n_issues > 1")
 
 
-def shared_entity_pairs(df: DataFrame, issue: str, entity: str, least: int = 2) -> DataFrame:
+def shared_entity_pairs(df: DataFrame, issue: str, entity: str, least: int = 2, n_tasks: int | None = None) -> DataFrame:
     """issue_a, issue_b, n_shared, shared (the first five, in order) of pairs with at least `least` entities in common.
 
-    Entities of one issue only can't make a pair and are dropped first. Each issue's entities are
-    ordered from the rarest; two issues that share `least` of them share one that is among all but
-    the last least - 1 of either, so the most frequent ones make no candidates.
+    What two issues share is gathered from their meetings; no list of entities moves along with them. n_tasks: how many tasks take the rows of df.
     """
-    one = df.select(F.col(issue).alias("i"), F.col(entity).alias("e")).distinct()
-    useful = one.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = one.join(useful, "e").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("s"))
-    sets = kept.filter(F.size("s") >= least).select("i", F.transform("s", lambda x: x["e"]).alias("es"))
-    early = sets.select("i", "es", F.explode(F.slice("es", F.lit(1), F.size("es") - (least - 1))).alias("e"))
-    a, b = (early.select("e", F.col("i").alias(f"issue_{x}"), F.col("es").alias(x)) for x in "ab")
-    met = a.join(b, "e").filter("issue_a < issue_b").dropDuplicates(["issue_a", "issue_b"])
-    pairs = met.select("issue_a", "issue_b", F.array_sort(F.array_intersect("a", "b")).alias("both"))
+    met = meetings(df, issue, entity, least, n_tasks)
+    keys = [c for c in ("e", "f") if c in met.columns]
+    pairs = dealt(met, n_tasks, "issue_a", "issue_b").groupBy("issue_a", "issue_b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*keys))))).alias("both"))
     return pairs.select("issue_a", "issue_b", F.size("both").cast("long").alias("n_shared"), F.slice("both", 1, 5).alias("shared")).filter(F.col("n_shared") >= least)
 
 
+def meetings(df: DataFrame, issue: str, entity: str, least: int = 2, n_tasks: int | None = None) -> DataFrame:
+    """Pairs of issues (issue_a < issue_b) under each two entities (e < f) that both have; under each single one (e) for a `least` of 1.
+
+    An issue of k entities is indexed k (k - 1) / 2 times, and meets only issues that share two for certain.
+    """
+    one = dealt(df.select(F.col(issue).alias("i"), F.col(entity).alias("e")).filter("i is not null and e is not null"), n_tasks, "i")
+    sets = one.groupBy("i").agg(F.sort_array(F.collect_set("e")).alias("s")).filter(F.size("s") >= least)
+    if least < 2:
+        keys, index = ["e"], sets.select(F.explode("s").alias("e"), "i")
+    else:
+        firsts = sets.select("i", "s", F.posexplode("s").alias("at", "e"))
+        keys, index = ["e", "f"], firsts.select("e", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("f"), "i")
+    index = dealt(index, n_tasks and 2 * n_tasks, *keys)
+    a, b = (index.withColumnRenamed("i", f"issue_{x}") for x in "ab")
+    return a.join(b, keys).filter("issue_a < issue_b")
+
+
 def completeness(required: DataFrame, covered: DataFrame, key: str, element: str, n_tasks: int | None = None) -> DataFrame:
     """key, n_required, n_covered, ratio (null if nothing is required). n_tasks: how many tasks take the rows of both."""
     every = required.select(key, element, F.lit(True).alias("_asked"), F.lit(False).alias("_ok"))

@@ -80,7 +80,8 @@ def shared_groups(spark, sf_dir):
     """WITH e AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS e FROM lineitem) SELECT a.i AS issue_a, b.i AS issue_b, count(*) AS n_shared, list_aggregate(list_sort(list(a.e))[1:5]::VARCHAR[], 'string_agg', ',') AS shared FROM e a JOIN e b ON a.e = b.e AND a.i < b.i GROUP BY ALL HAVING count(*) >= 2""",
 )
 def shared_pairs(spark, sf_dir):
-    pairs = R.shared_entity_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = R.shared_entity_pairs(lines, "l_orderkey", "l_partkey", n_tasks=tasks(lines))
     return pairs.withColumn("shared", F.array_join(F.col("shared").cast("array<string>"), ","))
 
 

@@ -50,3 +50,17 @@ def test_ready_steps_take_more_tasks_for_more_rows(spark, monkeypatch):
     done, capped = spark.createDataFrame([("a",), ("a",), ("z",)], "step_id string"), spark.createDataFrame([("f",)], "step_id string")
     for n in (None, 3):
         assert sorted(r.step_id for r in reasoning.ready(steps, done, capped, n_tasks=n).collect()) == ["b", "c"]
+
+
+@tables_here
+def test_issues_meet_only_where_they_share_enough(spark, monkeypatch):
+    """300 issues that all have one entity in common, and two pairs that have more."""
+    assert max(task_counts(spark, monkeypatch, "shared_entity_pairs")) >= 50
+    rows = [(i, e) for i in range(300) for e in (0, 1000 + i // 2 if i < 4 else 2000 + i, None)] + [(0, 7), (1, 7), (0, 7), (None, 0)]
+    df = spark.createDataFrame(rows, "i int, e int")
+    assert reasoning.meetings(df, "i", "e").count() == 4
+    for n in (None, 3):
+        got = sorted((r.issue_a, r.issue_b, r.n_shared, r.shared) for r in reasoning.shared_entity_pairs(df, "i", "e", n_tasks=n).collect())
+        assert got == [(0, 1, 3, [0, 7, 1000]), (2, 3, 2, [0, 1001])]
+    assert [(r.issue_a, r.issue_b) for r in reasoning.shared_entity_pairs(df, "i", "e", 3).collect()] == [(0, 1)]
+    assert reasoning.shared_entity_pairs(df, "i", "e", 1).count() == 300 * 299 // 2
