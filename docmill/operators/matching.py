@@ -64,8 +64,8 @@ def fuzzy_titles(asked: DataFrame, titles: DataFrame, case: str, asked_id: str,
     repeat in a case are compared once for all of them, so copies of either side make no more pairs.
     """
     ship(asked.sparkSession)
-    said = asked.select(case, candidate).distinct().withColumn("_said", F.struct(case, candidate))
-    pairs = could_match(said, titles, case, "_said", candidate, title, pos, least)
+    said = asked.select(case, candidate).distinct().withColumn("_copies", F.struct(case, candidate))
+    pairs = could_match(said, titles, case, "_copies", candidate, title, pos, least)
     differ = F.when(F.col(candidate) != F.col(title), F.col(candidate))
     scored = pairs.withColumn("ratio", F.when(F.col(candidate) == F.col(title), 1.0).otherwise(_similarity()(differ, F.col(title))))
     best = scored.groupBy(case, candidate).agg(F.max(F.struct("ratio", (-F.col(pos)).alias("p"), title)).alias("_b"))
