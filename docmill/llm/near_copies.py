@@ -13,7 +13,9 @@ there. The members of all other large
 postings are joined exactly, by prefix filtering: each text's shingles are ordered from the rarest
 among them to the most frequent; two texts of Jaccard similarity s must share one of the first
 n - ceil(s n) + 1 shingles of the longer and of the first n - ceil(2 s n / (1 + s)) + 1 of the
-shorter one. Pairs of one label are left out, postings of one label too, and in the others what has
+shorter one. They share nothing before the first shingle that they share, so the rest of either text
+from there on must be enough for s; a text with too many shingles of its own meets nobody under the
+frequent ones. Pairs of one label are left out, postings of one label too, and in the others what has
 the most frequent label is compared with the rest only. So no partner is left out for the size of a
 posting, and no group is gathered in one task.
 
@@ -138,7 +140,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, text_col: str) -> DataFr
     named = lambda d, x: d.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "t", "c", "n", "early", "at")])
     both = named(live.filter("c <> main"), "u").join(named(live, "v").hint("merge"), "h")
     overlap = F.ceil((F.col("n_u") + F.col("n_v")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    most = F.least("at_u", "at_v") + 1 + F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) - 1
+    # two texts need to meet only at the first shingle that they share, and share nothing before it
+    most = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
     near = (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * SIMILARITY - 1e-9) & (most >= overlap)
     shorter = (F.col("early_u") & (F.col("n_u") <= F.col("n_v"))) | (F.col("early_v") & (F.col("n_v") <= F.col("n_u")))
     return both.filter((F.col("c_u") != F.col("c_v")) & near & shorter).select(

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from docmill.llm import near_copies, simhash
 from docmill.llm.components import components
@@ -64,3 +66,22 @@ def test_dense_postings_lose_no_component(spark, monkeypatch):
     found = {r.node: r.component for r in components(near_copies.links(sketches, df)).collect()}
     assert {i: found.get(i, i) for i in sets} == {i: end(i) for i in sets}
     assert 1 < len({end(i) for i in sets}) < len(sets)
+
+
+def test_the_prefix_join_meets_similar_texts_and_few_others(spark):
+    """Edits of one text of several lengths: those of 8 or more edits are like no other, though most of their shingles are shared."""
+    pick = random.Random(13)
+    body, texts = [f"w{pick.randrange(9000)}" for _ in range(300)], []
+    for i in range(60):
+        words = list(body)
+        n_edits = i % 12
+        for j, at in enumerate(pick.sample(range(6, 280, 6), n_edits)):
+            words[at] = f"own{i}x{j}" if j else f"both{i // 24}"
+        texts.append((i, " ".join(words[: 300 - i % 7 * (n_edits < 6)])))
+    sets = {i: near_copies.shingles(t) for i, t in texts}
+    want = {(a, b) for a in sets for b in sets if a < b and near_copies.similar(sets[a], sets[b])}
+    df = docs(spark, texts)
+    members = df.select(F.col("doc_id").alias("node"), near_copies.digest("text").alias("t"), F.col("doc_id").alias("c"))
+    rows = [tuple(sorted((r.u, r.v))) for r in near_copies._prefix_pairs(members, df, "text").collect()]
+    assert len(want) > 100 and want <= set(rows)
+    assert sum(p[0] % 12 >= 8 or p[1] % 12 >= 8 for p in rows) <= 5
