@@ -6,7 +6,7 @@ from docmill.operators import citations as CI
 from docmill.operators import reports as R
 from docmill.operators import steps as ST
 from docmill.plans.registry import query
-from docmill.tables import table
+from docmill.tables import dealt, table, tasks
 
 ROLES = (R.FACTS, R.REQUESTS, R.DEFENCES, R.DOCUMENTS, R.LEGAL, R.UNKNOWN)
 ROLES_SQL = "[" + ", ".join(f"'{r}'" for r in ROLES) + "]"
@@ -44,7 +44,10 @@ def fallback_briefs(spark, sf_dir):
 def raw_summaries(spark, sf_dir):
     kind = F.get(F.array(F.lit("agreed"), F.lit("disputed"), F.lit("party_specific")), F.col("l_linenumber") % 3)
     party, text = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
-    items = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    # lines move as they are, which is less than what is written of them
+    own = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"), tasks(lines), "l_orderkey")
+    items = own.select(
         F.col("l_orderkey").alias("k"),
         kind.alias("kind"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("pos"),

@@ -64,3 +64,10 @@ def test_issues_meet_only_where_they_share_enough(spark, monkeypatch):
         assert got == [(0, 1, 3, [0, 7, 1000]), (2, 3, 2, [0, 1001])]
     assert [(r.issue_a, r.issue_b) for r in reasoning.shared_entity_pairs(df, "i", "e", 3).collect()] == [(0, 1)]
     assert reasoning.shared_entity_pairs(df, "i", "e", 1).count() == 300 * 299 // 2
+
+
+@tables_here
+def test_raw_summaries_take_more_tasks_for_more_rows_and_move_them_once(spark, monkeypatch):
+    assert min(task_counts(spark, monkeypatch, "raw_summaries")) >= 50
+    plan = catalogue.QUERIES["raw_summaries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
