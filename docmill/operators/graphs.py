@@ -36,16 +36,17 @@ def peeled(steps: DataFrame, step: str, deps: str) -> DataFrame:
 
 
 def looped(steps: DataFrame, step: str, deps: str) -> DataFrame:
-    """The steps on a cycle, or between two cycles: what is left when both the steps that need nothing
-    and those that nothing needs are peeled off. Needs that are not there make no cycle."""
-    known = steps.select(F.col(step).alias("_d")).distinct()
-    edges = steps.select(F.col(step).alias("_s"), F.explode(deps).alias("_d")).distinct().join(known, "_d", "left_semi")
-    stuck = peeled(_listed(edges, "_s", "_d", known), "_s", "_n").filter("wave is null").select("_s")
-    inner = edges.join(stuck, "_s", "left_semi").join(stuck.select(F.col("_s").alias("_d")), "_d", "left_semi")
-    back = _listed(inner, "_d", "_s", stuck.select(F.col("_s").alias("_d")))
-    return peeled(back, "_d", "_n").filter("wave is null").select(F.col("_d").alias(step))
-
-
-def _listed(edges: DataFrame, end: str, other: str, every: DataFrame) -> DataFrame:
-    each = every.select(F.col(every.columns[0]).alias(end))
-    return each.join(edges.groupBy(end).agg(F.collect_list(other).alias("_n")), end, "left")
+    """The steps on a cycle, or between two cycles. Needs that are not there make no cycle.
+
+    Round by round those edges go whose needed step needs nothing (or is not there), and those whose step nothing needs, so a
+    chain goes from both ends at once. A round moves the edges that are left, not the steps, and not what has gone.
+    """
+    left = settled(steps.select(F.col(step).alias("_s"), F.explode(deps).alias("_d")).distinct())
+    n = left.count()
+    while n:
+        needing, needed = left.select(F.col("_s").alias("_d")).distinct(), left.select(F.col("_d").alias("_s")).distinct()
+        left = settled(left.join(needing, "_d", "left_semi").join(needed, "_s", "left_semi"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select(F.col("_s").alias(step)).distinct()

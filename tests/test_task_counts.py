@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from docmill import tables
-from docmill.operators import citations, reasoning
+from docmill.operators import citations, graphs, reasoning
 from docmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,14 @@ def test_raw_summaries_take_more_tasks_for_more_rows_and_move_them_once(spark, m
     assert min(task_counts(spark, monkeypatch, "raw_summaries")) >= 50
     plan = catalogue.QUERIES["raw_summaries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_rounds_of_the_cycle_search_move_edges_that_are_left(spark, monkeypatch):
+    """100 steps that need nothing, a chain of 8 and a cycle of 2 that the chain ends in: 9 edges move, then fewer."""
+    moved, settled = [], graphs.settled
+    monkeypatch.setattr(graphs, "settled", lambda df: moved.append(out := settled(df)) or out)
+    rows = [(f"x{i}", []) for i in range(100)] + [(f"c{i}", [f"c{i + 1}", "nowhere"]) for i in range(7)] + [("c7", ["a"]), ("a", ["b", "b"]), ("b", ["a", None])]
+    df = spark.createDataFrame(rows, "step_id string, depends_on array<string>")
+    assert sorted(r.step_id for r in graphs.looped(df, "step_id", "depends_on").collect()) == ["a", "b"]
+    counts = [d.count() for d in moved]
+    assert counts[0] <= 18 and counts[-1] == 2 and counts == sorted(counts, reverse=True) and len(counts) <= 12
