@@ -136,12 +136,12 @@ def summarise(chunks: DataFrame, roles: DataFrame, kinds: DataFrame, themes: Dat
     keyed = lambda d, c: d.select(key.alias("key"), c)
     labelled = ST.answered(said, keyed(roles, "role"), "key", {"role": F.lit(ST.UNKNOWN)}).drop("answered")
     split = ST.split_kind(labelled, keyed(kinds, "kind"), "key").drop("answered")
-    split = split.withColumn("case", F.struct("case_id"))  # a null case is a case
-    parties = split.groupBy("case").agg((F.count_distinct("party") > 1).alias("several"))
-    split = split.join(parties, "case").withColumn("kind", F.when(F.col("several"), F.col("kind")).otherwise("party_specific"))
-    grouped = split.withColumn("group", F.struct("case_id", "role"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    told = ST.answered(grouped.join(sizes, "group"), keyed(themes, "theme"), "key", {"theme": F.col("role")})
+    told = ST.answered(split, keyed(themes, "theme"), "key", {"theme": F.col("role")}).drop("answered")
+    # what holds for a case or a role of it is put together first, so that texts move once for it
+    parties = said.groupBy(F.struct("case_id").alias("case")).agg((F.count_distinct("party") > 1).alias("several"))  # a null case is a case
+    group = F.struct("case_id", "role").alias("group")
+    sizes = split.groupBy(group).agg(F.count("*").alias("n")).withColumn("case", F.struct("group.case_id")).join(parties, "case").drop("case")
+    told = told.withColumn("group", group).join(sizes, "group").withColumn("kind", F.when(F.col("several"), F.col("kind")).otherwise("party_specific"))
     theme = F.when(F.col("n") < ST.LEAST_ITEMS_FOR_THEMES, F.col("role")).otherwise(F.col("theme"))
     return told.select("case_id", "role", theme.alias("theme"), "kind", "doc_id", "pos", F.col("text").alias("bullet"))
 
@@ -155,10 +155,9 @@ def brief(bullets: DataFrame, told: DataFrame | None = None) -> DataFrame:
     place = F.struct("doc_id", "pos")
     nobody = F.lit(None).cast("array<struct<party:string,bullets:array<string>>>")
     items = bullets.select(theme, "kind", place.alias("place"), "bullet", F.col("doc_id").cast("string").alias("said_by"), nobody.alias("positions"))
-    raw = reports.raw_summary(items, "key", "kind", "place", "bullet", "said_by", "positions")
     disputed = F.array_sort(F.collect_list(F.when(F.col("kind") == "disputed", F.struct("place", "bullet"))))
-    themes = items.groupBy("key").agg(F.min("place").alias("place"), F.transform(disputed, lambda x: x["bullet"]).alias("disputes")).join(raw, "key")
+    themes = reports.raw_summary(items, "key", "kind", "place", "bullet", "said_by", "positions", F.min("place").alias("place"), F.transform(disputed, lambda x: x["bullet"]).alias("disputes"))
     if told is not None:
         themes = ST.answered(themes.withColumnRenamed("summary", "_raw"), told.select(theme, "summary"), "key", {"summary": F.col("_raw")}, F.trim("summary") != "")
-    rows = themes.select(F.struct("key.case_id").alias("case"), "key.role", "place", "summary", "disputes")
+    rows = settled(themes.select(F.struct("key.case_id").alias("case"), "key.role", "place", "summary", "disputes"))  # read twice
     return reports.fallback_brief(rows, "case", "role", "place", "summary", "disputes").select("case.case_id", *reports.PARTS)

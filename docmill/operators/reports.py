@@ -90,10 +90,11 @@ def fallback_brief(themes: DataFrame, case: str, role: str, pos: str, summary: s
     )
 
 
-def raw_summary(items: DataFrame, key: str, kind: str, pos: str, text: str, party: str, positions: str) -> DataFrame:
+def raw_summary(items: DataFrame, key: str, kind: str, pos: str, text: str, party: str, positions: str, *also: Column) -> DataFrame:
     """key, summary: a theme's items as they are, agreed ones first, disputed ones with each party's bullets, then those of one party.
 
-    positions: array of (party, bullets); text is the subject of a disputed item.
+    positions: array of (party, bullets); text is the subject of a disputed item. also: more aggregates of the items, from the
+    same grouping. Items that are dealt by the key already are grouped where they are.
     """
     sides = F.transform(F.coalesce(F.col(positions), F.array().cast(items.schema[positions].dataType)), lambda p: F.concat(F.lit("\n  * "), F.coalesce(p["party"], F.lit("")), F.lit(": "), F.array_join(p["bullets"], "; ")))
     said = F.coalesce(text, F.lit(""))
@@ -102,9 +103,9 @@ def raw_summary(items: DataFrame, key: str, kind: str, pos: str, text: str, part
         (DISPUTED, "disputed", F.concat(F.lit("- "), said, F.array_join(sides, ""))),
         (SPECIFIC, "party_specific", F.concat(F.lit("- ["), F.coalesce(party, F.lit("")), F.lit("] "), said)),
     )
-    made = items.groupBy(key).agg(*[_joined(F.col(kind) == k, F.col(pos), line, "\n").alias(f"_{k}") for _, k, line in kinds], *[F.count_if(F.col(kind) == k).alias(f"_n_{k}") for _, k, _ in kinds])
+    made = items.groupBy(key).agg(*[_joined(F.col(kind) == k, F.col(pos), line, "\n").alias(f"_{k}") for _, k, line in kinds], *[F.count_if(F.col(kind) == k).alias(f"_n_{k}") for _, k, _ in kinds], *also)
     blocks = [F.when(F.col(f"_n_{k}") > 0, F.concat(F.lit(f"{head}\n"), f"_{k}")) for head, k, _ in kinds]
-    return made.select(key, F.concat(F.lit(RAW), F.concat_ws("\n", *blocks)).alias("summary"))
+    return made.select(key, F.concat(F.lit(RAW), F.concat_ws("\n", *blocks)).alias("summary"), *[F.col(c) for c in made.columns[len(made.columns) - len(also) :]])
 
 
 def fallback_report(cases: DataFrame, issues: DataFrame, applied: DataFrame, case: str) -> DataFrame:

@@ -82,3 +82,10 @@ def test_rounds_of_the_cycle_search_move_edges_that_are_left(spark, monkeypatch)
     assert sorted(r.step_id for r in graphs.looped(df, "step_id", "depends_on").collect()) == ["a", "b"]
     counts = [d.count() for d in moved]
     assert counts[0] <= 18 and counts[-1] == 2 and counts == sorted(counts, reverse=True) and len(counts) <= 12
+
+
+@tables_here
+def test_bullets_are_put_into_themes_once_for_a_brief(spark):
+    """What follows the themes groups by role and by case; nothing before them is done again."""
+    plan = catalogue.QUERIES["case_briefs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 4
